@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievegrid.functions.sequences import count_of, matches, max_run_length, max_run_of
+from sievegrid.functions.sequences import bind, count_of, matches, max_run_length, max_run_of
 
 # Motif patterns by modality.
 ANTIBODY_MOTIFS = {
@@ -89,12 +89,11 @@ def match_starts(seq: Column, pattern: str) -> Column:
         F.array(F.lit(1)),
         lambda acc, part: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(part))),
     )
-    return F.slice(ends, F.lit(2), F.size(ends) - 2)
+    return bind(ends, lambda e: F.slice(e, F.lit(2), F.size(e) - 2))
 
 
 def _violations(motif: str, starts: Column, lengths: Column | None = None) -> Column:
-    def build(pos, i):
-        length = F.get(lengths, i) if lengths is not None else F.lit(1)
+    def build(pos, length):
         return F.struct(
             F.lit(motif).alias("motif"),
             pos.cast("int").alias("pos"),
@@ -103,7 +102,9 @@ def _violations(motif: str, starts: Column, lengths: Column | None = None) -> Co
             F.lit(None).cast("string").alias("details"),
         )
 
-    return F.transform(starts, build).cast(_VIOLATION)
+    if lengths is None:
+        return F.transform(starts, lambda pos: build(pos, F.lit(1)))
+    return F.zip_with(starts, lengths, build)
 
 
 def _whole(motif: str, condition: Column, details: Column | None = None) -> Column:
@@ -127,15 +128,18 @@ def net_charge(seq: Column) -> Column:
 
 def _lone_cysteines(seq: Column) -> Column:
     """Cysteines whose neighbours in the list of cysteines are not 1 or 2 places away."""
-    places = match_starts(seq, "C")
     near = lambda a, b: F.coalesce((b - a).isin(1, 2), F.lit(False))
-    flagged = F.transform(
-        places,
-        lambda p, i: F.when(
-            ~(near(F.get(places, i - 1), p) | near(p, F.get(places, i + 1))), p
-        ),
-    )
-    return F.filter(flagged, lambda p: p.isNotNull())
+
+    def lone(places):
+        flagged = F.transform(
+            places,
+            lambda p, i: F.when(
+                ~(near(F.get(places, i - 1), p) | near(p, F.get(places, i + 1))), p
+            ),
+        )
+        return F.filter(flagged, lambda p: p.isNotNull())
+
+    return bind(match_starts(seq, "C"), lone)
 
 
 def liability_violations(
@@ -153,9 +157,9 @@ def liability_violations(
         cysteines = match_starts(seq, "C")
         if peptide_type == "cyclic":
             cysteines = F.filter(cysteines, lambda p: (p != 1) & (p != F.length(seq)))
-        odd = F.size(cysteines) % 2 == 1
         none = F.array().cast("array<int>")
-        parts.append(_violations("UnpairedCys", F.when(odd, cysteines).otherwise(none)))
+        odd = bind(cysteines, lambda c: F.when(F.size(c) % 2 == 1, c).otherwise(none))
+        parts.append(_violations("UnpairedCys", odd))
     if modality == "peptide" and peptide_type == "cyclic":
         share = count_of(seq, "DEKRHNQST") / F.length(seq) * 100
         same, greasy = max_run_length(seq), max_run_of(seq, "FILVWY")

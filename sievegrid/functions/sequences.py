@@ -11,6 +11,15 @@ HYDROPHOBIC = "AILMFWV"
 NUCLEOTIDES = "ACGTUN"
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often it is used.
+
+    An outer expression inside a lambda is computed for every element, so
+    arrays that a lambda looks into must be bound first.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def normalize(seq: Column) -> Column:
     return F.upper(F.trim(seq))
 
@@ -92,11 +101,10 @@ def residue_entropy(seq: Column) -> Column:
         F.lit(0.0),
         lambda acc, x: acc + F.when(x > 0, x * F.log2(x.cast("double"))).otherwise(0.0),
     )
-    # Bound once, so that the letters are counted once per row.
     entropy = lambda c: F.when(total(c) == 0, 0.0).otherwise(
         F.log2(total(c).cast("double")) - weighted(c) / total(c)
     )
-    return F.transform(F.array(counts), entropy)[0]
+    return bind(counts, entropy)
 
 
 def composition(seq: Column) -> dict[str, Column]:
@@ -228,15 +236,14 @@ def hydrophobicity(seq: Column) -> Column:
         .when(n > 20, 1.0 / (1.0 + 0.027 * (n - 20)))
         .otherwise(1.0)
     )
-    # Bound once, so that the piecewise damping does not repeat the sum.
-    damped = F.transform(
-        F.array(total * scale),
+    damped = bind(
+        total * scale,
         lambda h: F.when(h <= 20, h)
         .when(h <= 30, h - 0.27 * (h - 18.0))
         .when(h <= 40, h - 0.33 * (h - 18.0))
         .when(h <= 50, h - 0.38 * (h - 18.0))
         .otherwise(h - 0.447 * (h - 18.0)),
-    )[0]
+    )
     return F.when((seq == "") | seq.contains("X"), F.lit(float("nan"))).otherwise(
         F.round(damped, 4)
     )

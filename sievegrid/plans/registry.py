@@ -28,5 +28,6 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     from sievegrid.plans import (  # noqa: F401
+        queries_ranking,
         queries_sequences,
     )
