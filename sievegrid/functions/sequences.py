@@ -61,16 +61,26 @@ def max_run_of(seq: Column, letters: str) -> Column:
 def max_pair_repeats(seq: Column) -> Column:
     """Most contiguous ``AB`` pairs with A != B, over starts that leave four letters.
 
-    The look-ahead yields an overlapping match for every start, so that a
-    repeat sharing a letter with the one before is measured in full.
+    Marks every place whose letter returns two places later with another one
+    between; a run of m marks is a repeat of m + 2 letters.
     """
-    repeats = F.regexp_extract_all(seq, F.lit(r"(?=((.)(?!\2)(.)(?:\2\3)+))"), F.lit(1))
-    best = F.array_max(F.transform(repeats, F.length)) / 2
+
+    def marks(letters):
+        returns = F.transform(
+            letters,
+            lambda c, i: F.when(
+                (F.get(letters, i + 2) == c) & (F.get(letters, i + 1) != c), "1"
+            ).otherwise("0"),
+        )
+        runs = F.split(F.array_join(returns, ""), "0")
+        return F.array_max(F.transform(runs, F.length))
+
+    longest = bind(F.split(seq, ""), marks)
     head = F.substring(seq, F.lit(1), F.length(seq) - 2)
     lone = head.rlike(r"(.)(?!\1).")
     return (
         F.when(F.length(seq) < 4, 0)
-        .when(best.isNotNull(), best.cast("int"))
+        .when(longest >= 2, F.floor((longest + 2) / 2).cast("int"))
         .when(lone, 1)
         .otherwise(0)
     )

@@ -108,7 +108,7 @@ def nanobody_rules(
         ("too_few", F.size(items) >= count),
         ("duplicate", ~has_duplicates(items)),
         ("length", every(lambda s: F.length(s).between(*length))),
-        ("alphabet", every(S.has_only)),
+        ("alphabet", every(lambda s: S.has_only(s))),
         ("homopolymer", every(lambda s: S.max_run_length(s) <= max_run)),
         ("pair_repeat", every(lambda s: S.max_pair_repeats(s) <= max_pairs)),
         ("cysteines", every(lambda s: S.letter_count(s, "C") >= min_cys)),

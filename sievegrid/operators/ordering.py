@@ -116,6 +116,13 @@ class RangeOrdered:
             *self.columns, (F.col("_local") + F.coalesce("_carry", F.lit(0))).alias(name)
         )
 
+    def running_sum_of(self, value: Column, name: str) -> DataFrame:
+        """Running sum of an expression over the rows."""
+        columns = self.columns
+        self._ranged = self._ranged.withColumn("_value", value)
+        self.columns = [*columns, "_value"]
+        return self.running_sum("_value", name).drop("_value")
+
     def lag(self, values: Sequence[str], prefix: str = "prev_") -> DataFrame:
         """Values of the row before, null for the first row of a group."""
         here = F.struct(*[F.col(v) for v in values])

@@ -216,7 +216,8 @@ def rank_uids(
     fine = value.isNotNull() & ~F.isnan(value) & ~F.abs(value).eqNullSafe(F.lit(INF))
     keyed = df.filter(fine).withColumns(
         {
-            "_score": -value if mode == "max" else value,
+            # equal scores must tie whatever the order of summation
+            "_score": F.round(-value if mode == "max" else value, 9),
             **{f"_tie{i}": F.coalesce(F.col(t).cast("double"), F.lit(INF)) for i, t in enumerate(ties)},
             "_block": F.coalesce(F.col(block).cast("double"), F.lit(INF)),
         }

@@ -6,7 +6,7 @@ expression of the same name, so that Spark and the SQL check see the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LETTERS = "[^ACDEFGHIKLMNPQRSTVWYacdefghiklmnpqrstvwy]"
@@ -97,13 +97,19 @@ SQL_METRICS = """metrics AS (
   FROM lineitem GROUP BY ALL)"""
 
 
+def epoch_seconds(ts: str) -> Column:
+    """Seconds since 1970 of a timestamp without zone, whatever the session zone is."""
+    days = F.date_diff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("bigint")
+    return days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+
+
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commitments: (commit_id, uid, block), the block from the event time at 12 s each."""
     events = table(spark, sf_dir, "events")
     return events.select(
         F.col("event_id").alias("commit_id"),
         F.col("user_id").alias("uid"),
-        F.floor(F.unix_micros("ts") / 12000000).alias("block"),
+        F.floor(epoch_seconds("ts") / 12).alias("block"),
     )
 
 
