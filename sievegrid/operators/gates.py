@@ -122,10 +122,11 @@ def nanobody_rules(
 
 def nanobody_gate(df: DataFrame, count: int, items: str = "items", **limits) -> DataFrame:
     """All-or-nothing gate per submission: too long lists are cut, the first failed rule is named."""
-    normal = df.withColumn(items, F.transform(items, lambda s: S.normalize(s)))
-    cut = normal.withColumn(items, F.slice(items, 1, count))
-    rules = nanobody_rules(F.col(items), count, **limits)
-    return cut.withColumn("first_failed_rule", first_failed(rules))
+    first = F.slice(items, 1, count)
+    cut = F.transform(first, lambda s: S.normalize(s))
+    # Bound, so that a filter on the rule does not derive the items again for each of its tests.
+    failed = S.bind(cut, lambda x: first_failed(nanobody_rules(x, count, **limits)))
+    return df.withColumns({items: cut, "first_failed_rule": failed})
 
 
 def molecule_gate(

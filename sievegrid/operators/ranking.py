@@ -73,14 +73,13 @@ def long_ranks(
         for m, mode in modes.items()
     ]
     long = df.select(*keep, *signed).unpivot(keep, list(modes), "metric", "value")
-    present = F.col("value").isNotNull() & ~F.isnan("value")
+    # Missing values form their own group, so that one pass serves both.
+    missing = F.coalesce(F.isnan("value"), F.lit(True)) | F.col("value").isNull()
     ranked = RangeOrdered(
-        long.filter(present), [*by, "metric"], [*lead, "value"], list(ids)
+        long.withColumn("_missing", missing), [*by, "metric", "_missing"], [*lead, "value"], list(ids)
     ).rank(method, "rank")
-    missing = long.filter(~present | F.col("value").isNull())
-    return ranked.unionByName(missing.withColumn("rank", F.lit(None).cast(ranked.schema["rank"].dataType))).drop(
-        "value"
-    )
+    rank = F.when(~F.col("_missing"), F.col("rank"))
+    return ranked.withColumn("rank", rank).drop("value", "_missing")
 
 
 def rank_sum(
@@ -228,19 +227,32 @@ def rank_uids(
 
 
 def final_score(
-    df: DataFrame, group: Sequence[str], item: str, score: str, mode: str, items: int | None = None
+    df: DataFrame,
+    group: Sequence[str],
+    item: str,
+    score: str,
+    mode: str,
+    items: int | None = None,
+    totals: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Sum over items of the mean over targets; an item with an infinite or missing score,
-    and an absent item, counts as the sentinel."""
+    and an absent item, counts as the sentinel.
+
+    ``totals`` maps columns to names of sums over all rows, taken in the same pass.
+    """
+    totals = dict(totals or {})
     bad = F.lit(sentinel(mode))
     value = F.when(F.coalesce(F.col(score), F.lit(0.0)) == 0, bad).otherwise(F.col(score))
     per_item = df.groupBy(*group, item).agg(
-        F.when(F.max(F.abs(value)) == INF, bad).otherwise(F.avg(value)).alias("_mean")
+        F.when(F.max(F.abs(value)) == INF, bad).otherwise(F.avg(value)).alias("_mean"),
+        *[F.sum(c).alias(name) for c, name in totals.items()],
     )
     total = F.sum("_mean")
     if items is not None:
         total = F.when(F.count(F.lit(1)) < items, bad).otherwise(total)
-    return per_item.groupBy(*group).agg(total.alias("final_score"))
+    return per_item.groupBy(*group).agg(
+        total.alias("final_score"), *[F.sum(n).cast("double").alias(n) for n in totals.values()]
+    )
 
 
 def category_rank_total(df: DataFrame, group: Sequence[str], column: str, name: str) -> DataFrame:

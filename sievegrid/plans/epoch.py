@@ -50,15 +50,18 @@ def rank_epochs(
     entries = latest.join(gated.select("uid"), "uid", "left_semi")
     # 2. rank metrics over the (item x target) frame of each epoch
     frame = entries.join(metrics.filter(F.col("item") < count), "uid")
-    ranked = R.rank_sum(frame, ["uid", "item", "target"], modes, by=["epoch"], categories=categories)
+    ids = ["uid", "block", "item", "target"]
+    ranked = R.rank_sum(frame, ids, modes, by=["epoch"], categories=categories)
     # 3. item means over targets, sum over items, category totals for ties
-    final = R.final_score(
-        ranked.withColumn("_s", F.col("rank_sum").cast("double")), ["epoch", "uid"], "item", "_s", "min", count
+    scored = R.final_score(
+        ranked.withColumn("_s", F.col("rank_sum").cast("double")),
+        ["epoch", "uid", "block"],
+        "item",
+        "_s",
+        "min",
+        count,
+        {f"{c}_rank_sum": f"{c}_total" for c in categories},
     )
-    totals = ranked.groupBy("epoch", "uid").agg(
-        *[F.sum(f"{c}_rank_sum").cast("double").alias(f"{c}_total") for c in categories]
-    )
-    scored = entries.join(final, ["epoch", "uid"]).join(totals, ["epoch", "uid"])
     scored = scored.withColumn("push_time", F.lit(None).cast("timestamp"))
     ranks = R.rank_uids(
         scored, "final_score", "min", ["epoch"], [f"{c}_total" for c in categories]

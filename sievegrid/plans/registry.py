@@ -29,7 +29,9 @@ def query(name: str, sql: str | None = None):
 def load_all() -> None:
     from sievegrid.plans import (  # noqa: F401
         queries_epoch,
+        queries_evaluation,
         queries_intake,
         queries_ranking,
+        queries_sampling,
         queries_sequences,
     )
