@@ -145,15 +145,21 @@ def position_counts(rows: DataFrame, by: Sequence[str], seq: str, letters: str)
     )
 
 
-def logo_information(counts: DataFrame, letters: str) -> dict[str, Column]:
-    """Columns over a count matrix: information log2(20) - H and letter heights p * info."""
-    total = sum((F.col(a) for a in letters), F.lit(0))
-    p = lambda a: F.coalesce(F.try_divide(F.col(a), total), F.lit(0.0))
-    entropy = sum(
-        (F.when(F.col(a) > 0, -p(a) * F.log2(p(a))).otherwise(0.0) for a in letters), F.lit(0.0)
+def logo_information(counts: DataFrame, keys: Sequence[str], letters: str) -> DataFrame:
+    """Information log2(20) - H per column of a count matrix, and letter heights p * info."""
+    total = F.aggregate(F.array(*letters), F.lit(0).cast("bigint"), lambda acc, c: acc + c)
+    shares = counts.withColumn("_n", total).select(
+        *keys,
+        *[F.coalesce(F.try_divide(F.col(a), F.col("_n")), F.lit(0.0)).alias(a) for a in letters],
     )
-    info = F.lit(float(np.log2(20))) - entropy
-    return {"information": info, **{f"height_{a}": p(a) * info for a in letters}}
+    entropy = F.aggregate(
+        F.array(*letters),
+        F.lit(0.0),
+        lambda acc, p: acc + F.when(p > 0, -p * F.log2(p)).otherwise(0.0),
+    )
+    informed = shares.withColumn("information", F.lit(float(np.log2(20))) - entropy)
+    heights = [(F.col(a) * F.col("information")).alias(f"height_{a}") for a in letters]
+    return informed.select(*keys, "information", *heights)
 
 
 def histogram(df: DataFrame, by: Sequence[str], value: str, bins: int) -> DataFrame:

@@ -105,23 +105,23 @@ class RangeOrdered:
 
     def running_sum(self, value: str, name: str = "running_sum") -> DataFrame:
         """Inclusive running sum of ``value`` in the group."""
+        return self.running_sums({name: F.col(value)})
+
+    def running_sums(self, values: dict[str, Column]) -> DataFrame:
+        """Inclusive running sums of several expressions, in one pass."""
         frame = self._local().rowsBetween(Window.unboundedPreceding, 0)
-        rows = durable(self._ranged.withColumn("_local", F.sum(value).over(frame)))
-        borders = rows.groupBy(RANGE, *self.by).agg(F.sum(value).alias("_size"))
-        borders = self._crossing(borders).withColumn(
-            "_carry", F.sum("_size").over(self._before())
+        names = list(values)
+        local = {f"_local{i}": F.sum(values[n]).over(frame) for i, n in enumerate(names)}
+        rows = durable(self._ranged.withColumns(local))
+        borders = rows.groupBy(RANGE, *self.by).agg(
+            *[F.sum(values[n]).alias(f"_size{i}") for i, n in enumerate(names)]
         )
-        out = self._attach(rows, borders)
-        return out.select(
-            *self.columns, (F.col("_local") + F.coalesce("_carry", F.lit(0))).alias(name)
+        borders = self._crossing(borders).withColumns(
+            {f"_carry{i}": F.sum(f"_size{i}").over(self._before()) for i in range(len(names))}
         )
-
-    def running_sum_of(self, value: Column, name: str) -> DataFrame:
-        """Running sum of an expression over the rows."""
-        columns = self.columns
-        self._ranged = self._ranged.withColumn("_value", value)
-        self.columns = [*columns, "_value"]
-        return self.running_sum("_value", name).drop("_value")
+        out = self._attach(rows, borders)
+        total = lambda i: F.col(f"_local{i}") + F.coalesce(f"_carry{i}", F.lit(0))
+        return out.select(*self.columns, *[total(i).alias(n) for i, n in enumerate(names)])
 
     def lag(self, values: Sequence[str], prefix: str = "prev_") -> DataFrame:
         """Values of the row before, null for the first row of a group."""

@@ -107,7 +107,7 @@ def _carry_forward(df: DataFrame) -> DataFrame:
 
 def _last_seen(ordered: RangeOrdered) -> DataFrame:
     """Per block the last non-null tail of the blocks before it."""
-    runs = ordered.running_sum_of(F.col("_seen").cast("int"), "_k")
+    runs = ordered.running_sums({"_k": F.col("_seen").cast("int")})
     holders = runs.filter("_seen").select(F.col("_k").alias("_j"), F.col("_tail").alias("_carried"))
     before = F.col("_k") - F.col("_seen").cast("int")
     return runs.select("_block", before.alias("_j")).join(holders, "_j", "left").drop("_j")

@@ -118,29 +118,44 @@ SQL_COMMITS = """commits AS (
 
 
 def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Atoms from the embeddings: one structure per label, coordinates from three dimensions.
+    """Atoms from the embeddings: 50 to a structure, 12 to a chain, 3 to a residue.
 
-    (structure_id, atom_idx, chain_id, x, y, z, kind, charge)
+    (structure_id, atom_idx, chain_id, res_idx, x, y, z, px, py, pz, element, charge, area, flag);
+    px, py, pz are a second model of the same atom.
     """
     e = table(spark, sf_dir, "embeddings")
     dim = lambda i: F.col("embedding")[i].cast("double")
+    idx = F.col("vec_id") % 50
     return e.select(
-        F.col("label").alias("structure_id"),
-        F.col("vec_id").alias("atom_idx"),
-        (F.col("vec_id") % 7).cast("int").alias("chain_id"),
+        F.floor(F.col("vec_id") / 50).alias("structure_id"),
+        idx.alias("atom_idx"),
+        F.floor(idx / 12).alias("chain_id"),
+        F.floor(idx / 3).alias("res_idx"),
         *[F.round(dim(i) * 60, 3).alias(c) for i, c in enumerate("xyz")],
+        *[F.round(dim(i) * 60 + dim(i + 3) * 10, 3).alias(f"p{c}") for i, c in enumerate("xyz")],
         F.when(dim(3) > 0, "C").otherwise("N").alias("element"),
         F.signum(F.round(dim(4) * 8, 0)).cast("int").alias("charge"),
+        F.round(F.abs(dim(5)) * 100, 3).alias("area"),
+        (dim(6) > 0).alias("flag"),
     )
 
 
-SQL_ATOMS = """atoms AS (
-  SELECT label AS structure_id, vec_id AS atom_idx, CAST(vec_id % 7 AS INT) AS chain_id,
-         round(embedding[1]::DOUBLE * 60, 3) AS x, round(embedding[2]::DOUBLE * 60, 3) AS y,
-         round(embedding[3]::DOUBLE * 60, 3) AS z,
+SQL_ATOMS = (
+    """atoms AS (
+  SELECT vec_id // 50 AS structure_id, vec_id % 50 AS atom_idx, vec_id % 50 // 12 AS chain_id,
+         vec_id % 50 // 3 AS res_idx, """
+    + ", ".join(f"round(embedding[{i + 1}]::DOUBLE * 60, 3) AS {c}" for i, c in enumerate("xyz"))
+    + ", "
+    + ", ".join(
+        f"round(embedding[{i + 1}]::DOUBLE * 60 + embedding[{i + 4}]::DOUBLE * 10, 3) AS p{c}"
+        for i, c in enumerate("xyz")
+    )
+    + """,
          CASE WHEN embedding[4] > 0 THEN 'C' ELSE 'N' END AS element,
-         CAST(sign(round(embedding[5]::DOUBLE * 8, 0)) AS INT) AS charge
+         CAST(sign(round(embedding[5]::DOUBLE * 8, 0)) AS INT) AS charge,
+         round(abs(embedding[6]::DOUBLE) * 100, 3) AS area, embedding[7] > 0 AS flag
   FROM embeddings)"""
+)
 
 
 def with_sql(*parts: str) -> str:

@@ -191,25 +191,22 @@ def a15(spark, sf):
 
 _TOTAL_SQL = " + ".join(f'"{a}"' for a in S.AMINO_ACIDS)
 _H_SQL = " + ".join(
-    f'CASE WHEN "{a}" > 0 THEN -("{a}" / t) * log2("{a}" / t) ELSE 0 END' for a in S.AMINO_ACIDS
+    f'CASE WHEN "{a}" > 0 THEN -("{a}" / total) * log2("{a}" / total) ELSE 0 END' for a in S.AMINO_ACIDS
 )
 
 
 @query(
     "a16_logo_information",
     _COUNTS_SQL
-    + f""", t AS (SELECT *, {_TOTAL_SQL} AS t FROM n), h AS (SELECT *, log2(20) - ({_H_SQL}) AS info FROM t)
+    + f""", t AS (SELECT *, {_TOTAL_SQL} AS total FROM n), h AS (SELECT *, log2(20) - ({_H_SQL}) AS info FROM t)
     SELECT msa_id, position, round(info, 8) AS information, """
-    + ", ".join(f'round("{a}" / t * info, 8) AS "height_{a}"' for a in S.AMINO_ACIDS)
+    + ", ".join(f'round("{a}" / total * info, 8) AS "height_{a}"' for a in S.AMINO_ACIDS)
     + " FROM h",
 )
 def a16(spark, sf):
     counts = A.position_counts(msa(spark, sf), ["msa_id"], "row", S.AMINO_ACIDS)
-    return counts.select(
-        "msa_id",
-        "position",
-        *[F.round(c, 8).alias(n) for n, c in A.logo_information(counts, S.AMINO_ACIDS).items()],
-    )
+    out = A.logo_information(counts, ["msa_id", "position"], S.AMINO_ACIDS)
+    return out.select("msa_id", "position", *[F.round(c, 8).alias(c) for c in out.columns[2:]])
 
 
 @query(
