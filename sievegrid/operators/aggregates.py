@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sievegrid.functions.draws import pick
 from sievegrid.operators.ordering import RangeOrdered
+from sievegrid.session import unnest
 
 FINGERPRINT_BITS = 167  # fixed value: bits of the structural-key fingerprint
 
@@ -23,7 +24,7 @@ def _h(p: Column) -> Column:
 def bit_entropy(df: DataFrame, by: Sequence[str], bits: str, n_bits: int = FINGERPRINT_BITS) -> DataFrame:
     """Mean over all bits of the entropy of a bit being set."""
     sizes = df.filter(F.col(bits).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    counts = df.select(*by, F.explode(bits).alias("_bit")).groupBy(*by, "_bit").agg(F.count(F.lit(1)).alias("_c"))
+    counts = unnest(df, F.col(bits), "_bit", *by).groupBy(*by, "_bit").agg(F.count(F.lit(1)).alias("_c"))
     joined = counts.join(sizes, list(by))
     return joined.groupBy(*by).agg((F.sum(_h(F.col("_c") / F.col("_n"))) / n_bits).alias("entropy"))
 

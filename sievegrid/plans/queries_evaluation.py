@@ -11,6 +11,7 @@ from sievegrid.operators import joins as J
 from sievegrid.plans import fixtures as X
 from sievegrid.plans.queries_sampling import sql_pick
 from sievegrid.plans.registry import query
+from sievegrid.session import unnest
 
 
 @query(
@@ -431,7 +432,7 @@ def a27(spark, sf):
 
     found = L.liability_violations(F.col("seq"))
     wanted = F.filter(found, lambda v: v["motif"].isin("TrpOx", "MetOx"))
-    flat = X.sequences(spark, sf).select("doc_id", "pos", F.explode(wanted).alias("v"))
+    flat = unnest(X.sequences(spark, sf), wanted, "v", "doc_id", "pos")
     flat = flat.select("doc_id", F.col("pos").alias("piece"), "v.*")
     out = L.liability_summary(flat, ["doc_id", "piece"])
     return out.select("doc_id", F.col("piece").alias("pos"), "motif", "n", "summary")

@@ -8,6 +8,7 @@ from sievegrid.functions import liabilities as L
 from sievegrid.functions import sequences as S
 from sievegrid.plans import fixtures as X
 from sievegrid.plans.registry import query
+from sievegrid.session import unnest
 
 SEQ = X.with_sql(X.SQL_SEQUENCES)
 CHAIN = X.with_sql(X.SQL_CHAINS)
@@ -134,7 +135,7 @@ def f7(spark, sf):
       FROM sequences WHERE length(seq) >= 5) GROUP BY kmer""",
 )
 def f8(spark, sf):
-    exploded = X.sequences(spark, sf).select(F.explode(S.kmers(F.col("seq"), 5)).alias("kmer"))
+    exploded = unnest(X.sequences(spark, sf), S.kmers(F.col("seq"), 5), "kmer")
     return exploded.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -198,7 +199,7 @@ def f17(spark, sf):
 def f17_positions(spark, sf):
     """Violation positions exploded to one row each, for the deamidation motif."""
     found = L.liability_violations(F.col("seq"))
-    exploded = X.sequences(spark, sf).select("doc_id", "pos", F.explode(found).alias("v"))
+    exploded = unnest(X.sequences(spark, sf), found, "v", "doc_id", "pos")
     return exploded.filter("v.motif = 'DeAmdH'").select(
         "doc_id", "pos", F.col("v.pos").alias("start"), "v.severity"
     )

@@ -35,4 +35,5 @@ def load_all() -> None:
         queries_ranking,
         queries_sampling,
         queries_sequences,
+        queries_similarity,
     )

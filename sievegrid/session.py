@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "sievegrid", master: str | None = None, **conf: str) -> SparkSession:
@@ -60,3 +61,25 @@ def durable(df: DataFrame) -> DataFrame:
     and every reader sees the same rows."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def rebalance(df: DataFrame, *keys: str) -> DataFrame:
+    """Even out rows before CPU-heavy work.
+
+    A shuffle of few bytes is merged into few tasks; an explicit partition count
+    keeps all cores busy when every row is about to expand or enter Python.
+    """
+    spark = df.sparkSession
+    wanted = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(wanted, *keys)
+
+
+def unnest(df: DataFrame, array: Column, name: str, *keep: str | Column) -> DataFrame:
+    """One row per element of a computed array, none for an empty one.
+
+    ``explode`` makes the optimizer test the array's size as early as it can,
+    which computes a costly array a second time below the last shuffle. The
+    outer form infers no such test; empty arrays drop out afterwards.
+    """
+    rows = df.select(*keep, F.explode_outer(array).alias(name))
+    return rows.filter(F.col(name).isNotNull())
