@@ -93,13 +93,14 @@ def has_cys_pair(seq: Column, min_sep: int, max_sep: int) -> Column:
 
 def signal_peptide_like(seq: Column, window: int = 12, min_hits: int = 8, head: int = 30) -> Column:
     """A window of the N-terminal stretch holds at least ``min_hits`` hydrophobic letters."""
-    start = F.substring(seq, 1, head)
-    starts = F.sequence(F.lit(1), F.length(start) - window + 1)
-    dense = F.exists(
-        starts,
-        lambda i: count_of(F.substring(start, i, F.lit(window)), HYDROPHOBIC) >= min_hits,
-    )
-    return F.when(F.length(start) < window, False).otherwise(dense)
+
+    def scan(start):
+        starts = F.sequence(F.lit(1), F.length(start) - window + 1)
+        hits = lambda i: count_of(F.substring(start, i, F.lit(window)), HYDROPHOBIC)
+        dense = F.exists(starts, lambda i: hits(i) >= min_hits)
+        return F.when(F.length(start) < window, False).otherwise(dense)
+
+    return bind(F.substring(seq, 1, head), scan)
 
 
 def residue_entropy(seq: Column) -> Column:
@@ -133,10 +134,14 @@ def recovery(seq: Column, native: Column) -> Column:
 
 def kmers(seq: Column, k: int) -> Column:
     """Distinct k-mers in order of first appearance."""
-    starts = F.sequence(F.lit(1), F.length(seq) - k + 1)
-    all_kmers = F.transform(starts, lambda i: F.substring(seq, i, F.lit(k)))
     empty = F.array().cast("array<string>")
-    return F.when(F.length(seq) < k, empty).otherwise(F.array_distinct(all_kmers))
+
+    def build(text):
+        starts = F.sequence(F.lit(1), F.length(text) - k + 1)
+        every = F.transform(starts, lambda i: F.substring(text, i, F.lit(k)))
+        return F.when(F.length(text) < k, empty).otherwise(F.array_distinct(every))
+
+    return bind(seq, build)
 
 
 def clip(seq: Column, start: int, end: int) -> Column:

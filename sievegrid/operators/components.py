@@ -17,8 +17,9 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
     chains. Labels are checkpointed; an edge is dropped once both its ends carry
     the same label and can no longer change anything by itself.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    links = durable(both.filter("a <> b").distinct())
+    a, b = F.col("a"), F.col("b")
+    ways = F.array(F.struct(a.alias("a"), b.alias("b")), F.struct(b.alias("a"), a.alias("b")))
+    links = durable(edges.filter("a <> b").select(F.explode(ways).alias("e")).select("e.*").distinct())
     labels = durable(nodes.select("id", F.col("id").alias("component")).distinct())
     for _ in range(max_rounds):
         near = links.join(labels.select(F.col("id").alias("b"), "component"), "b")

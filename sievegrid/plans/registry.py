@@ -36,4 +36,5 @@ def load_all() -> None:
         queries_sampling,
         queries_sequences,
         queries_similarity,
+        queries_streaming,
     )
