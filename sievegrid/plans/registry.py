@@ -36,5 +36,6 @@ def load_all() -> None:
         queries_sampling,
         queries_sequences,
         queries_similarity,
+        queries_sources,
         queries_streaming,
     )

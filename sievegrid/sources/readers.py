@@ -32,7 +32,7 @@ def _records(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def _lines(text: Column) -> Column:
-    return F.transform(F.split(text, r"\r?\n"), F.trim)
+    return F.transform(F.split(text, r"\r?\n"), lambda line: F.trim(line))
 
 
 def read_local_submissions(spark: SparkSession, path: str, current_block: int, seed: int = 0) -> DataFrame:
@@ -144,12 +144,17 @@ def read_archive(spark: SparkSession, root: str, target: str, entity: str, key:
     return keep_one(rows, [key], [F.col("batch"), F.col("seq_no")], last=True)
 
 
-def read_prediction_json(spark: SparkSession, root: str, schema: str = "map<string,double>") -> DataFrame:
+def read_prediction_json(
+    spark: SparkSession,
+    root: str,
+    schema: str = "map<string,double>",
+    file_glob: str = "{affinity,confidence}*",
+) -> DataFrame:
     """(record, metrics): keys of all ``affinity*`` and ``confidence*`` files of a record folder.
 
     A later file overwrites an earlier one; unreadable files are skipped.
     """
-    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="{affinity,confidence}*")
+    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=file_glob)
     path = F.col("_metadata.file_path")
     parsed = raw.select(
         F.element_at(F.split(path, "/"), -2).alias("record"),
