@@ -239,9 +239,13 @@ def violations_summary(violations: Column, modality: str, peptide_type: str = "l
         "ConsecIdentical",
         "LongHydrophobic",
     ]
+
+    def of_motif(motif: str) -> Column:
+        return F.filter(violations, lambda v: v["motif"] == motif)
+
     texts = []
     for motif in motifs:
-        found = F.filter(violations, lambda v, m=motif: v["motif"] == m)
+        found = of_motif(motif)
         n = F.size(found)
         places = F.filter(F.transform(found, lambda v: v["pos"]), lambda p: p.isNotNull())
         low, high = F.array_min(places), F.array_max(places)

@@ -250,7 +250,8 @@ def aligned_rmsd(pairs: DataFrame, by: str, weight: Column) -> DataFrame:
         value = np.sqrt(np.clip(spread - 2 * sing.sum(1), 0, None))
         return pd.Series(np.where(total > 0, value, np.nan))
 
-    return reduced.select(by, rmsd(F.struct(*list(sums))).alias("rmsd"))
+    value = F.coalesce(rmsd(F.struct(*list(sums))), F.lit(float("nan")))
+    return reduced.select(by, value.alias("rmsd"))
 
 
 def lddt(atoms: DataFrame, cutoff: float = 15.0) -> DataFrame:
