@@ -46,9 +46,8 @@ def exact_median(df: DataFrame, value: str, key: str, name: str = "median") -> D
     """Exact median of a column by position in a distributed sort."""
     present = df.filter(F.col(value).isNotNull())
     placed = RangeOrdered(present.select(value, key), [], [value, key]).row_number("_place")
-    n = present.agg(F.count(F.lit(1)).alias("_n"))  # one row
-    middle = placed.join(F.broadcast(n), F.floor((F.col("_n") + 1) / 2) <= F.col("_place"))
-    middle = middle.filter(F.col("_place") <= F.floor(F.col("_n") / 2) + 1)
+    n = present.agg(F.count(F.lit(1))).scalar()
+    middle = placed.filter(F.col("_place").between(F.floor((n + 1) / 2), F.floor(n / 2) + 1))
     return middle.agg(F.avg(value).alias(name))
 
 
@@ -170,7 +169,11 @@ def histogram(df: DataFrame, by: Sequence[str], value: str, bins: int) -> DataFr
     span = present.groupBy(*by).agg(
         F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean")
     )
-    joined = present.join(span, list(by)) if by else present.join(F.broadcast(span), F.lit(True))
+    if by:
+        joined = present.join(span, list(by))
+    else:
+        whole = span.select(F.struct("low", "high", "mean")).scalar()
+        joined = present.withColumn("_s", whole).select("*", "_s.*")
     place = F.least(F.floor((v - F.col("low")) / (F.col("high") - F.col("low")) * bins), F.lit(bins - 1))
     bin_no = F.when(F.col("high") == F.col("low"), 0).otherwise(place).cast("int")
     return joined.groupBy(*by, bin_no.alias("bin")).agg(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievegrid.functions.draws import pick
 from sievegrid.operators.ordering import RangeOrdered
-from sievegrid.session import durable
+from sievegrid.session import durable, unnest
 
 
 def fits(mask: Column, role: Column) -> Column:
@@ -30,13 +30,13 @@ def reaction_roles(reactions: DataFrame) -> DataFrame:
 def molecules_by_role(molecules: DataFrame, reactions: DataFrame) -> DataFrame:
     """(role, mol_id): molecules that can fill a role, as an equi-joinable table.
 
-    The distinct roles are bit masks of a fixed width; they travel as one row
+    The distinct roles are bit masks of a fixed width; they form one array
     and every molecule expands to the roles it fits, so there is no theta join.
     """
-    roles = reaction_roles(reactions).agg(F.collect_set("role").alias("roles"))
-    joined = molecules.join(F.broadcast(roles), F.lit(True))
+    roles = reaction_roles(reactions).agg(F.collect_set("role")).scalar()
+    with_roles = molecules.select("mol_id", "role_mask", roles.alias("roles"))
     fitting = F.filter("roles", lambda r: fits(F.col("role_mask"), r))
-    return joined.select(F.explode(fitting).alias("role"), "mol_id")
+    return unnest(with_roles, fitting, "role", "mol_id")
 
 
 def resolve_products(products: DataFrame, reactions: DataFrame, molecules: DataFrame) -> DataFrame:
@@ -95,9 +95,9 @@ def random_products(molecules: DataFrame, reactions: DataFrame, n: int, seed: in
     )
     sizes = placed.groupBy("role").agg(F.count(F.lit(1)).alias("_n"))
     numbered = RangeOrdered(reactions.select("rxn_id"), [], ["rxn_id"]).row_number("_r")
-    total = reactions.agg(F.count(F.lit(1)).alias("_rxns"))  # one row
-    draws = spark.range(1, n + 1).withColumnRenamed("id", "draw").join(F.broadcast(total), F.lit(True))
-    chosen = draws.select("draw", (1 + pick(f"{seed}x", F.col("_rxns"), F.col("draw"))).alias("_r")).join(numbered, "_r")
+    total = reactions.agg(F.count(F.lit(1))).scalar()
+    draws = spark.range(1, n + 1).withColumnRenamed("id", "draw")
+    chosen = draws.select("draw", (1 + pick(f"{seed}x", total, F.col("draw"))).alias("_r")).join(numbered, "_r")
     slots = chosen.join(reaction_roles(reactions), "rxn_id").join(sizes, "role", "left")
     wanted = slots.withColumn("_place", 1 + pick(seed, F.col("_n"), F.col("draw"), F.col("slot")))
     filled = wanted.join(placed, ["role", "_place"], "left")

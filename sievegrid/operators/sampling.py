@@ -53,10 +53,8 @@ def cluster_weights(
         ).alias("_w"),
     )
     both = one.unionByName(two)
-    total = both.agg(F.sum("_w").alias("_total"))  # one row
-    return both.join(F.broadcast(total), F.lit(True)).select(
-        "record", "kind", "item", (F.col("_w") / F.col("_total")).alias("weight")
-    )
+    total = both.agg(F.sum("_w")).scalar()
+    return both.select("record", "kind", "item", (F.col("_w") / total).alias("weight"))
 
 
 def weighted_draw(df: DataFrame, keys: Sequence[str], weight: str, n: int, seed: int) -> DataFrame:
@@ -69,11 +67,11 @@ def weighted_draw(df: DataFrame, keys: Sequence[str], weight: str, n: int, seed:
     spark = df.sparkSession
     positive = df.filter(F.col(weight) > 0).select(*keys, F.col(weight).cast("double").alias("_w"))
     ends = durable(RangeOrdered(positive, [], list(keys)).running_sum("_w", "_end"))
-    total = ends.agg(F.max("_end").alias("_total"))  # one row
+    total = ends.agg(F.max("_end")).scalar()
     rows = ends.select((F.col("_end") - F.col("_w")).alias("_at"), F.lit(0).alias("_draw"), F.struct(*keys).alias("_row"))
     draws = spark.range(1, n + 1).select(F.col("id").alias("_draw"))
-    points = draws.join(F.broadcast(total), F.lit(True)).select(
-        (uniform(seed, F.col("_draw")) * F.col("_total")).alias("_at"),
+    points = draws.select(
+        (uniform(seed, F.col("_draw")) * total).alias("_at"),
         "_draw",
         F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"),
     )
@@ -127,9 +125,9 @@ def numbered_draw(df: DataFrame, key: str, n: int, seed: int | str) -> DataFrame
     """n uniform draws with replacement: a hashed position joined to row numbers."""
     spark = df.sparkSession
     numbered = durable(global_row_number(df, [key], "_place"))
-    size = numbered.agg(F.count(F.lit(1)).alias("_n"))  # one row
-    draws = spark.range(1, n + 1).withColumnRenamed("id", "draw").join(F.broadcast(size), F.lit(True))
-    placed = draws.select("draw", (1 + pick(seed, F.col("_n"), F.col("draw"))).alias("_place"))
+    size = numbered.agg(F.count(F.lit(1))).scalar()
+    draws = spark.range(1, n + 1).withColumnRenamed("id", "draw")
+    placed = draws.select("draw", (1 + pick(seed, size, F.col("draw"))).alias("_place"))
     return placed.join(numbered, "_place").drop("_place")
 
 

@@ -149,9 +149,9 @@ def region_alignment(regions: DataFrame) -> DataFrame:
     number = F.regexp_extract("pos", r"(\d+)", 1).cast("int")
     extra = F.regexp_extract("pos", r"\d+([A-Z]*)$", 1)
     keyed = regions.select("chain", F.struct(number.alias("n"), extra.alias("i")).alias("p"), "aa")
-    used = keyed.agg(F.array_sort(F.collect_set("p")).alias("used"))  # one row, the scheme's positions
+    used = keyed.agg(F.array_sort(F.collect_set("p"))).scalar()  # the scheme's positions
     maps = keyed.groupBy("chain").agg(F.map_from_entries(F.collect_list(F.struct("p", "aa"))).alias("m"))
-    joined = maps.join(F.broadcast(used), F.lit(True))
+    joined = maps.withColumn("used", used)
     row = F.array_join(F.transform("used", lambda p: F.coalesce(F.col("m")[p], F.lit("-"))), "")
     return joined.select("chain", row.alias("row"))
 

@@ -40,11 +40,11 @@ def hits(spark, sf):
 
 @query(
     "c3_novelty",
-    f"""WITH {_HITS_SQL}, b AS (SELECT query, max((qtmscore + ttmscore) / 2) AS n FROM hits WHERE target < 20 GROUP BY query)
+    f"""WITH {_HITS_SQL}, b AS (SELECT query, max((qtmscore + ttmscore) / 2) AS n FROM hits WHERE qtmscore >= 0.1 GROUP BY query)
     SELECT p_partkey AS query, round(coalesce(n, 0.0), 9) AS novelty FROM part LEFT JOIN b ON p_partkey = query""",
 )
 def c3(spark, sf):
-    best = A.novelty(hits(spark, sf).filter("target < 20"))
+    best = A.novelty(hits(spark, sf).filter("qtmscore >= 0.1"))
     queries = X.table(spark, sf, "part").select(F.col("p_partkey").alias("query"))
     out = J.reindex(queries, best, "query", "novelty")
     return out.withColumn("novelty", F.round("novelty", 9))
@@ -60,10 +60,9 @@ def a7(spark, sf):
     best = A.novelty(hits(spark, sf))
     part = X.table(spark, sf, "part").select(F.col("p_partkey").alias("query"), F.col("p_brand").alias("target"))
     per_target = best.join(part, "query").groupBy("target").agg(F.avg("novelty").alias("n"))
+    median = A.exact_median(per_target, "n", "target").scalar()
     mean = per_target.agg(F.round(F.avg("n"), 9).alias("mean_novelty"))
-    median = A.exact_median(per_target, "n", "target", "median_novelty")
-    one = median.select(F.round("median_novelty", 9).alias("median_novelty"))
-    return mean.join(F.broadcast(one), F.lit(True))
+    return mean.withColumn("median_novelty", F.round(median, 9))
 
 
 @query(
@@ -400,7 +399,7 @@ def k1(spark, sf):
     X.with_sql(X.SQL_SEQUENCES)
     + """, k AS (SELECT DISTINCT seq, CASE WHEN regexp_full_match(seq, '[ACGTUN]*') THEN 'nucleotide' WHEN length(seq) < 10 THEN 'short'
       ELSE 'protein' END AS kind FROM sequences),
-    p AS (SELECT sha256(seq) AS h, sha256(substr(seq, 1, 10)) AS c FROM k WHERE kind = 'protein')
+    p AS (SELECT sha256(seq) AS h, sha256(length(seq)::VARCHAR) AS c FROM k WHERE kind = 'protein')
     SELECT h AS member, c AS cluster FROM p UNION ALL SELECT sha256(seq), sha256(seq) FROM k WHERE kind <> 'protein'
     UNION ALL SELECT DISTINCT p_brand, p_brand FROM part""",
 )
@@ -411,7 +410,7 @@ def u7(spark, sf):
     kinds = distinct.withColumn("kind", S.sequence_kind(F.col("seq")))
     proteins = kinds.filter("kind = 'protein'").select(
         S.sequence_hash(F.col("seq")).alias("member"),
-        S.sequence_hash(F.substring("seq", 1, 10)).alias("cluster"),
+        S.sequence_hash(F.length("seq").cast("string")).alias("cluster"),
     )
     ligands = X.table(spark, sf, "part").select(F.col("p_brand").alias("code")).distinct()
     return cluster_union(proteins, kinds.filter("kind <> 'protein'").select("seq"), ligands)

@@ -131,7 +131,7 @@ def f16(spark, sf):
     letters = S.AMINO_ACIDS
     pair = {(a, b): 4.0 if a == b else -1.0 for a in letters for b in letters}
     score = N.score_to_reference(first, pair)
-    return X.sequences(spark, sf).filter("length(seq) >= 90").select("doc_id", "pos", "seq", score("seq").alias("score"))
+    return X.sequences(spark, sf).select("doc_id", "pos", score("seq").alias("score"))
 
 
 @query("t5_diverse_selection")

@@ -171,8 +171,7 @@ def s8(spark, sf):
 
 @query("s9_reaction_count", "SELECT CAST(count(*) AS INT) AS n FROM nation")
 def s9(spark, sf):
-    n = R.reaction_count(X.table(spark, sf, "nation"))
-    return X.table(spark, sf, "nation").limit(1).select(F.lit(n).alias("n"))
+    return R.reaction_count(X.table(spark, sf, "nation"))
 
 
 @query(

@@ -175,8 +175,10 @@ def read_metrics_csv(spark: SparkSession, path: str, metrics: Sequence[str]) ->
     return rows.select(F.get(parts, F.lit(0)).alias("item"), F.get(parts, F.lit(1)).alias("target"), *metrics)
 
 
-def reaction_count(reactions: DataFrame | None, fallback: int = 5) -> int:
-    return fallback if reactions is None else reactions.count()
+def reaction_count(reactions: DataFrame, fallback: int = 5) -> DataFrame:
+    """Number of reactions, the fallback for an empty table."""
+    n = F.count(F.lit(1))
+    return reactions.agg(F.when(n == 0, fallback).otherwise(n).cast("int").alias("n"))
 
 
 def read_manifest(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
