@@ -76,7 +76,7 @@ def reaction_of_hash(hex_hash: Column, reactions: int) -> Column:
 
 def parse_push_time(text: Column) -> Column:
     """ISO-8601 time, unparseable text counts as the far future."""
-    return F.coalesce(F.try_to_timestamp(text), F.lit("9999-12-31 00:00:00").cast("timestamp"))
+    return F.coalesce(F.try_to_timestamp(text), F.lit("9999-12-31T00:00:00Z").cast("timestamp"))
 
 
 def epoch_of(block: Column, length: int = EPOCH_BLOCKS) -> Column:

@@ -11,6 +11,7 @@ from sievegrid.functions import scoring as C
 from sievegrid.operators import gates as G
 from sievegrid.operators import ranking as R
 from sievegrid.operators.ordering import keep_one
+from sievegrid.session import unnest
 
 
 def in_window(commits: DataFrame, length: int = C.EPOCH_BLOCKS, cutoff: int = C.CUTOFF_BLOCKS) -> DataFrame:
@@ -41,7 +42,10 @@ def rank_epochs(
     ``submissions``: (uid, items); ``archive``: (seq); ``metrics``: (uid, item, target, metrics...).
     """
     # 1. gate every submission once, whatever the number of epochs that use it
-    gated = G.nanobody_gate(submissions, count, **limits).filter("first_failed_rule IS NULL")
+    flagged = G.nanobody_gate(submissions, count, **limits)
+    # a plain filter would move the gate below the shuffle that spreads the texts over the cores
+    passing = F.when(F.col("first_failed_rule").isNull(), F.array("items"))
+    gated = unnest(flagged, passing, "items", "uid")
     if archive is not None:
         flat = gated.select("uid", F.explode("items").alias("seq"))
         known = flat.join(archive.select("seq").distinct(), "seq", "left_semi").select("uid").distinct()
