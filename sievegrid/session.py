@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +27,31 @@ def build_session(app: str = "sievegrid", master: str | None = None, **conf: str
     settings.update(conf)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Give Python workers this package, once per application.
+
+    The archive is built on the driver and fetched from it by every executor,
+    so nothing has to be installed on the machines.
+    """
+    application = spark.sparkContext.applicationId
+    if application not in _shipped:
+        package = os.path.dirname(os.path.abspath(__file__))
+        path = os.path.join(tempfile.mkdtemp(prefix="sievegrid-"), "sievegrid.zip")
+        with zipfile.ZipFile(path, "w") as archive:
+            for folder, _, names in sorted(os.walk(package)):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        archive.write(full, os.path.relpath(full, os.path.dirname(package)))
+        spark.sparkContext.addPyFile(path)
+        _shipped.add(application)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
