@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sievegrid.llm import fingerprints, mixing, packing, secrets, warc
+from sievegrid.llm import fingerprints, language, mixing, packing, secrets, toxicity, warc
 from sievegrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +36,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).documents.drop("start", "source")
 
 
+@query("op6_language_fusion")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return language.identify(docs, language.fit(docs)).drop("text")
+
+
 @query("op7_mixture_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
@@ -43,6 +50,18 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op8_toxicity_pu")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return model.score(docs).select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 @query("op9_warc_history")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.archive(table(spark, sf_dir, "pages"))
