@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
-BUCKETS = 1 << 20
+BUCKETS = 1 << 22
 CACHE = 300_000
-LONGEST_WORD = 64
+FIRST_UNSPACED = "\u2e80"
 
 
 def held_out(key: Column, folds: int = 5) -> Column:
@@ -23,21 +23,10 @@ def held_out(key: Column, folds: int = 5) -> Column:
 
 
 def word_features(word: str) -> tuple[int, ...]:
-    """Hash buckets of a word and of its pieces of 4 to 7 characters, its ends marked.
-
-    Words beyond ``LONGEST_WORD`` characters are cut into pieces of that length
-    that overlap by 7, so no piece is lost.
-    """
-    if len(word) > LONGEST_WORD:
-        step = LONGEST_WORD - 7
-        parts = [word[i : i + LONGEST_WORD] for i in range(0, len(word), step)]
-        return tuple({f for p in parts for f in word_features(p)})
-    marked = f"<{word}>"
-    found = {zlib.crc32(marked.encode()) % BUCKETS}
-    for n in range(4, 8):
-        for i in range(len(marked) - n + 1):
-            found.add(zlib.crc32(marked[i : i + n].encode()) % BUCKETS)
-    return tuple(found)
+    """The hash bucket of a word; a run of letters of a script without spaces gives those of its pairs."""
+    if any(c >= FIRST_UNSPACED for c in word):
+        return tuple({zlib.crc32(word[i : i + 2].encode()) % BUCKETS for i in range(max(1, len(word) - 1))})
+    return (zlib.crc32(word.encode()) % BUCKETS,)
 
 
 class Features:
@@ -142,6 +131,7 @@ def learn(
     positives: int = 4_000,
     unlabelled: int = 16_000,
     features: int = 4_096,
+    least_z: float = 4.0,
     prior: float | None = None,
 ) -> Model:
     """A model from the confirmed rows of ``labels`` and other texts, none of them held out.
@@ -150,7 +140,8 @@ def learn(
     drawn by hash, are used to fit: that bounds what reaches the driver (the
     drawn ids, the counts of the chosen features, and which of them each drawn
     document has). The other documents count as unlabelled whatever their
-    label. ``prior`` is the share of positives, by default that among all
+    label. The features are the words, at most ``features`` of them, whose log
+    odds differ by ``least_z`` standard errors. ``prior`` is the share of positives, by default that among all
     labelled rows that aren't held out. Several labels of one document count as
     the largest; null labels are none. Without a positive or an unlabelled
     document, or at a prior of 0, the model scores the prior everywhere.
@@ -206,7 +197,8 @@ def learn(
     half = lambda c: F.col(c) + 0.5
     other = lambda c: F.lit(totals[c]) - F.col(c) + 0.5
     z = (F.log(half("p") / other("p")) - F.log(half("u") / other("u"))) / F.sqrt(1 / half("p") + 1 / half("u"))
-    best = seen.filter("feature >= 0 AND p + u >= 3").orderBy(F.abs(z).desc(), "feature").limit(features).select("feature").collect()
+    telling = seen.filter("feature >= 0 AND p + u >= 3").filter(F.abs(z) >= least_z)
+    best = telling.orderBy(F.abs(z).desc(), "feature").limit(features).select("feature").collect()
     chosen = {r["feature"]: i for i, r in enumerate(sorted(best, key=lambda r: r["feature"]))}
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
