@@ -12,7 +12,7 @@ from sievegrid.session import durable
 
 WORD = r"[^\x20\x09-\x0D]+"
 GOLDEN = 0.6180339887498949
-CELLS, CHUNK, ROWS_PER_BUCKET = 4096, 1024, 4096
+CELLS, CHUNK, ROWS_PER_BUCKET = 4096, 1024, 512
 
 
 @dataclass
