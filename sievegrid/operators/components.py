@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sievegrid.session import durable
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): component is the smallest id reachable.
 
     ``nodes`` has ``id``, ``edges`` has ``a`` and ``b``. Every round takes the
@@ -21,7 +21,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
     ways = F.array(F.struct(a.alias("a"), b.alias("b")), F.struct(b.alias("a"), a.alias("b")))
     links = durable(edges.filter("a <> b").select(F.explode(ways).alias("e")).select("e.*").distinct())
     labels = durable(nodes.select("id", F.col("id").alias("component")).distinct())
-    for _ in range(max_rounds):
+    while True:
         near = links.join(labels.select(F.col("id").alias("b"), "component"), "b")
         best = near.groupBy(F.col("a").alias("id")).agg(F.min("component").alias("_near"))
         # hooking the old label as well lets whole trees move at once
@@ -45,4 +45,3 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
         if stepped.filter("component <> _old").isEmpty():
             return stepped.select("id", "component")
         labels = stepped.select("id", "component")
-    raise RuntimeError("components did not settle; raise max_rounds")

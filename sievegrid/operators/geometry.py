@@ -164,17 +164,17 @@ def chain_pair_counts(chains: DataFrame, bonded: DataFrame) -> DataFrame:
     structure and once over chains of the same entity and size.
     """
     live = chains.filter("n > 1")
-    types = [r[0] for r in live.select("type").distinct().limit(64).collect()]  # a closed set of kinds
 
     def earlier(by):
-        is_type = {f"_t_{t}": (F.col("type") == t).cast("int") for t in types}
-        counted = RangeOrdered(live, by, ["chain_id"]).running_sums(is_type)
-        before = [
-            F.struct(F.lit(t).alias("t1"), (F.col(f"_t_{t}") - (F.col("type") == t).cast("int")).alias("k"))
-            for t in types
-        ]
-        long = counted.select("structure_id", F.col("type").alias("t2"), F.explode(F.array(*before)).alias("b"))
-        return long.groupBy("structure_id", F.col("b.t1").alias("t1"), "t2").agg(F.sum("b.k").alias("n"))
+        kinds = live.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("type").alias("t1")).distinct()
+        same = F.lit(True)
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        grid = live.join(kinds, same).drop(*[f"_{c}" for c in by])  # a row per chain and kind of its group
+        own = (F.col("type") == F.col("t1")).cast("int")
+        counted = RangeOrdered(grid, [*by, "t1"], ["chain_id"]).running_sums({"_k": own})
+        long = counted.select("structure_id", "t1", F.col("type").alias("t2"), (F.col("_k") - own).alias("k"))
+        return long.groupBy("structure_id", "t1", "t2").agg(F.sum("k").alias("n"))
 
     asym = F.concat_ws("_", F.lit("asym"), "t1", "t2")
     everything = earlier(["structure_id"]).select("structure_id", asym.alias("bucket"), "n")
@@ -414,13 +414,12 @@ def delta_area(atoms: DataFrame) -> DataFrame:
 
 
 def nearest_distance(
-    a: DataFrame, b: DataFrame, start: float = 8.0, noise: Column | None = None, rounds: int = 12
+    a: DataFrame, b: DataFrame, start: float = 8.0, noise: Column | None = None
 ) -> DataFrame:
     """(structure_id, atom_idx, distance) of the nearest row of ``b``; infinite without one.
 
     The radius doubles for the rows not yet answered, so each round is a grid
-    join over what is left. Rows beyond the last radius get an exact answer
-    from the structures' extents only when there is no ``b`` at all.
+    join over what is left, until nothing is. Coordinates must be finite.
     """
     slim = a.select("structure_id", "atom_idx", *XYZ)
     other = b.select("structure_id", *XYZ)
@@ -430,7 +429,7 @@ def nearest_distance(
     out, radius = lonely, start
     from sievegrid.session import durable
 
-    for _ in range(rounds):
+    while not left.isEmpty():
         found = durable(
             near(left, other, radius)
             .groupBy("structure_id", "atom_idx")
@@ -438,11 +437,7 @@ def nearest_distance(
         )
         out = out.unionByName(found)
         left = durable(left.join(found, ["structure_id", "atom_idx"], "left_anti"))
-        if left.isEmpty():
-            break
         radius *= 2
-    else:
-        raise RuntimeError("coordinates are further apart than any radius tried")
     if noise is not None:
         out = out.withColumn("distance", F.col("distance") + noise)
     return out

@@ -95,7 +95,7 @@ def msa_pairing(
     placed = RangeOrdered(groups, cx, ["-_chains", "_seen"]).running_sums({"_end": F.col("_rows")})
     start = F.col("_end") - F.col("_rows") + 1  # row 0 holds the queries
     rows = placed.filter(start < max_pairs).select(
-        *cx, "taxonomy", start.alias("_start"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_rows") - 1)).alias("_i")
+        *cx, "taxonomy", start.alias("_start"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.col("_rows"), F.lit(max_pairs) - start) - 1)).alias("_i")
     )
     rows = rows.withColumn("row", F.col("_start") + F.col("_i")).filter(F.col("row") < max_pairs)
     chains = msa.groupBy(*cx, "chain_id").agg((F.count(F.lit(1)) - 1).alias("_spare"))

@@ -125,8 +125,9 @@ def minmax_weighted_rank(
 ) -> DataFrame:
     """Top k by the worst of average rank / weight, with the metric that is the bottleneck."""
     weights = dict(weights or BINDER_WEIGHTS)
-    if any(m not in df.columns for m in weights):
-        return df.sparkSession.createDataFrame([], df.schema)
+    absent = [m for m in weights if m not in df.columns]
+    if absent:
+        raise ValueError(f"no columns for the weights of {absent}")
     if max_violations is not None and "liability_num_violations" in df.columns:
         df = df.filter(F.col("liability_num_violations") <= max_violations)
     if max_score is not None and "liability_score" in df.columns:
@@ -168,8 +169,8 @@ def quality_rank(
     worst = worst.join(df.select(key, F.col(tie_metric).alias("_tie")), key)
     dense = RangeOrdered(worst, [], ["max_rank"], [key]).rank("dense", "secondary_rank")
     final = global_row_number(dense, ["secondary_rank", "-_tie", key], "final_rank")
-    n = final.count()
-    quality = F.lit(1.0) if n == 1 else 1 - (F.col("final_rank") - 1) / F.lit(n - 1)
+    n = final.agg(F.count(F.lit(1))).scalar()
+    quality = F.when(n == 1, 1.0).otherwise(1 - (F.col("final_rank") - 1) / (n - 1))
     return final.drop("_tie").withColumn("quality_score", quality)
 
 

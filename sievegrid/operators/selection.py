@@ -57,9 +57,12 @@ def diverse_select(
             return s.map(lambda x: max(f(x) for f in to)).astype("float64")
 
         kept = frame.filter(~F.col(key).isin(gone))
-        full = [b for b, n in zip(buckets, filled) if n >= b[2]]
-        for low, high, _ in full:
-            kept = kept.filter(~F.length(seq).between(low, high - 1))
+        full = [i for i, (b, n) in enumerate(zip(buckets, filled)) if n >= b[2]]
+        if full:
+            place = F.lit(None).cast("int")
+            for i, (low, high, _) in enumerate(buckets):  # a row counts in the last bucket that holds it
+                place = F.when(F.length(seq).between(low, high - 1), i).otherwise(place)
+            kept = kept.filter(~F.coalesce(place.isin(full), F.lit(False)))
         return durable(kept.withColumn("_sim", F.greatest("_sim", closest(seq))))
 
     rows, fresh = lower_bounds(rows, [first]), []

@@ -157,12 +157,14 @@ def region_alignment(regions: DataFrame) -> DataFrame:
 
 
 def map_with_errors(
-    df: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str
+    df: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str, keys: Sequence[str] = ()
 ) -> DataFrame:
     """Run a pandas step per batch; a failing row keeps its message instead of ending the job.
 
     The step sees whole batches; only a batch that fails is tried row by row.
     ``schema`` is the result of the step, to which ``error string`` is added.
+    ``keys`` name columns of both input and result that a failing row keeps, so
+    that it can be told which one failed.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,8 +178,7 @@ def map_with_errors(
                 try:
                     yield work(pdf.iloc[[i]]).assign(error=None)
                 except Exception as problem:
-                    yield pd.DataFrame({"error": [f"{type(problem).__name__}: {problem}"]}).reindex(
-                        columns=[*[c.split()[0] for c in schema.split(",")], "error"]
-                    )
+                    failed = {k: [pdf.iloc[i][k]] for k in keys} | {"error": [f"{type(problem).__name__}: {problem}"]}
+                    yield pd.DataFrame(failed).reindex(columns=[*[c.split()[0] for c in schema.split(",")], "error"])
 
     return df.mapInPandas(run, f"{schema}, error string")

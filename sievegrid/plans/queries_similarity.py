@@ -329,7 +329,7 @@ def j23(spark, sf):
 @query(
     "u5_combine_msas",
     f"""WITH {_MSA_SQL}, p AS (SELECT msa_id, row_number() OVER (PARTITION BY msa_id ORDER BY seq_idx) - 1 AS idx,
-        CASE WHEN seq_idx % 11 = 0 THEN repeat('-', 64) ELSE row END AS sequence FROM msa WHERE seq_idx % 2 = 0 AND msa_id < 8),
+        CASE WHEN seq_idx % 11 = 0 THEN repeat('-', 64) ELSE row END AS sequence FROM msa WHERE seq_idx % 2 = 0 AND msa_id % 3 <> 0),
     u AS (SELECT msa_id, row_number() OVER (PARTITION BY msa_id ORDER BY seq_idx) - 1 AS idx, row AS sequence FROM msa WHERE seq_idx % 2 = 1),
     k AS (SELECT * FROM p WHERE idx < 12 AND replace(sequence, '-', '') <> ''), n AS (SELECT msa_id, count(*) AS n FROM k GROUP BY msa_id)
     SELECT msa_id, idx, idx AS key, sequence FROM k UNION ALL
@@ -342,6 +342,6 @@ def u5(spark, sf):
     rows = msa(spark, sf)
     gaps = F.when(F.col("seq_idx") % 11 == 0, F.lit("-" * 64)).otherwise(F.col("row"))
     number = lambda df: renumber(df, "msa_id", "seq_idx", "idx")
-    paired = number(rows.filter("seq_idx % 2 = 0 AND msa_id < 8").select("msa_id", "seq_idx", gaps.alias("sequence")))
+    paired = number(rows.filter("seq_idx % 2 = 0 AND msa_id % 3 <> 0").select("msa_id", "seq_idx", gaps.alias("sequence")))
     unpaired = number(rows.filter("seq_idx % 2 = 1").select("msa_id", "seq_idx", F.col("row").alias("sequence")))
     return setops.combine_msas(paired.drop("seq_idx"), unpaired.drop("seq_idx"), 30, 12)

@@ -27,7 +27,7 @@ def s1(spark, sf):
     uid = F.col("uid").cast("string")
     line = F.concat(uid, F.lit("|rxn:1:"), uid, F.lit(":2|"), F.array_join("items", ","))
     X.submissions(spark, sf).filter(F.size("items") > 0).select(line.alias("value")).write.text(path)
-    return R.read_local_submissions(spark, path, 1000000).select("uid", "molecules", "sequences")
+    return R.read_local_submissions(spark, path, 1000000).filter("error IS NULL").select("uid", "molecules", "sequences")
 
 
 @query(
@@ -193,9 +193,14 @@ def s10(spark, sf):
     return back.select("id", F.col("structure.method").alias("method"), good.alias("valid_chains"))
 
 
-@query("s11_list_inputs")
+@query("s11_list_inputs", "SELECT DISTINCT lang || '-' || source AS folder, true AS fits FROM documents")
 def s11(spark, sf):
-    return R.list_inputs(spark, sf, "*.parquet", 10**6).select("length", "fits")
+    """Documents written by language and source, found again by listing the files alone."""
+    path = scratch_path(spark, "s11")
+    folder = F.concat_ws("-", "lang", "source").alias("folder")
+    X.table(spark, sf, "documents").select(folder, "doc_id").repartition(folder).write.partitionBy("folder").json(path)
+    files = R.list_inputs(spark, path, "*.json", 10**9)
+    return files.select(F.regexp_extract("path", "folder=([^/]*)/", 1).alias("folder"), "fits").distinct()
 
 
 @query("s12_cluster_tsv", "SELECT lang || source AS rep, doc_id::VARCHAR AS member FROM documents")
@@ -376,7 +381,7 @@ def f28(spark, sf):
 @query(
     "x7_map_with_errors",
     """SELECT doc_id, CASE WHEN doc_id % 50 <> 0 THEN length(text) END AS n, CASE WHEN doc_id % 50 = 0 THEN 'ValueError: bad' END AS error FROM documents
-      WHERE doc_id % 50 <> 0 UNION ALL SELECT NULL, NULL, 'ValueError: bad' FROM documents WHERE doc_id % 50 = 0""",
+""",
 )
 def x7(spark, sf):
     def work(pdf):
@@ -384,4 +389,4 @@ def x7(spark, sf):
             raise ValueError("bad")
         return pdf.assign(n=pdf["text"].str.len())[["doc_id", "n"]]
 
-    return U.map_with_errors(X.documents(spark, sf), work, "doc_id long, n long")
+    return U.map_with_errors(X.documents(spark, sf), work, "doc_id long, n long", ["doc_id"])

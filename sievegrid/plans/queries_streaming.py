@@ -12,8 +12,18 @@ from sievegrid.sources.readers import read_archive
 from sievegrid.streaming import epochs as E
 
 
-def commit_stream(spark, sf):
-    events = E.stream_table(spark, sf, "events")
+SLICES, DISORDER = 6, 1700  # files, and seconds by which a row may come late (150 blocks are 1800 s)
+
+
+def event_stream(spark, sf, files_per_trigger=1):
+    """The events as slices out of order, one file to a micro-batch."""
+    path = scratch_path(spark, "events")
+    E.write_slices(X.table(spark, sf, "events"), X.epoch_seconds("ts"), SLICES, DISORDER, path)
+    return E.stream_folder(spark, path, files_per_trigger)
+
+
+def commit_stream(spark, sf, files_per_trigger=1):
+    events = event_stream(spark, sf, files_per_trigger)
     return events.select(
         F.col("event_id").alias("commit_id"),
         F.col("user_id").alias("uid"),
@@ -21,7 +31,7 @@ def commit_stream(spark, sf):
     )
 
 
-_CLOSED = "(epoch + 1) * 4332 <= (SELECT max(block) * 12 - 120 FROM commits)"
+_CLOSED = "(epoch + 1) * 4332 <= (SELECT max(block) * 12 - 1800 FROM commits)"
 
 
 @query(
@@ -37,7 +47,7 @@ def e1(spark, sf):
 @query(
     "e3_latest_commit_stream",
     X.with_sql(X.SQL_COMMITS, _WINDOW_SQL)
-    + "SELECT epoch, uid, block, commit_id FROM latest WHERE (epoch + 1) * 4332 <= (SELECT max(block) * 12 - 120 FROM windowed)",
+    + "SELECT epoch, uid, block, commit_id FROM latest WHERE (epoch + 1) * 4332 <= (SELECT max(block) * 12 - 1800 FROM windowed)",
 )
 def e3_stream(spark, sf):
     return E.run_and_read(E.latest_per_epoch(commit_stream(spark, sf)), "e3")
@@ -49,7 +59,7 @@ def e3_stream(spark, sf):
 )
 def e4(spark, sf):
     """Stream events into an archive keyed by content, then read it back."""
-    events = E.stream_table(spark, sf, "events")
+    events = event_stream(spark, sf)
     key = F.sha2(F.concat("event_type", F.lit("-"), F.col("user_id").cast("string")), 256)
     rows = events.select(key.alias("key"), F.col("event_id").alias("seq_no"))
     base = scratch_path(spark, "e4")
@@ -87,7 +97,7 @@ def e6_stream(spark, sf):
 @query(
     "e7_rate_gate",
     X.with_sql(X.SQL_COMMITS).replace("WITH", "WITH RECURSIVE", 1)
-    + """, e AS (SELECT DISTINCT uid, block FROM commits WHERE 361 - block % 361 > 20),
+    + """, e AS (SELECT DISTINCT uid, block FROM commits WHERE 361 - block % 361 > 20 AND block * 12 < (SELECT max(block) * 12 - 1800 FROM commits WHERE 361 - block % 361 > 20)),
     r AS (SELECT uid, min(block) AS block FROM e GROUP BY uid UNION ALL
       SELECT r.uid, (SELECT min(e.block) FROM e WHERE e.uid = r.uid AND e.block > r.block + 50) FROM r WHERE r.block IS NOT NULL)
     SELECT uid, block FROM r WHERE block IS NOT NULL""",
@@ -104,10 +114,10 @@ def e7(spark, sf):
     FROM commits LEFT JOIN a USING (uid)""",
 )
 def e8(spark, sf):
-    commits = X.commits(spark, sf)
-    averages = commits.filter("uid % 3 <> 0").groupBy("uid").agg(F.round(F.avg("block"), 6).alias("average"))
+    commits = commit_stream(spark, sf)
+    averages = X.commits(spark, sf).filter("uid % 3 <> 0").groupBy("uid").agg(F.round(F.avg("block"), 6).alias("average"))
     rows = commits.join(averages, "uid", "left").withColumn("local", F.col("block").cast("double"))
-    return E.consensus_or_local(rows, F.col("block") + 30).select("commit_id", "value")
+    return E.run_and_read(E.consensus_or_local(rows, F.col("block") + 30).select("commit_id", "value"), "e8")
 
 
 @query(
@@ -115,8 +125,9 @@ def e8(spark, sf):
     X.with_sql(X.SQL_COMMITS) + "SELECT commit_id, uid, block FROM commits",
 )
 def e9(spark, sf):
-    """The same stream started twice with one checkpoint processes every row once."""
+    """A stream stopped after two of its files and started again processes every row once."""
     base = scratch_path(spark, "e9")
-    for _ in range(2):
-        E.run_to_end(commit_stream(spark, sf), f"{base}/out", f"{base}/checkpoint")
+    stream = commit_stream(spark, sf)
+    E.run_some(stream, f"{base}/out", f"{base}/checkpoint", 2)
+    E.run_to_end(stream, f"{base}/out", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/out")

@@ -36,17 +36,27 @@ def _lines(text: Column) -> Column:
 
 
 def read_local_submissions(spark: SparkSession, path: str, current_block: int, seed: int = 0) -> DataFrame:
-    """``uid|mol,...|seq,...`` lines; the block is a seeded 11..360 before the current one."""
+    """``uid|mol,...|seq,...`` lines; the block is a seeded 11..360 before the current one.
+
+    The last line of a uid counts. A line of another shape comes out with its
+    text in ``error`` and nulls elsewhere; blank lines are skipped.
+    """
     parts = F.split(F.trim("value"), r"\|")
-    rows = spark.read.text(path).select(parts.alias("p"))
-    good = rows.filter((F.size("p") == 3) & F.col("p")[0].try_cast("bigint").isNotNull())
-    uid = F.col("p")[0].cast("bigint")
-    return good.select(
-        uid.alias("uid"),
-        F.split(F.col("p")[1], ",").alias("molecules"),
-        F.split(F.col("p")[2], ",").alias("sequences"),
-        (F.lit(current_block) - 11 - pick(seed, F.lit(350), uid)).alias("block_submitted"),
-        F.lit("").alias("push_time"),
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    rows = lines.select("value", parts.alias("p"), F.monotonically_increasing_id().alias("_line"))
+    uid = F.get("p", F.lit(0)).try_cast("bigint")
+    fine = (F.size("p") == 3) & uid.isNotNull()
+    read = rows.select(
+        F.when(fine, uid).alias("uid"),
+        F.when(fine, F.split(F.get("p", F.lit(1)), ",")).alias("molecules"),
+        F.when(fine, F.split(F.get("p", F.lit(2)), ",")).alias("sequences"),
+        F.when(~fine, F.concat(F.lit("malformed line: "), "value")).alias("error"),
+        "_line",
+    )
+    good = keep_one(read.filter("error IS NULL"), ["uid"], [F.col("_line")], last=True)
+    block = F.lit(current_block) - 11 - pick(seed, F.lit(350), F.col("uid"))
+    return good.unionByName(read.filter("error IS NOT NULL")).select(
+        "uid", "molecules", "sequences", block.alias("block_submitted"), F.lit("").alias("push_time"), "error"
     )
 
 
@@ -130,7 +140,7 @@ def read_msa_csv(spark: SparkSession, path: str | list[str], max_seqs: int | Non
 
 
 def read_archive(spark: SparkSession, root: str, target: str, entity: str, key: str) -> DataFrame | None:
-    """Rows of one target's archive, the last batch winning per key; None without an archive.
+    """Rows of one target's archive, the largest ``seq_no`` winning per key; None without an archive.
 
     The layout is ``root/entity=<e>/target=<t>/batch=<n>``: only the wanted
     target is listed, and appending never rewrites earlier batches.
@@ -141,7 +151,7 @@ def read_archive(spark: SparkSession, root: str, target: str, entity: str, key:
         if "PATH_NOT_FOUND" in str(error):
             return None
         raise
-    return keep_one(rows, [key], [F.col("batch"), F.col("seq_no")], last=True)
+    return keep_one(rows, [key], [F.col("seq_no"), F.col("batch")], last=True)
 
 
 def read_prediction_json(

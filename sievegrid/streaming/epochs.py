@@ -2,10 +2,16 @@
 
 Blocks map to event time at a fixed 12 s, so an epoch of 361 blocks is a
 tumbling window of 4332 s and the submission cut-off a predicate inside it.
+
+Order contract: a row may come up to ``delay_blocks`` later than a row of a
+later block. Within that, results don't depend on how the input is cut into
+files or micro-batches: windows close, and senders are gated, only once the
+watermark has passed.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -22,6 +28,7 @@ EPOCH_WINDOW = f"{EPOCH_BLOCKS * BLOCK_SECONDS} seconds"
 # Blocks that must remain and pass between two submissions; barrier of the averages.
 MIN_REMAINING, MIN_SPACING = 20, 50
 CONSENSUS_BARRIER = 100
+DELAY_BLOCKS = 150
 
 
 def block_time(block: Column) -> Column:
@@ -34,7 +41,7 @@ def before_cutoff(block: Column) -> Column:
     return (place > 0) & (place < EPOCH_BLOCKS - CUTOFF_BLOCKS)
 
 
-def watermarked(commits: DataFrame, delay_blocks: int = CUTOFF_BLOCKS) -> DataFrame:
+def watermarked(commits: DataFrame, delay_blocks: int = DELAY_BLOCKS) -> DataFrame:
     """Commits (uid, block, ...) with event time and a watermark."""
     timed = commits.withColumn("at", block_time(F.col("block")))
     return timed.withWatermark("at", f"{delay_blocks * BLOCK_SECONDS} seconds")
@@ -72,23 +79,32 @@ def latest_per_epoch(commits: DataFrame) -> DataFrame:
 
 def rate_gate(commits: DataFrame) -> DataFrame:
     """Commits a sender would really send: enough blocks remain, and enough passed since
-    its last one. The state of a sender is that one block number."""
-    timely = commits.filter(EPOCH_BLOCKS - F.pmod(F.col("block"), F.lit(EPOCH_BLOCKS)) > MIN_REMAINING)
+    its last one.
+
+    The state of a sender is its last sent block and the distinct blocks that
+    the watermark has not passed, at most one per block of the delay: earlier
+    ones may still come, so they are gated in order when it has.
+    """
+    timely = watermarked(commits).filter(EPOCH_BLOCKS - F.pmod(F.col("block"), F.lit(EPOCH_BLOCKS)) > MIN_REMAINING)
 
     def gate(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        blocks = sorted({int(b) for pdf in batches for b in pdf["block"]})
-        sent = []
-        for block in blocks:
+        last, waiting = state.get if state.exists else (None, [])
+        pending = set(waiting)
+        for pdf in batches:
+            pending.update(int(b) for b in pdf["block"].unique())
+        passed, sent = state.getCurrentWatermarkMs(), []
+        for block in sorted(b for b in pending if b * BLOCK_SECONDS * 1000 < passed):
             if last is None or block - last > MIN_SPACING:
                 sent.append(block)
                 last = block
-        if last is not None:
-            state.update((last,))
+        pending = sorted(b for b in pending if b * BLOCK_SECONDS * 1000 >= passed)
+        state.update((last, pending))
+        if pending:
+            state.setTimeoutTimestamp(pending[0] * BLOCK_SECONDS * 1000)
         yield pd.DataFrame({"uid": [key[0]] * len(sent), "block": sent})
 
-    return timely.select("uid", "block").groupBy("uid").applyInPandasWithState(
-        gate, "uid bigint, block bigint", "last bigint", "append", GroupStateTimeout.NoTimeout
+    return timely.select("uid", "block", "at").groupBy("uid").applyInPandasWithState(
+        gate, "uid bigint, block bigint", "last bigint, pending array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -126,33 +142,63 @@ def each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkp
 
 
 def archive_new(root: str, target: str, entity: str, key: str) -> Callable[[DataFrame, int], None]:
-    """Micro-batch work: keep what the archive does not hold yet, and append it.
+    """Micro-batch work: append what the archive does not hold in a version as new.
 
-    The archive is read again in every batch. Rows need ``seq_no``; the last of
-    equal keys in a batch stays.
+    The largest ``seq_no`` of a key wins, whichever batch brings it, so the
+    archive reads the same for any cut of the stream. Earlier versions stay in
+    their batches; nothing is rewritten.
     """
     from sievegrid.operators.ordering import keep_one
 
     def work(batch: DataFrame, number: int) -> None:
+        fresh = keep_one(batch, [key], [F.col("seq_no")], last=True)
         known = read_archive(batch.sparkSession, root, target, entity, key)
         if known is not None:
             # rows a failed attempt of this same batch left behind are not "known"
-            batch = batch.join(known.filter(F.col("batch") != number).select(key), key, "left_anti")
-        fresh = keep_one(batch, [key], [F.col("seq_no")], last=True)
+            held = known.filter(F.col("batch") != number).select(key, F.col("seq_no").alias("_held"))
+            fresh = fresh.join(held, key, "left").filter("_held IS NULL OR seq_no > _held").drop("_held")
         append_archive(fresh.withColumn("target", F.lit(target)), root, entity, number)
 
     return work
 
 
-def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One table file of a folder as a stream with the schema of the file."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .option("maxFilesPerTrigger", 64)
-        .parquet(folder)
+def write_slices(rows: DataFrame, at: Column, slices: int, disorder: int, path: str) -> None:
+    """Files of ``rows`` in the order of ``at`` (seconds), shifted by up to ``disorder`` seconds by hash.
+
+    Each slice is written after the one before it, so a file stream sees them in
+    this order and rows of neighbouring slices out of order.
+    """
+    shifted = at + F.pmod(F.xxhash64(*rows.columns), F.lit(disorder))
+    timed = rows.withColumn("_at", shifted)
+    low, high = timed.agg(F.min("_at"), F.max("_at")).first()
+    if low is None:
+        rows.write.parquet(path)
+        return
+    number = F.least(F.floor((F.col("_at") - low) * slices / (high - low + 1)), F.lit(slices - 1))
+    for i in range(slices):
+        timed.filter(number == i).drop("_at").write.mode("append").parquet(path)
+
+
+def stream_folder(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
+    """A folder of parquet files as a stream with the schema of what is there."""
+    schema = spark.read.parquet(folder).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+
+
+def run_some(stream: DataFrame, path: str, checkpoint: str, batches: int) -> int:
+    """Process at least ``batches`` micro-batches, stop in the middle, and say how many were done."""
+    query = (
+        stream.writeStream.format("parquet")
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
+        .trigger(processingTime="0 seconds")
+        .start()
     )
+    done = lambda: (query.lastProgress or {"batchId": -1})["batchId"] + 1
+    while query.isActive and done() < batches:
+        time.sleep(0.05)
+    query.stop()
+    return done()
 
 
 def run_and_read(stream: DataFrame, name: str) -> DataFrame:
