@@ -165,8 +165,9 @@ def archive_new(root: str, target: str, entity: str, key: str) -> Callable[[Data
 def write_slices(rows: DataFrame, at: Column, slices: int, disorder: int, path: str) -> None:
     """Files of ``rows`` in the order of ``at`` (seconds), shifted by up to ``disorder`` seconds by hash.
 
-    Each slice is written after the one before it, so a file stream sees them in
-    this order and rows of neighbouring slices out of order.
+    Each slice is one file, written after the one before it, so a file stream
+    sees them in this order and rows of neighbouring slices out of order, but
+    none later than ``disorder``. Larger tables take more slices.
     """
     shifted = at + F.pmod(F.xxhash64(*rows.columns), F.lit(disorder))
     timed = rows.withColumn("_at", shifted)
@@ -176,7 +177,7 @@ def write_slices(rows: DataFrame, at: Column, slices: int, disorder: int, path:
         return
     number = F.least(F.floor((F.col("_at") - low) * slices / (high - low + 1)), F.lit(slices - 1))
     for i in range(slices):
-        timed.filter(number == i).drop("_at").write.mode("append").parquet(path)
+        timed.filter(number == i).drop("_at").coalesce(1).write.mode("append").parquet(path)
 
 
 def stream_folder(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
