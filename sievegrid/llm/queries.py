@@ -46,7 +46,20 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).documents.drop("start", "source")
 
 
-@query("op5_multi_index")
+_OP5_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+fine AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+  AND len(list_filter(e, lambda x: x <> 0)) > 0),
+near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM near n WHERE n.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN least ON a = vec_id
+"""
+
+
+@query("op5_multi_index", _OP5_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -77,12 +90,29 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op9_warc_history")
+_OP9_SQL = """
+WITH p AS (SELECT page_id, lower(coalesce(url, '')) AS u, coalesce(html, '') AS html FROM pages),
+d AS (SELECT *, strlen(html) AS payload_bytes, sha1(html) AS hex,
+  string_split(regexp_replace(regexp_extract(u, '^[a-z]+://([^/?#:]*)', 1), '^www\\.', ''), '.') AS host,
+  regexp_extract(regexp_replace(u, '#.*$', ''), '^[a-z]+://[^/?#]*([^?]*)', 1) AS path,
+  regexp_extract(regexp_replace(u, '#.*$', ''), '[?](.*)$', 1) AS query FROM p),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS keeper FROM d)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31 AS INT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN keeper <> page_id THEN keeper END AS refers_to,
+  array_to_string(list_reverse(host), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END
+    || CASE WHEN query = '' THEN '' ELSE '?' || query END AS url_key,
+  make_timestamp((1704067200 + page_id) * 1000000) AS captured_at
+FROM k
+"""
+
+
+@query("op9_warc_history", _OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.archive(table(spark, sf_dir, "pages"))
-    return index.select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "history"
-    )
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at")
 
 
 @query("op10_merkle_fingerprints")
