@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievegrid.functions.draws import pick
+from sievegrid.functions.draws import uniform
 from sievegrid.operators.ordering import RangeOrdered
 from sievegrid.session import unnest
 
@@ -83,28 +84,31 @@ def fraction_over(
     return counted.select(*by, F.try_divide("_hits", "n_values").alias("fraction"), "n_values")
 
 
+# Chance of at most 0, 1, 2, ... draws of a row: the Poisson(1) distribution to 15 digits.
+POISSON_STEPS = [round(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)), 15) for k in range(9)]
+
+
 def bootstrap_ci(
     df: DataFrame, by: Sequence[str], value: str, key: str, n_boot: int = 1000, alpha: float = 0.05, seed: int = 0
 ) -> DataFrame:
     """Mean and percentile interval of resampled means per group.
 
-    Every (replicate, slot) draws a position by hash and joins the value there:
-    uniform join keys, partial averages, and n_boot means per group at the end.
+    In every replicate a row counts as often as a Poisson(1) number drawn by
+    hash says, which is what drawing with replacement comes to in a large group;
+    replicates that draw nothing are left out. A row meets its replicates inside
+    its task, where the sums of (group, replicate) are taken first: what is
+    shuffled is n_boot sums per group and task, never rows times replicates.
     """
-    numbered = RangeOrdered(df.select(*by, value, key), by, [key]).row_number("_slot")
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.avg(value).alias("mean"))
-    draws = (
-        numbered.select(*by, "_slot")
-        .join(sizes, list(by))
-        .withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-        .withColumn("_pick", 1 + pick(seed, F.col("_n"), *[F.col(b) for b in by], F.col("_rep"), F.col("_slot")))
-    )
-    values = numbered.select(*by, F.col("_slot").alias("_pick"), F.col(value).alias("_v"))
-    means = draws.join(values, [*by, "_pick"]).groupBy(*by, "mean", "_rep").agg(F.avg("_v").alias("_m"))
-    return means.groupBy(*by, "mean").agg(
+    draw = uniform(seed, *[F.col(b) for b in by], F.col("_rep"), F.col(key))
+    times = sum((F.when(draw >= c, 1).otherwise(0) for c in POISSON_STEPS), F.lit(0))
+    replicas = df.select(*by, F.col(value).alias("_v"), key, F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("_rep"))
+    sums = replicas.withColumn("_w", times).groupBy(*by, "_rep").agg(F.sum(F.col("_w") * F.col("_v")).alias("_s"), F.sum("_w").alias("_n"))
+    bounds = sums.filter("_n > 0").withColumn("_m", F.col("_s") / F.col("_n")).groupBy(*by).agg(
         F.percentile("_m", F.lit(alpha / 2)).alias("lower"),
         F.percentile("_m", F.lit(1 - alpha / 2)).alias("upper"),
     )
+    means = df.groupBy(*by).agg(F.avg(value).alias("mean"))
+    return means.join(bounds, list(by)).select(*by, "mean", "lower", "upper")
 
 
 def validity_rollup(df: DataFrame, by: Sequence[str], sample: str, valid: str) -> DataFrame:

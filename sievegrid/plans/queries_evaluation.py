@@ -9,7 +9,7 @@ from sievegrid.operators import aggregates as A
 from sievegrid.operators import gates as G
 from sievegrid.operators import joins as J
 from sievegrid.plans import fixtures as X
-from sievegrid.plans.queries_sampling import sql_pick
+from sievegrid.plans.queries_sampling import sql_u
 from sievegrid.plans.registry import query
 from sievegrid.session import unnest
 
@@ -96,10 +96,9 @@ _EVAL_SQL = """ev AS (SELECT l_returnflag AS tool, l_suppkey AS target, round(av
 
 @query(
     "a10_bootstrap_ci",
-    f"""WITH {_EVAL_SQL}, n AS (SELECT tool, value, row_number() OVER (PARTITION BY tool ORDER BY target) AS slot,
-      count(*) OVER (PARTITION BY tool) AS n FROM ev),
-    d AS (SELECT tool, rep, 1 + {sql_pick('0', 'n', 'tool', 'rep', 'slot')} AS slot FROM n, (SELECT range AS rep FROM range(1000))),
-    m AS (SELECT tool, rep, avg(value) AS m FROM d JOIN n USING (tool, slot) GROUP BY ALL),
+    f"""WITH {_EVAL_SQL}, d AS (SELECT tool, rep, value, {sql_u('0', 'tool', 'rep', 'target')} AS u FROM ev, (SELECT range AS rep FROM range(1000))),
+    w AS (SELECT tool, rep, value, {' + '.join(f'CAST(u >= {c!r} AS INT)' for c in A.POISSON_STEPS)} AS w FROM d),
+    m AS (SELECT tool, rep, sum(w * value) / sum(w) AS m FROM w GROUP BY ALL HAVING sum(w) > 0),
     g AS (SELECT tool, avg(value) AS mean FROM ev GROUP BY tool)
     SELECT tool, round(any_value(mean), 8) AS mean, round(quantile_cont(m, 0.025), 8) AS lower,
       round(quantile_cont(m, 0.975), 8) AS upper FROM m JOIN g USING (tool) GROUP BY tool""",

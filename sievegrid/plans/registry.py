@@ -30,6 +30,7 @@ def load_all() -> None:
     from sievegrid.plans import (  # noqa: F401
         queries_epoch,
         queries_evaluation,
+        queries_extensions,
         queries_geometry,
         queries_intake,
         queries_ranking,

@@ -23,6 +23,7 @@ def build_session(app: str = "sievegrid", master: str | None = None, **conf: str
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     settings.update(conf)
     for key, value in settings.items():
@@ -70,7 +71,7 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if current is not None:
         return current.rsplit("/", 1)[0]
-    if not context.master.startswith("local"):
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="sievegrid-")
     context.setCheckpointDir(folder)
