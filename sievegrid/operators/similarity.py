@@ -18,6 +18,7 @@ from sievegrid.operators.components import connected_components
 from sievegrid.session import durable, rebalance, unnest
 
 BUCKETS = 1024
+SHARED = 2  # prefix tokens that a candidate pair must share
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -41,39 +42,72 @@ def _frequencies(sets: DataFrame) -> Column:
     return F.lit([known.get(b, 0) for b in range(BUCKETS)])
 
 
-def _prefixes(sets: DataFrame, freq: Column, threshold: float, *keep: str) -> DataFrame:
-    """(keep..., tokens, token) with one row per prefix token."""
+def _placed(sets: DataFrame, freq: Column, threshold: float, *keep: str) -> DataFrame:
+    """(keep..., id, n, token, at, short): prefix tokens from rare to frequent.
+
+    ``at`` is the token's place, ``n`` the size of the set. A set of similarity
+    ``threshold`` to another shares ``SHARED`` tokens of its first
+    n - ceil(t n) + SHARED (or all it needs, if those are fewer); if the other is
+    at least as large, of its first n - ceil(2 t n / (1 + t)) + SHARED, which
+    ``short`` marks.
+    """
     order = F.array_sort(
         F.transform("tokens", lambda t: F.struct(F.get(freq, _bucket(t)).alias("f"), t.alias("t")))
     )
     n = F.size("tokens")
-    length = (n - F.ceil(n * threshold - 1e-9) + 1).cast("int")
-    head = F.slice(order, F.lit(1), F.greatest(length, F.lit(1)))
-    rows = unnest(sets, head, "_p", *keep, "tokens")
-    return rows.select(*keep, "tokens", F.col("_p.t").alias("token"))
+    length = lambda share: F.least(n, n - F.ceil(n * share - 1e-9) + SHARED).cast("int")
+    head = F.transform(
+        F.slice(order, F.lit(1), length(threshold)),
+        lambda x, i: F.struct(x["t"].alias("token"), (i + 1).alias("at"), (i < length(2 * threshold / (1 + threshold))).alias("short")),
+    )
+    rows = unnest(sets, head, "_p", *keep, "id", n.alias("n"))
+    return rows.select(*keep, "id", "n", "_p.token", "_p.at", "_p.short")
+
+
+def candidate_pairs(
+    left: DataFrame, right: DataFrame, threshold: float, by: tuple[str, ...] = ()
+) -> DataFrame:
+    """(id, b_id) of sets that may be similar, from (by..., id, tokens) of distinct sets.
+
+    The smaller set of a pair is looked up by its short prefix, the larger by
+    its long one; sizes must fit, and what is left behind the shared tokens must
+    be enough for the overlap that is needed (Xiao and others 2008). Tokens
+    travel alone, with the 16-byte key of their set.
+    """
+    freq = _frequencies(right)
+    a = _placed(left, freq, threshold, *by)
+    b = _placed(right, freq, threshold, *by)
+    b = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns])
+    test = F.col("token") == F.col("b_token")
+    for g in by:
+        test = test & (F.col(g) == F.col(f"b_{g}"))
+    fits = (F.col("b_n") >= F.col("n") * threshold - 1e-9) & (F.col("b_n") * threshold <= F.col("n") + 1e-9)
+    needed = (F.col("n") + F.col("b_n")) * (threshold / (1 + threshold)) - 1e-9
+    room = SHARED + F.least(F.col("n") - F.col("at"), F.col("b_n") - F.col("b_at")) >= needed
+    sides = F.when(F.col("n") <= F.col("b_n"), F.col("short")).otherwise(F.col("b_short"))
+    met = a.join(b, test & fits & room & sides).select(*by, "id", "b_id", F.least(F.ceil(needed), F.lit(SHARED)).alias("_least"))
+    counted = met.groupBy(*by, "id", "b_id").agg(F.count(F.lit(1)).alias("_n"), F.first("_least").alias("_least"))
+    return counted.filter("_n >= _least").drop("_n", "_least")
 
 
 def near_archive(
     candidates: DataFrame, archive: DataFrame, tokens: str, threshold: float, by: tuple[str, ...] = ()
 ) -> DataFrame:
     """Candidates with a Jaccard (Tanimoto) similarity >= threshold to any archived set of
-    the same group. Only the candidate leaves the join, never the pair."""
+    the same group. Copies are one set; sets meet again only as candidate pairs."""
     group = list(by)
-    left = candidates.select(*group, F.array_sort(tokens).alias("tokens")).filter(F.size("tokens") > 0).distinct()
-    left = rebalance(left)
-    right = archive.select(*group, F.array_sort(tokens).alias("tokens")).filter(F.size("tokens") > 0).distinct()
-    freq = _frequencies(right)
-    a = _prefixes(left, freq, threshold, *group)
-    b = _prefixes(right, freq, threshold, *group)
-    b = b.select(*[F.col(g).alias(f"b_{g}") for g in group], F.col("tokens").alias("b_tokens"), F.col("token").alias("b_token"))
-    test = F.col("token") == F.col("b_token")
-    for g in group:
-        test = test & (F.col(g) == F.col(f"b_{g}"))
-    na, nb = F.size("tokens"), F.size("b_tokens")
-    fits = (nb >= na * threshold - 1e-9) & (nb * threshold <= na + 1e-9)
+
+    def distinct(df: DataFrame) -> DataFrame:
+        sets = df.select(*group, F.array_sort(tokens).alias("tokens")).filter(F.size("tokens") > 0).distinct()
+        return rebalance(sets.withColumn("id", F.unhex(F.md5(F.to_json("tokens")))))
+
+    left, right = distinct(candidates), distinct(archive)
+    pairs = candidate_pairs(left, right, threshold, by)
+    other = right.select(*group, F.col("id").alias("b_id"), F.col("tokens").alias("b_tokens"))
+    full = pairs.join(left, [*group, "id"]).join(other, [*group, "b_id"])
     both = F.size(F.array_intersect("tokens", "b_tokens"))
-    similar = both * (1 + threshold) >= threshold * (na + nb) - 1e-9  # J >= t without a division
-    hits = a.join(b, test & fits & similar, "left_semi").select(*group, "tokens").distinct()
+    similar = both * (1 + threshold) >= threshold * (F.size("tokens") + F.size("b_tokens")) - 1e-9  # J >= t without a division
+    hits = full.filter(similar).select(*group, "tokens").distinct()
     keyed = candidates.withColumn("_set", F.array_sort(tokens))
     return keyed.join(hits.withColumnRenamed("tokens", "_set"), [*group, "_set"], "left_semi").drop("_set")
 
