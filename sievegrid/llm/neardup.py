@@ -185,42 +185,78 @@ def verify(pairs: DataFrame, words: DataFrame, width: int, least: float) -> Data
     return full.mapInArrow(run, "a binary, b binary")
 
 
-def rare_prefix_pairs(members: DataFrame, words: DataFrame, width: int, least: float) -> DataFrame:
-    """Pairs (a, b) across components that share one of their rarest shingles.
+def _link_across(group: pa.Table, width: int, least: float) -> pa.Table:
+    """Links of the outliers of one block with the members of one block, across classes.
 
-    ``members`` has (node, comp). Two sets of similarity ``least`` or more share
-    a shingle among the n - ceil(least * n) + 1 rarest of each (rarest over the
-    members), so no link is lost; passages that many members share are never
-    among them.
+    The shared labelled shingles of a member with all outliers are one sum of
+    columns of a table (outliers x their shingles); only pairs whose plain
+    similarity is enough are aligned, and none whose ends are tied already.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, comps, found = [], [], []
-            for node, comp, raw in zip(*(batch.column(c).to_pylist() for c in ("node", "comp", "words"))):
-                labelled = label_occurrences(shingles(np.frombuffer(raw, "<u8"), width))
-                nodes.append(node)
-                comps.append(comp)
-                found.append(labelled.view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.binary()), pa.array(comps, pa.binary()), pa.array(found, pa.list_(pa.int64()))],
-                names=["node", "comp", "found"],
-            )
-
-    found = members.join(words, "node").mapInArrow(run, "node binary, comp binary, found array<long>")
-    each = found.select("node", "comp", F.size("found").alias("n"), F.explode("found").alias("shingle"))
-    each = durable(each)
-    often = each.groupBy("shingle").agg(F.count("node").alias("often")).filter("often > 1")
-    ranked = (
-        each.join(often, "shingle", "left")
-        .groupBy("node", "comp", "n")
-        .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "shingle"))).alias("order"))
+    rows = group.to_pylist()
+    sets = [label_occurrences(shingles(np.frombuffer(r["words"], "<u8"), width)) for r in rows]
+    outliers = [k for k, r in enumerate(rows) if r["outlier"]]
+    others = [k for k, r in enumerate(rows) if not r["outlier"]]
+    tied: dict[bytes, bytes] = {}
+
+    def top(x: bytes) -> bytes:
+        while x in tied:
+            x = tied[x]
+        return x
+
+    out: list[tuple[bytes, bytes]] = []
+    for at in range(0, len(outliers), 64):
+        part = outliers[at : at + 64]
+        known = np.unique(np.concatenate([sets[k] for k in part])) if part else np.zeros(0, np.uint64)
+        has = np.zeros((len(known), len(part)), np.uint8)
+        for j, k in enumerate(part):
+            has[np.searchsorted(known, sets[k]), j] = 1
+        sizes = np.array([len(sets[k]) for k in part])
+        for k in others:
+            place = np.searchsorted(known, sets[k])
+            place[place == len(known)] = 0
+            place = place[known[place] == sets[k]] if len(known) else place[:0]
+            shared = has[place].sum(0, dtype=np.int64)
+            for j in np.flatnonzero(shared >= least * (sizes + len(sets[k]) - shared) - 1e-9):
+                o = part[j]
+                x, y = top(rows[o]["comp"]), top(rows[k]["comp"])
+                if x != y and aligned(sets[o], sets[k], least) >= least:
+                    tied[max(x, y)] = min(x, y)
+                    out.append((rows[o]["node"], rows[k]["node"]))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
+
+
+def _rest(met: DataFrame, component: DataFrame, words: DataFrame, width: int, least: float, block: int) -> DataFrame:
+    """Links (a, b) between nodes that met under one leader and are still in different classes.
+
+    ``met`` has (lead, node). The largest class under a leader is left aside:
+    pairs inside it are settled. Every other node there, an outlier, is compared
+    with all nodes of other classes, in blocks of about ``block`` outliers by
+    ``block`` nodes, each block a group of bounded size.
+    """
+    named = durable(met.join(component, "node"))
+    sizes = named.groupBy("lead", "comp").agg(F.count("node").alias("n"))
+    mixed = (
+        sizes.groupBy("lead")
+        .agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"), F.count("comp").alias("classes"))
+        .filter("classes > 1")
+        .select(
+            "lead",
+            F.col("top.comp").alias("top"),
+            F.ceil(F.col("all") / block).cast("int").alias("blocks"),
+            F.ceil((F.col("all") - F.col("top.n")) / block).cast("int").alias("turns"),
+        )
+    )
+    rows = named.join(mixed, "lead").join(words, "node")
+    pick = lambda c, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(c)).cast("int")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    base = ["lead", "node", "comp", "words"]
+    members = rows.select(*base, pick("blocks", 1).alias("block"), each("turns").alias("turn"), F.lit(False).alias("outlier"))
+    outliers = rows.filter("comp <> top").select(*base, each("blocks").alias("block"), pick("turns", 2).alias("turn"), F.lit(True).alias("outlier"))
+    return (
+        members.unionByName(outliers)
+        .groupBy("lead", "block", "turn")
+        .applyInArrow(lambda group: _link_across(group, width, least), "a binary, b binary")
     )
-    size = (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int")
-    prefix = ranked.select("node", "comp", F.explode(F.filter(F.slice("order", F.lit(1), size), lambda x: x["often"] > 1)).alias("x"))
-    left = prefix.select("x.shingle", F.col("node").alias("a"), F.col("comp").alias("ca"))
-    right = prefix.select("x.shingle", F.col("node").alias("b"), F.col("comp").alias("cb"))
-    return left.join(right, "shingle").filter("ca < cb").select("a", "b").distinct()
 
 
 def near_duplicates(
@@ -231,7 +267,7 @@ def near_duplicates(
     similarity: float = 0.8,
     sketches: int = 16,
     take: int = 3,
-    rounds: int = 2,
+    block: int = 512,
     seed: int = 7,
 ) -> DataFrame:
     """(doc_id, class_id, kept) for every row of ``docs``.
@@ -245,9 +281,9 @@ def near_duplicates(
 
     Nodes that share a key (``take`` least labelled shingles in text order,
     under one of ``sketches`` hashes) are candidates. In every key the member
-    with the fullest keys leads, and the others are compared with it alone, if
-    they aren't in its class already; after ``rounds`` leaders, members of keys
-    that still hold several classes are compared by shared rare shingles, which
+    with the fullest keys leads, and the others are compared with it alone.
+    Nodes that met under a leader and are still in different classes are then
+    compared in bounded blocks, all but those inside its largest class, so this
     misses none. A pair of similarity s shares no key with probability
     (1 - s^take)^sketches: 1e-5 at 0.8.
     """
@@ -262,35 +298,22 @@ def near_duplicates(
     wanted = live.select("id").distinct()
     words = durable(_words_of(rows.join(wanted, "id", "left_semi")).join(fullness.select("node"), "node", "left_semi").dropDuplicates(["node"]))
 
-    component = fullness.select("node", F.col("node").alias("comp"))
-    links, tested, led = None, None, None
-    for step in range(rounds + 1):
-        now = members.select("key", "m", F.col("m.node").alias("node")).join(component, "node")
-        if led is not None:
-            now = now.join(led, "key").filter("m < led").drop("led")
-        mixed = now.groupBy("key").agg(
-            F.max(F.struct("m", "comp")).alias("lead"), F.min("comp").alias("low"), F.max("comp").alias("high")
-        ).filter("low <> high").select("key", "lead")
-        if step < rounds:
-            met = now.join(mixed, "key").filter("comp <> lead.comp")
-            pairs = met.select(F.col("lead.m.node").alias("a"), F.col("node").alias("b")).distinct()
-            led = durable(mixed.select("key", F.col("lead.m").alias("led")))
-        else:
-            rest = durable(now.join(mixed.select("key"), "key", "left_semi").select("node", "comp").distinct())
-            pairs = rare_prefix_pairs(rest, words, width, similarity)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = durable(pairs)
-        if pairs.isEmpty():
-            if step < rounds and not led.isEmpty():
-                continue
-            break
-        found = durable(verify(pairs, words, width, similarity))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        component = durable(
-            connected_components(fullness.select(F.col("node").alias("id")), links).select(F.col("id").alias("node"), F.col("component").alias("comp"))
-        )
+    leads = members.groupBy("key").agg(F.max("m").alias("lead"))
+    pairs = durable(
+        members.join(leads, "key")
+        .select(F.col("lead.node").alias("a"), F.col("m.node").alias("b"))
+        .filter("a <> b")
+        .distinct()
+    )
+    links = durable(verify(pairs, words, width, similarity))
+    everyone = fullness.select(F.col("node").alias("id"))
+    named_so = lambda df: df.select(F.col("id").alias("node"), F.col("component").alias("comp"))
+    component = durable(named_so(connected_components(everyone, links)))
+    met = pairs.select(F.col("a").alias("lead"), F.col("b").alias("node"))
+    met = met.unionByName(pairs.select(F.col("a").alias("lead"), F.col("a").alias("node")).distinct())
+    more = durable(_rest(met, component, words, width, similarity, block))
+    if not more.isEmpty():
+        component = durable(named_so(connected_components(everyone, links.unionByName(more))))
     comp = component.select("node", "comp")
     classed = nodes.select("node", "id").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     classes = classed.groupBy("comp").agg(F.min("id").alias("class_id"))
