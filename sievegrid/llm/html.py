@@ -61,7 +61,7 @@ TAG_OF = {t: i for i, group in enumerate(TAG_GROUPS) for t in group.split()}
 NAME_OF = {t: i for i, group in enumerate(NAME_GROUPS) for t in group.split()}
 N_TAGS, N_NAMES = len(TAG_GROUPS), len(NAME_GROUPS)
 BORDERS = frozenset(("article", "main", "nav", "header", "footer", "aside", "form", "section"))
-WIDTH = N_TAGS + 2 * N_NAMES + 16
+WIDTH = 2 * N_TAGS + 2 * N_NAMES + 16
 EDGES = 3
 
 
@@ -195,6 +195,7 @@ def describe(page: Page, texts: list[tuple[int, str]]) -> tuple[np.ndarray, np.n
             first[node] = seen / total
         seen += len(text)
     edges = np.zeros(n, np.int64)
+    within, at = N_TAGS + N_NAMES, 2 * (N_TAGS + N_NAMES)  # own tag and names, then those of all blocks above
     for k in range(n):
         tag = page.tags[k]
         if tag in TAG_OF:
@@ -203,11 +204,9 @@ def describe(page: Page, texts: list[tuple[int, str]]) -> tuple[np.ndarray, np.n
             x[k, N_TAGS + name] = 1
         if k:
             p = parents[k]
-            above = N_TAGS + N_NAMES
-            x[k, above : above + N_NAMES] = np.maximum(x[p, above : above + N_NAMES], x[p, N_TAGS:above])
+            x[k, within:at] = np.maximum(x[p, within:at], x[p, :within])
             edges[k] = 2 if tag in BORDERS or page.names[k] else int(page.tags[p] in ("body", "html"))
             page.hidden[k] = page.hidden[k] or page.hidden[p]
-    at = N_TAGS + 2 * N_NAMES
     numbers = [
         np.ones(n), np.log1p(own) / 5, np.log1p(whole) / 8, link / np.maximum(own, 1), whole_link / np.maximum(whole, 1),
         whole / max(whole[0], 1), np.log1p(words) / 4, np.minimum(stops / np.maximum(words, 1), 1), closed, own > 0,
@@ -275,7 +274,7 @@ class Model:
         return forest.marginals(unary, self.pair)[0][:, 1]
 
 
-def train(forest: Forest, labels: np.ndarray, steps: int = 200, rate: float = 0.1, ridge: float = 1e-3) -> Model:
+def train(forest: Forest, labels: np.ndarray, steps: int = 300, rate: float = 0.1, ridge: float = 3e-4) -> Model:
     """Maximum likelihood of the labels: the gradient is observed minus expected features and pairs."""
     weights, pair = np.zeros(forest.x.shape[1]), np.zeros((EDGES, 2, 2))
     inner = np.flatnonzero(forest.parents >= 0)
@@ -402,12 +401,17 @@ class PageMaker:
                 out.append(self.boilerplate(r.choice(["ad", "side", "share", "notice", "form", "nav"])))
         if r.random() < 0.15:
             out.append(self.boilerplate("comments"))
+        if r.random() < 0.12:  # blocks of the article beside those of the page, without an element around them
+            mark = lambda part: part if 'data-y="0"' in part[:80] else re.sub(r"^<(\w+)", r'<\1 data-y="1"', part)
+            return "".join(map(mark, out))
         tag = r.choice(["article", "article", "main", "div", "section"])
         other = 0.0 if tag in ("div", "section") and r.random() < 0.8 else 0.5
         return f'<{tag}{self.name(10, other)} data-y="1">{"".join(out)}</{tag}>'
 
     def page(self) -> str:
         r = self.r
+        if r.random() < 0.03:
+            return f'<html><body data-y="1">{self.prose(1, 12)}</body></html>'
         before = [k for k, p in (("notice", 0.2), ("header", 0.5), ("nav", 0.7), ("ad", 0.4), ("form", 0.15)) if r.random() < p]
         after = [k for k, p in (("side", 0.4), ("comments", 0.35), ("share", 0.2), ("ad", 0.25), ("nav", 0.2), ("form", 0.1), ("notice", 0.1), ("footer", 0.75)) if r.random() < p]
         r.shuffle(before)
@@ -438,7 +442,7 @@ def labelled(source: str) -> tuple[Page, np.ndarray]:
     return page, np.array(page.marks)
 
 
-def default_model(pages: int = 300, seed: int = 5) -> Model:
+def default_model(pages: int = 400, seed: int = 5) -> Model:
     """A model trained on ``pages`` labelled pages of ``PageMaker`` (a fixed number, whatever the input)."""
     maker = PageMaker(seed)
     made = [labelled(maker.page()) for _ in range(pages)]

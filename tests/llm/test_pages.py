@@ -10,7 +10,7 @@ from sievegrid.llm import html as H
 
 @pytest.fixture(scope="module")
 def model():
-    return H.default_model(120)
+    return H.default_model()
 
 
 def test_messages_equal_enumeration():
@@ -50,6 +50,10 @@ TEXT = "A title of words First & long enough sentence, with é and — signs. Se
         f"<html><body><nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav><article>{BODY}</article><footer>&copy; host</footer></body></html>",
         f"<body><header><a href=/>Site name</a></header><div class=sidebar><h3>Related</h3><ul><li><a href=1>x y</a></ul></div><main>{BODY}</main><div class='ad'>Buy this now, it is good.</div>",
         f"<div id=cookie-notice>We use cookies. Accept them please.</div><div class=content>{BODY}</div><div id=comments><div class=comment><p>I think this is bad, said a reader.</p></div></div>",
+        f"<body>{BODY}</body>",
+        f"<div role=navigation><ul><li><a href=1>one</a><li><a href=2>two</a></ul></div><div id=main-content>{BODY}</div><div role=contentinfo><p>Some words about the site.</p></div>",
+        f"<article>{BODY}<aside><h3>Related</h3><ul><li><a href=1>one more</a></ul></aside><section class=comments><h2>Comments</h2><div class=comment><p>This is what a reader had to say.</p></div></section></article>",
+        f"<ol class=breadcrumb><li><a>Home</a></li><li>Here</li></ol><article>{BODY}<div class='share-buttons'><a>Tweet</a> <a>Post</a></div></article><div class='newsletter-popup'><p>Join us, it is free.</p></div>",
         f"<article>{BODY}<script>var t='</p><p>no</p>';</script><style>p{{}}</style><!-- <p>no</p> --><form><label>Name</label><input><button>Send</button></form></article>",
     ],
 )
