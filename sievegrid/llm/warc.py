@@ -19,6 +19,7 @@ VERSION = "WARC/1.1"
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_ID = "urn:page:"
+EPOCH = 1_704_067_200  # 2024-01-01
 
 ENTRY = (
     "url_key string, captured_at timestamp, page_id long, url string, record_type string, "
@@ -67,7 +68,8 @@ def records(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """One column ``value``: the record of each page without its closing blank lines.
 
     ``pages`` has page_id, url, html and captured_at. Null html is an empty
-    payload, null url an empty target; rows with equal page_id and payload are
+    payload, null url an empty target, a null time the first of 2024; a null
+    page_id is an empty id, smaller than any other. Rows with equal page_id and payload are
     captures of their own with equal ids.
     """
     payload = F.coalesce("html", F.lit(""))
@@ -75,15 +77,15 @@ def records(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     rows = pages.select(
         "page_id",
         F.coalesce("url", F.lit("")).alias("url"),
-        "captured_at",
+        F.coalesce("captured_at", F.timestamp_seconds(F.lit(EPOCH))).alias("captured_at"),
         payload.alias("payload"),
         digest.alias("payload_digest"),
         F.octet_length(payload).cast("long").alias("payload_bytes"),
     )
     keepers = decide(rows.select("page_id", "payload"), min_revisit_bytes)
     joined = rows.join(keepers, ["payload_digest", "payload_bytes"], "left")
-    revisit = F.coalesce(F.col("keeper") != F.col("page_id"), F.lit(False))
-    ident = lambda c: F.concat(F.lit(f"<{RECORD_ID}"), c.cast("string"), F.lit(">"))
+    revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
+    ident = lambda c: F.concat(F.lit(f"<{RECORD_ID}"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"),
@@ -211,14 +213,14 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                         len(payload) != declared or b32encode(sha1(payload).digest()).decode() != digest
                     ):
                         raise ValueError(f"{name}: record at {offset} doesn't match its digest")
-                    ident = lambda x: int(x.strip("<>").removeprefix(RECORD_ID)) if x else None
+                    ident = lambda x: int(n) if (n := (x or "").strip("<>").removeprefix(RECORD_ID)) else None
                     when = datetime.datetime.strptime(head["warc-date"], "%Y-%m-%dT%H:%M:%SZ")
                     url = head.get("warc-target-uri", "")
                     rows.append(
                         (url_key(url), when.replace(tzinfo=datetime.timezone.utc), ident(head["warc-record-id"]), url,
                          kind, declared, digest, ident(head.get("warc-refers-to")), offset, name.rpartition("/")[2])
                     )
-                rows.sort(key=lambda r: (r[0], r[1], r[2]))
+                rows.sort(key=lambda r: (r[0], r[1], r[2] is not None, r[2] or 0))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 10, ARROW)], names=[x.name for x in ARROW_SCHEMA]
                 )
@@ -294,7 +296,9 @@ def merge_runs(entries: DataFrame) -> DataFrame:
         held = held.combine_chunks()
         names = held.column("run").to_pylist()
         borders = [0] + [i for i in range(1, len(names)) if names[i] != names[i - 1]] + [len(names)]
-        keys = list(zip(*[held.column(c).to_pylist() for c in order]))
+        keys = [
+            (url, when, page is not None, page or 0) for url, when, page in zip(*[held.column(c).to_pylist() for c in order])
+        ]  # nulls first, as Spark sorts
         runs = [((keys[i], i) for i in range(a, b)) for a, b in zip(borders, borders[1:])]
         places = [key[1] for _, key in LoserTree(runs)]
         merged = held.take(pa.array(places)).append_column("history", pa.array(range(len(places)), pa.int64()))
@@ -309,14 +313,14 @@ def archive(
     """Write ``pages`` (page_id, url, html) as archives, read them back, merge the index.
 
     Returns one row per page in capture order. ``captured_at`` defaults to one
-    second per page_id from 2024 on (null page_ids raise when read back).
+    second per page_id from 2024 on.
     The runs are kept beside the archives, so that neither the sample for the
     ranges nor a lost task reads an archive again. An empty table gives an empty
     index. Other columns are ignored.
     """
     spark = pages.sparkSession
     path = path or scratch_path(spark, "warc")
-    when = captured_at if captured_at is not None else F.timestamp_seconds(F.lit(1_704_067_200) + F.col("page_id"))
+    when = captured_at if captured_at is not None else F.timestamp_seconds(F.lit(EPOCH) + F.col("page_id"))
     write_archives(pages.select("page_id", "url", "html", when.alias("captured_at")), f"{path}/archive", min_revisit_bytes)
     read_archives(spark, f"{path}/archive").write.parquet(f"{path}/runs")
     return merge_runs(spark.read.schema(ENTRY).parquet(f"{path}/runs"))

@@ -74,6 +74,13 @@ def test_repeated_rows_and_empty_table(spark, tmp_path):
     assert W.archive(pages.limit(0), str(tmp_path / "d")).count() == 0
 
 
+def test_nulls(spark, tmp_path):
+    rows = [(None, "u", "a", "", ""), (None, None, None, None, None), (3, "u", "a", "", ""), (None, "v", "b", "", "")]
+    got = W.archive(spark.createDataFrame(rows, SCHEMA), str(tmp_path / "e")).collect()
+    found = sorted((r.page_id or -1, r.url_key, r.record_type, r.refers_to or -1) for r in got)
+    assert found == [(-1, ")/", "response", -1), (-1, ")u", "revisit", 3), (-1, ")v", "response", -1), (3, ")u", "response", -1)]
+
+
 def test_url_keys():
     assert W.url_key("HTTPS://www.A.Example.com:80/X?y=1#z") == "com,example,a)/x?y=1"
     assert W.url_key("") == ")/"
