@@ -147,8 +147,12 @@ class RangeOrdered:
             *self.columns, *[F.col(f"_previous.{v}").alias(f"{prefix}{v}") for v in values]
         )
 
-    def rank(self, method: str = "min", name: str = "rank") -> DataFrame:
-        """``min`` (competition), ``dense`` or ``average`` rank of the order columns."""
+    def rank(self, method: str = "min", name: str = "rank", number: str | None = None) -> DataFrame:
+        """``min`` (competition), ``dense`` or ``average`` rank of the order columns.
+
+        ``number`` adds the row number in the total order under that name, from
+        the same sort.
+        """
         key = F.struct(*[F.col(_name(o)).alias(f"k{i}") for i, o in enumerate(self.order_names)])
         ties = self._local(total=False)
         rows = durable(
@@ -159,6 +163,7 @@ class RangeOrdered:
                     "_first": F.rank().over(ties),
                     "_dense": F.dense_rank().over(ties),
                     "_last": F.count(F.lit(1)).over(ties),  # range frame: ties included
+                    **({"_place": F.row_number().over(self._local())} if number else {}),
                 }
             )
         )
@@ -232,7 +237,8 @@ class RangeOrdered:
         else:
             raise ValueError(f"unknown rank method: {method}")
         out = self._attach(rows, crossing)
-        return out.select(*self.columns, value.alias(name))
+        extra = [(offset + F.col("_place")).alias(number)] if number else []
+        return out.select(*self.columns, value.alias(name), *extra)
 
 
 def global_row_number(

@@ -167,8 +167,7 @@ def quality_rank(
     weight_of = F.create_map(*[F.lit(x) for m, w in used.items() for x in (m, float(w))])
     worst = ranks.groupBy(key).agg(F.max(F.col("rank") / weight_of[F.col("metric")]).alias("max_rank"))
     worst = worst.join(df.select(key, F.col(tie_metric).alias("_tie")), key)
-    dense = RangeOrdered(worst, [], ["max_rank"], [key]).rank("dense", "secondary_rank")
-    final = global_row_number(dense, ["secondary_rank", "-_tie", key], "final_rank")
+    final = RangeOrdered(worst, [], ["max_rank"], ["-_tie", key]).rank("dense", "secondary_rank", "final_rank")
     n = final.agg(F.count(F.lit(1))).scalar()
     quality = F.when(n == 1, 1.0).otherwise(1 - (F.col("final_rank") - 1) / (n - 1))
     return final.drop("_tie").withColumn("quality_score", quality)

@@ -65,3 +65,16 @@ def test_global_row_number_and_keep_one(rows):
     by_group = pdf.sort_values(["v", "id"]).groupby("g")["id"]
     assert (first.sort_index() == by_group.first().sort_index()).all()
     assert (last.sort_index() == by_group.last().sort_index()).all()
+
+
+def test_rank_and_row_number_from_one_sort(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(i, r.randint(0, 9), r.randint(0, 4)) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, a long, b long").repartition(5)
+    got = RangeOrdered(df, [], ["a"], ["-b", "id"]).rank("dense", "d", "n").collect()
+    order = sorted(rows, key=lambda x: (x[1], -x[2], x[0]))
+    place = {x[0]: i + 1 for i, x in enumerate(order)}
+    dense = {v: i + 1 for i, v in enumerate(sorted({x[1] for x in rows}))}
+    assert all(x.n == place[x.id] and x.d == dense[x.a] for x in got)
