@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,20 +123,28 @@ def differing_lines(left: Column, right: Column) -> Column:
     return F.when(left["root"] == right["root"], F.array().cast("array<int>")).otherwise(kept)
 
 
-def with_next(docs: DataFrame, key: str, values: list[str], per_partition: int = 4) -> DataFrame:
-    """``docs`` with ``next``, a struct of ``values`` of the row with the next ``key``.
+def with_next(
+    docs: DataFrame,
+    key: str,
+    value: str,
+    derive: Callable[[DataFrame], DataFrame],
+    wanted: list[str],
+    per_partition: int = 4,
+) -> DataFrame:
+    """``derive(docs)`` with ``next``, a struct of ``wanted`` of the row with the next ``key``.
 
     The row after the last is the first. Nulls come first; rows of one key are
-    ordered by their values. The keys are cut into ranges by quantiles that are
+    ordered by ``value``. What ``derive`` adds is computed after the shuffle, so
+    only ``docs`` itself travels. The keys are cut into ranges by quantiles that are
     keys themselves; each range also gets a copy of the rows that open the next
     range, so one shuffle by range and a window inside it are enough. What the
     driver sees is one key per range.
     """
     spark = docs.sparkSession
-    wanted = per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shares = [i / wanted for i in range(1, wanted)]
+    ranges = per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shares = [i / ranges for i in range(1, ranges)]
     found = docs.agg(
-        F.percentile_approx(key, [float(s) for s in shares], F.lit(100 * wanted)).alias("cuts"),
+        F.percentile_approx(key, [float(s) for s in shares], F.lit(100 * ranges)).alias("cuts"),
         F.min(key).alias("low"),
         F.max(F.col(key).isNull()).alias("nulls"),
     ).first()
@@ -149,14 +159,12 @@ def with_next(docs: DataFrame, key: str, values: list[str], per_partition: int =
         F.when(first, place(F.lit(len(cuts)), 2)),
     )
     spread = docs.withColumn("_own", own).withColumn("_at", F.explode(F.filter(places, lambda p: p.isNotNull())))
-    window = Window.partitionBy("_at.range").orderBy(
-        F.col("_at.guest"), F.col(key).asc_nulls_first(), *[F.col(v).asc_nulls_first() for v in values]
-    )
-    return (
-        spread.withColumn("next", F.lead(F.struct(*values)).over(window))
-        .filter("_at.guest = 0")
-        .drop("_own", "_at")
+    dealt = spread.select(*docs.columns, F.col("_at.range").alias("_range"), F.col("_at.guest").alias("_guest")).repartition("_range")
+    window = Window.partitionBy("_range").orderBy(
+        F.col("_guest"), F.col(key).asc_nulls_first(), F.col(value).asc_nulls_first()
     )
+    found = derive(dealt).withColumn("next", F.lead(F.struct(*wanted)).over(window))
+    return found.filter("_guest = 0").drop("_range", "_guest")
 
 
 def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -167,9 +175,14 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
     too); repeated rows each give a row; other columns are ignored.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    own = docs.select(F.col(key).alias("doc_id"), body.alias("text")).withColumn("t", tree(F.col("text")))
-    own = own.select("doc_id", "text", spelled(F.col("t")).alias("fingerprint"), F.col("t.phrases").alias("phrases"))
-    paired = with_next(own, "doc_id", ["text", "phrases"])
+    own = docs.select(F.col(key).alias("doc_id"), body.alias("text"))
+
+    def printed(rows: DataFrame) -> DataFrame:
+        kept = [c for c in rows.columns if c not in ("fingerprint", "phrases")]
+        with_tree = rows.withColumn("_tree", tree(F.col("text")))
+        return with_tree.select(*kept, spelled(F.col("_tree")).alias("fingerprint"), F.col("_tree.phrases").alias("phrases"))
+
+    paired = with_next(own, "doc_id", "text", printed, ["text", "phrases"])
     quarter = F.floor(F.length("text") / 4).cast("int")
     edited = F.concat(
         F.substr("text", F.lit(1), F.length("text") - F.col("_quarter")),
