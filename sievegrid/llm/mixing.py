@@ -17,7 +17,7 @@ CELLS, CHUNK, ROWS_PER_BUCKET = 4096, 1024, 512
 
 @dataclass
 class Mix:
-    """sources: (source, source_size, target, blocks); schedule: (slot, source, pass, block);
+    """sources: (source, source_size, target, blocks); schedule: (slot, source, pass, block, words);
     documents: one row per input row with its place in its source's line and ``taken``."""
 
     sources: DataFrame
@@ -76,13 +76,18 @@ def lines(sized: DataFrame) -> DataFrame:
 
 
 def schedule(sources: DataFrame, total: int, block: int, passes: int) -> DataFrame:
-    """(slot, s, pass, block): which block of which source every slot takes.
+    """(slot, s, pass, block, words): which block of which source every slot takes, and its first words.
 
     Slot k looks at the golden-ratio point (k + 1/2) / phi mod 1 on the line of
     cumulative targets. The r-th slot of a source takes its block r mod n in
     pass r div n. Points meet sources in ``CELLS`` cells of the line, and slots
     are counted by chunks of ``CHUNK`` before they are numbered, so that no
     source is numbered in one task.
+
+    Points know nothing of part-filled blocks, nor of sources smaller than a
+    block, so every source is settled: slots past its target go, the one that
+    reaches it takes a part of its block, and blocks still missing (a few for
+    any source) follow in slots after the last one.
     """
     spark = sources.sparkSession
     share = RangeOrdered(sources, [], ["rank"]).running_sum("target", "high")
@@ -100,10 +105,24 @@ def schedule(sources: DataFrame, total: int, block: int, passes: int) -> DataFra
     counts = counts.select("s", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     inside = F.row_number().over(Window.partitionBy("s", "chunk").orderBy("slot")) - 1
     ranked = met.withColumn("inside", inside).join(counts, ["s", "chunk"]).withColumn("r", F.col("inside") + F.col("before"))
-    turn = F.floor(F.col("r") / F.col("blocks"))
-    return ranked.select("slot", "s", turn.alias("pass"), (F.col("r") % F.col("blocks")).alias("block")).filter(
-        F.col("pass") < passes
+    own = sources.filter("source_size > 0").withColumn(
+        "due", F.least(F.round("target").cast("long"), passes * F.col("source_size"))
     )
+    whole, rest = F.floor(F.col("due") / F.col("source_size")), F.col("due") % F.col("source_size")
+    own = own.select("s", "source_size", "blocks", "due", (whole * F.col("blocks") + F.ceil(rest / block)).alias("needed"))
+    got = ranked.groupBy("s").agg(F.count("slot").alias("got"))
+    short = own.join(got, "s", "left").withColumn("got", F.coalesce("got", F.lit(0))).filter("got < needed")
+    short = durable(short.select("s", F.explode(F.sequence("got", F.col("needed") - 1)).alias("r")))
+    late = global_row_number(short, ["s", "r"], "late").select((F.col("late") - 1 - (total // -block)).alias("slot"), "s", "r")
+    settled = ranked.select("slot", "s", "r").unionByName(late).join(own, "s").filter("r < needed")
+    settled = settled.withColumn("pass", F.floor(F.col("r") / F.col("blocks"))).withColumn("block", F.col("r") % F.col("blocks"))
+    left = F.col("due") - F.col("pass") * F.col("source_size") - F.col("block") * block
+    return settled.select("slot", "s", "pass", "block", F.least(left, filled(block)).alias("words"))
+
+
+def filled(block: int) -> Column:
+    """The words of a block: the last one of a source may be part-filled."""
+    return F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
 
 
 def mix(
@@ -119,8 +138,9 @@ def mix(
     """How many words of every document a mix of as many words as ``docs`` has takes.
 
     A source's shuffled line of words is cut into equal blocks, about ``slots``
-    of them over all sources at any size of the input, so a source misses its
-    target by a few parts in ``slots``. Blocks cut documents where they fall.
+    of them over all sources at any size of the input. Its last slot takes what
+    its target still lacks, so every source, however small, gets its target to
+    the word. Blocks cut documents where they fall.
     Null texts have no words and null is a source of its own. Repeated rows are
     documents of their own; columns other than the three are ignored.
     """
@@ -133,16 +153,19 @@ def mix(
     block = max(1, -(-total // slots))
     found = found.withColumn("blocks", F.ceil(F.col("source_size") / block))
     plan = durable(schedule(found, total, block, passes))
-    uses = plan.groupBy("s", "block").agg(F.count("slot").alias("uses"))
+    full = F.col("words") == filled(block)
+    uses = plan.join(found.select("s", "source_size"), "s").groupBy("s", "block")
+    uses = uses.agg(F.count(F.when(full, 1)).alias("uses"), F.coalesce(F.max(F.when(~full, F.col("words"))), F.lit(0)).alias("part"))
     line = durable(lines(sized))
     end = F.col("start") + F.col("size")
     numbers = F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))
     pieces = line.filter("size > 0").select("s", "start", "size", F.explode(numbers).alias("block"))
-    overlap = F.least(end, (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
+    first = F.col("block") * block
+    overlap = lambda length: F.greatest(F.least(end, first + length) - F.greatest("start", first), F.lit(0))
     taken = (
         pieces.join(uses, ["s", "block"])
         .groupBy("s", "start", "size")
-        .agg(F.sum(overlap * F.col("uses")).alias("taken"))
+        .agg(F.sum(overlap(F.lit(block)) * F.col("uses") + overlap(F.col("part"))).alias("taken"))
     )
     with_taken = line.join(taken, ["s", "start", "size"], "left")
     out = with_taken.join(found.select("s", "source_size", "target"), "s")

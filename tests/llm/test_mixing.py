@@ -67,6 +67,30 @@ def test_slots_follow_the_targets_from_the_start(make_docs, prose):
         assert ranks == sorted(ranks)
 
 
+def test_sources_smaller_than_blocks_get_their_targets(make_docs, prose):
+    """Sources of less than a block, of a block and a bit, and of several, as in a large input."""
+    sizes = {"big": 6000, "s1": 2, "s2": 7, "s3": 50, "s4": 130, "s5": 420}
+    rows, n = [], 0
+    for source, size in sizes.items():
+        for at in range(0, size, 40):
+            rows.append((n, prose(min(40, size - at), n), "en", source))
+            n += 1
+    for slots in (60, 25):
+        result = mixing.mix(make_docs(rows), slots=slots)
+        taken, want = Counter(), fair(sizes)
+        for r in result.documents.collect():
+            assert 0 <= r.taken <= 3 * r["size"]
+            taken[r.source] += r.taken
+        for s in sizes:
+            assert abs(taken[s] - want[s]) <= 0.5 + 1e-6, (slots, s)
+        plan = result.schedule.collect()
+        assert len({r.slot for r in plan}) == len(plan)
+        planned = Counter()
+        for r in plan:
+            planned[r.s[1:]] += r.words
+        assert planned == taken
+
+
 def test_empty_tables(make_docs):
     assert mixing.mix(make_docs([])).documents.count() == 0
     got = mixing.mix(make_docs([(1, None, None, None), (2, "", "en", "a")])).documents.collect()
