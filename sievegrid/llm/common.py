@@ -19,6 +19,12 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def row_key(*values: Column) -> Column:
+    """16 bytes that are equal for rows with equal values, null equal to null only."""
+    spelled = [F.coalesce(F.concat(F.length(v.cast("string")).cast("string"), F.lit(":"), v.cast("string")), F.lit("-")) for v in values]
+    return F.unhex(F.md5(F.concat(*spelled)))
+
+
 def offsets(lengths: Column) -> Column:
     """Exclusive prefix sums of an array of integers.
 

@@ -8,9 +8,10 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievegrid.llm.common import row_key, text_of
 from sievegrid.operators.components import connected_components
 from sievegrid.session import durable
 
@@ -133,7 +134,7 @@ def _node(words: np.ndarray) -> bytes:
 
 
 def sketch(docs: DataFrame, width: int, sketches: int, take: int, seed: int) -> DataFrame:
-    """(id, node, keys): ``node`` is a 128-bit hash of the text's words in order."""
+    """(id, row, node, keys): ``node`` is a 128-bit hash of the text's words in order."""
     seeds = _mix(np.arange(1, sketches + 1, dtype=np.uint64) * BASE + np.uint64(seed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,11 +146,11 @@ def sketch(docs: DataFrame, width: int, sketches: int, take: int, seed: int) ->
                 labelled = label_occurrences(shingles(words, width))
                 keys.append(order_min_hash(labelled, seeds, take).view(np.int64) if len(labelled) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["id", "node", "keys"],
+                [batch.column("id"), batch.column("row"), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["id", "row", "node", "keys"],
             )
 
-    return docs.mapInArrow(run, "id long, node binary, keys array<long>")
+    return docs.mapInArrow(run, "id long, row binary, node binary, keys array<long>")
 
 
 def _words_of(docs: DataFrame) -> DataFrame:
@@ -259,7 +260,31 @@ def _rest(met: DataFrame, component: DataFrame, words: DataFrame, width: int, le
     )
 
 
-def near_duplicates(
+def row_of(key: str, text: str) -> Column:
+    """What tells a row from others: its id, null too, and its text."""
+    return row_key(F.col(key).cast("long"), text_of(text))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """(doc_id, class_id, kept) for every row of ``docs``; settings and rules as in ``classes``.
+
+    The row with the smallest doc_id of a class is kept (one row of it, if it is
+    repeated; null ids come last).
+    """
+    kept = F.col("id").eqNullSafe(F.col("class_id")).alias("kept")
+    return classes(docs, key, text, **settings).select(F.col("id").alias("doc_id"), "class_id", kept)
+
+
+def keepers(docs: DataFrame, **settings) -> DataFrame:
+    """(row): the ``row_of`` of exactly one row of every class, that of the smallest doc_id.
+
+    Among rows of that id, and where all ids are null, the smallest ``row_of`` decides.
+    """
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row"))
+    return classes(docs, **settings).groupBy("comp").agg(first.alias("first")).select("first.row")
+
+
+def classes(
     docs: DataFrame,
     key: str = "doc_id",
     text: str = "text",
@@ -270,12 +295,11 @@ def near_duplicates(
     block: int = 512,
     seed: int = 7,
 ) -> DataFrame:
-    """(doc_id, class_id, kept) for every row of ``docs``.
+    """(id, row, comp, class_id) for every row of ``docs``; ``row`` is its ``row_of``.
 
     Texts are words between blanks; two are linked if the alignment of their
     labelled ``width``-word shingles gives ``similarity`` or more; classes are
-    what links reach, named by their smallest doc_id, and that row is kept
-    (one row of it, if it is repeated; null ids come last). Copies with equal
+    what links reach, named by their smallest doc_id. Copies with equal
     words are one node, so they cost no comparison; texts without words are
     copies of each other. Texts shorter than ``width`` words are one shingle.
 
@@ -287,16 +311,16 @@ def near_duplicates(
     misses none. A pair of similarity s shares no key with probability
     (1 - s^take)^sketches: 1e-5 at 0.8.
     """
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("id"), row_of(key, text).alias("row"), text_of(text).alias("text"))
     drawn = durable(sketch(rows, width, sketches, take, seed))
-    nodes = drawn.groupBy("node").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
-    each = nodes.filter("keys IS NOT NULL").select("node", "id", F.explode("keys").alias("key"))
+    nodes = drawn.groupBy("node").agg(F.min("id").alias("id"), F.min("row").alias("row"), F.first("keys").alias("keys"))
+    each = nodes.filter("keys IS NOT NULL").select("node", "row", F.explode("keys").alias("key"))
     sizes = each.groupBy("key").agg(F.count("node").alias("size")).filter("size > 1")
     live = durable(each.join(sizes, "key"))
     fullness = live.groupBy("node").agg(F.sum("size").alias("full"))
     members = durable(live.join(fullness, "node").select("key", F.struct("full", "node").alias("m")))
-    wanted = live.select("id").distinct()
-    words = durable(_words_of(rows.join(wanted, "id", "left_semi")).join(fullness.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    wanted = live.select("row").distinct()
+    words = durable(_words_of(rows.join(wanted, "row", "left_semi")).join(fullness.select("node"), "node", "left_semi").dropDuplicates(["node"]))
 
     leads = members.groupBy("key").agg(F.max("m").alias("lead"))
     pairs = durable(
@@ -316,7 +340,6 @@ def near_duplicates(
         component = durable(named_so(connected_components(everyone, links.unionByName(more))))
     comp = component.select("node", "comp")
     classed = nodes.select("node", "id").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    classes = classed.groupBy("comp").agg(F.min("id").alias("class_id"))
-    named = classed.join(classes, "comp").select("node", "class_id")
-    out = drawn.select("id", "node").join(named, "node")
-    return out.select(F.col("id").alias("doc_id"), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+    least = classed.groupBy("comp").agg(F.min("id").alias("class_id"))
+    named = classed.join(least, "comp").select("node", "comp", "class_id")
+    return drawn.select("id", "row", "node").join(named, "node").select("id", "row", "comp", "class_id")

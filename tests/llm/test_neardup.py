@@ -117,3 +117,20 @@ def test_links_past_the_leader(make_docs, prose):
     for block in (8, 512):
         got = {r.doc_id: r.class_id for r in N.near_duplicates(make_docs(rows), block=block).collect()}
         assert got == {i: want[(i, t)] for i, t, _, _ in rows}
+
+
+def test_near_copies_without_an_id_are_linked(make_docs, prose):
+    """A copy without an id belongs to its class, and one may be the bridge between two others."""
+    first, alone = prose(200, 1).split(), prose(150, 2)
+    change = lambda words, a, b: " ".join("new" if a <= i < b and i % 5 == 0 else w for i, w in enumerate(words))
+    rows = [
+        (1, change(first, 0, 15), "en", "a"), (None, " ".join(first), "en", "a"), (2, change(first, 185, 200), "en", "a"),
+        (None, alone, "en", "a"), (None, alone + " end", "en", "a"), (3, prose(90, 3), "en", "a"),
+    ]
+    x, y, z = (labelled(t) for _, t, _, _ in rows[:3])
+    assert N.aligned(x, y, 0.8) and N.aligned(y, z, 0.8) and not N.aligned(x, z, 0.85)
+    docs = make_docs(rows)
+    want = brute_force(rows)
+    got = N.near_duplicates(docs).collect()
+    assert sorted(map(str, ((r.doc_id, r.class_id) for r in got))) == sorted(map(str, ((i, want[(i, t)]) for i, t, _, _ in rows)))
+    assert N.keepers(docs).count() == 3
