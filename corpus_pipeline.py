@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievegrid.llm import language, mixing, neardup, packing, secrets
+from sievegrid.llm.common import row_key
 from sievegrid.session import scratch_path, ship_package
 
 
@@ -18,10 +19,14 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of every group of near-duplicates."""
+    """One document of every group of near-duplicates, that with the smallest doc_id; null ids come last.
+
+    Rows are told apart by id and text, so texts that share an id, or have none, are decided each on its own.
+    """
     ship_package(spark)
-    kept = neardup.near_duplicates(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    rows = docs.withColumn("_row", neardup.row_of("doc_id", "text"))
+    kept = neardup.keepers(docs).select(F.col("row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,14 +40,18 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; a part of a document is its first words.
 
     A document that is taken q times and a rest comes q times whole and once
-    with as many words as the rest; one that isn't taken goes.
+    with as many words as the rest; one that isn't taken goes. Rows are told apart
+    by all columns; equal rows come each as often as the mix takes it.
     """
-    taken = mixing.mix(docs).documents.groupBy("doc_id").agg(
-        F.max("size").alias("_size"), F.floor(F.sum("taken") / F.count("taken")).alias("_taken")
-    ).filter("_taken > 0")
-    spread = docs.join(taken, "doc_id").withColumn("_rest", F.col("_taken") % F.col("_size"))
-    turns = F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))
-    spread = spread.withColumn("_turn", F.explode(turns))
+    rows = docs.withColumn("_row", row_key(*[F.col(c) for c in docs.columns]))
+    taken = mixing.mix(rows, key="_row").documents.filter("taken > 0").groupBy(F.col("doc_id").alias("_row"), "taken").agg(
+        F.max("size").alias("_size"), F.count("taken").alias("_rows")
+    )
+    spread = rows.dropDuplicates(["_row"]).join(taken, "_row").withColumnRenamed("taken", "_taken")
+    spread = spread.withColumn("_rest", F.col("_taken") % F.col("_size"))
+    each = F.ceil(F.col("_taken") / F.col("_size"))
+    spread = spread.withColumn("_turn", F.explode(F.sequence(F.lit(0), (F.col("_rows") * each - 1).cast("int"))))
+    spread = spread.withColumn("_turn", F.col("_turn") % each + 1)
     words = F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{mixing.WORD}"), F.lit(0))
     part = F.array_join(F.slice(words, F.lit(1), F.col("_rest").cast("int")), "")
     cut = (F.col("_turn") > F.floor(F.col("_taken") / F.col("_size"))) & (F.col("_rest") > 0)

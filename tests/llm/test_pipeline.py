@@ -56,6 +56,37 @@ def test_stages(spark, folder):
     assert sum(p.length for p in final) == held
 
 
+def documents(spark, rows):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    return spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], schema)
+
+
+def test_null_and_repeated_ids_keep_their_texts(spark, prose):
+    t = [prose(60, 500 + i) for i in range(8)]
+    rows = [
+        (3, t[0], "a"), (5, t[1], "a"), (5, t[0] + " end", "a"), (6, t[2], "a"), (6, t[3], "b"),
+        (None, t[4], "a"), (None, t[4], "a"), (None, t[5], "b"), (None, t[0] + " tail", "b"), (7, t[6], "a"), (7, t[6] + " x", "a"),
+    ]
+    got = [(r.doc_id, r.text) for r in C.deduplicated(spark, documents(spark, rows), "").collect()]
+    sevens = [x for x in got if x[0] == 7]
+    assert len(sevens) == 1 and sevens[0][1] in (t[6], t[6] + " x")
+    want = [(3, t[0]), (5, t[1]), (6, t[2]), (6, t[3]), (None, t[4]), (None, t[5])]
+    assert Counter(x for x in got if x[0] != 7) == Counter(want)
+
+
+def test_mixing_takes_rows_without_an_id_and_rows_that_share_one(spark, prose):
+    rows = [(None if i % 3 == 0 else i // 4, prose(20 + i % 7, i // 2 if i < 8 else i), "ab"[i // 2 % 2]) for i in range(60)]
+    docs = documents(spark, rows)
+    words = lambda text: len(text.split())
+    got, want = Counter(), Counter()
+    for r in C.mixed(spark, docs, "").collect():
+        got[r.source] += words(r.text)
+        assert any(s == r.source and i == r.doc_id and t.startswith(r.text) for i, t, s in rows)
+    for r in C.mixing.mix(docs).sources.collect():
+        want[r.source] = round(r.target)
+    assert got == want
+
+
 def test_run_and_registration(spark, folder):
     assert C.ORACLE_SQL is None
     assert queries.QUERIES["pipeline"](spark, folder).count() > 0
