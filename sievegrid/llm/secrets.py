@@ -21,13 +21,15 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 ANY = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
 
 # Encodings: name, pattern, letters, chance that two neighbours are of different classes
-# (lower, upper, digit, other) in a random string of that encoding.
+# (lower, upper, digit, other) in a random string of that encoding; the same chance and
+# that of two equal characters in ordinary text of that alphabet (None: as ``scan`` is told).
+# Ordinary in hex are numbers with a few letters, in base32 and base36 words with a few digits.
 ENCODINGS = [
-    ("hex", "^([0-9a-f]+|[0-9A-F]+)$", 16, 0.46875),
-    ("base32", "^[A-Z2-7]+=*$", 32, 0.3046875),
-    ("base36", "^([a-z0-9]+|[A-Z0-9]+)$", 36, 0.4012346),
-    ("base62", "^[A-Za-z0-9]+$", 62, 0.6222164),
-    ("base64", ".", 64, 0.6445313),
+    ("hex", "^([0-9a-f]+|[0-9A-F]+)$", 16, 0.46875, 0.1, 0.1),
+    ("base32", "^[A-Z2-7]+=*$", 32, 0.3046875, 0.05, 0.066),
+    ("base36", "^([a-z0-9]+|[A-Z0-9]+)$", 36, 0.4012346, 0.1, 0.066),
+    ("base62", "^[A-Za-z0-9]+$", 62, 0.6222164, None, None),
+    ("base64", ".", 64, 0.6445313, None, None),
 ]
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BINS, STRATA = 400, (4, 10)
@@ -54,15 +56,17 @@ def battery(token: Column, accept: float, switch_rate: float, coincidence: float
     class switches, the lag-one correlation of the character codes. Where one of
     them leaves ``accept`` the token isn't random and p is 1. Otherwise p is the
     chance of as many switches and as few coincidences in ordinary text, from
-    Chernoff bounds (so never too small) joined by Fisher's rule. Numbers and
+    Chernoff bounds (so never too small) joined by Fisher's rule; ``switch_rate``
+    and ``coincidence`` are those of ordinary text in base62 and base64, smaller
+    alphabets have their own (``ENCODINGS``). Numbers and
     tokens of one class have p = 1.
     """
     n = F.length(token).cast("double")
 
-    def kind(field: int) -> Column:
+    def kind(field: int, default: float | None = None) -> Column:
         out = None
         for row in ENCODINGS:
-            hit = F.lit(row[field])
+            hit = F.lit(default if row[field] is None else row[field])
             out = F.when(token.rlike(row[1]), hit) if out is None else out.when(token.rlike(row[1]), hit)
         return out
 
@@ -74,12 +78,12 @@ def battery(token: Column, accept: float, switch_rate: float, coincidence: float
         z_runs = (s["switches"] - steps * s["rate"]) / F.sqrt(steps * s["rate"] * (1 - s["rate"]))
         z_serial = F.when(s["var"] > 0, s["cov"] / s["var"] * F.sqrt(s["n"])).otherwise(F.lit(99.0))
         r = F.least(s["switches"] / steps, F.lit(1 - 1e-9))
-        kl = r * F.log(r / switch_rate) + (1 - r) * F.log((1 - r) / (1 - switch_rate))
-        p_runs = F.when(r > switch_rate, F.exp(-steps * kl)).otherwise(1.0)
+        kl = r * F.log(r / s["usual"]) + (1 - r) * F.log((1 - r) / (1 - s["usual"]))
+        p_runs = F.when(r > s["usual"], F.exp(-steps * kl)).otherwise(1.0)
         pairs = (s["squares"] - s["n"]) / 2
-        mean = coincidence * s["n"] * steps / 2
+        mean = s["alike"] * s["n"] * steps / 2
         p_pairs = (
-            F.when((s["letters"] < 36) | (pairs >= mean), 1.0)
+            F.when(pairs >= mean, 1.0)
             .when(pairs <= 0, F.exp(-mean))
             .otherwise(F.exp(pairs - mean - pairs * F.log(pairs / mean)))
         )
@@ -126,6 +130,8 @@ def battery(token: Column, accept: float, switch_rate: float, coincidence: float
                     kind(0).alias("encoding"),
                     kind(2).cast("double").alias("letters"),
                     kind(3).alias("rate"),
+                    kind(4, switch_rate).alias("usual"),
+                    kind(5, coincidence).alias("alike"),
                     squares.alias("squares"),
                     _switches(token).cast("double").alias("switches"),
                     m["var"].alias("var"),

@@ -66,6 +66,27 @@ def test_scan_equals_patterns_and_finds_random_tokens(make_docs, prose, awkward)
     assert all(clean[i] == texts[i] for i in untouched)
 
 
+def test_every_encoding_is_discovered(make_docs, prose):
+    """Unassigned tokens of small alphabets are found, words and numbers of those alphabets aren't."""
+    r = random.Random(11)
+    upper, digits = string.ascii_uppercase, string.digits
+    kinds = [("0123456789ABCDEF", 40), (upper + "234567", 52), (string.ascii_lowercase + digits, 40), (upper + digits, 40), ("0123456789ABCDEF", 32)]
+    ordinary = ["20240101000020240102", "INTERNATIONALIZATIONOFTHINGS2", "averylongnameofsomething2024final", "0000DEADBEEF0000DEADBEEF", "1" * 30]
+    rows, planted = [], {}
+    for i in range(100):
+        letters, n = kinds[i % len(kinds)]
+        planted[i] = "".join(r.choices(letters, k=n))
+        rows.append((i, prose(20, i) + f" {planted[i]} end", "en", "s"))
+        rows.append((1000 + i, prose(20, 1000 + i) + f" {ordinary[i % len(ordinary)]} end", "en", "s"))
+    found = {}
+    for row in secrets.scan(make_docs(rows)).collect():
+        found[row.doc_id] = [row.text[x.start : x.stop] for x in row.added]
+    for k in range(len(kinds)):
+        hits = sum(found[i] == [planted[i]] for i in range(k, 100, len(kinds)))
+        assert hits >= 16, (kinds[k], hits)
+    assert not any(found[1000 + i] for i in range(100))
+
+
 def test_overlapping_spans_are_one_gap(make_docs):
     text = "x token = abcdef0123456789abcdef0123456789 y"
     docs = make_docs([(1, text, "en", "a"), (2, None, "en", "a")])
