@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievegrid.llm.toxicity import _with
+from sievegrid.session import durable
 
 BINS = 1 << 15
 PIECE = 1 << 21
 UNKNOWN = "und"
+BROADCAST, HOT = 1 << 24, 1000
 
 
 def _lowered() -> np.ndarray:
@@ -64,12 +66,21 @@ def host_of(url: Column) -> Column:
 
 
 class Model:
-    """Tables of fixed size: trigrams by language, declared by language, counts by host level."""
+    """Trigrams by language, declared by language, and counts by host level.
+
+    ``levels[0]`` has the counts of all documents. ``names`` is a DataFrame
+    (level, name, facts) with the counts by language of every suffix (1), domain
+    (2) and host (3); it stays on the driver's side.
+    """
 
     def __init__(self, languages: list[str], text: np.ndarray):
         self.languages, self.text = languages, text
         self.declared = np.zeros((len(languages) + 2, len(languages)))
         self.levels: list[np.ndarray] = []
+        self.names: DataFrame | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"names": None}
 
     def text_scores(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Log-likelihoods (rows x languages) and numbers of trigrams."""
@@ -83,61 +94,108 @@ class Model:
 
     def prior(self, levels: np.ndarray, strength: float) -> np.ndarray:
         """Log prior (rows x languages): each level's counts, smoothed towards the level above."""
+        return self.smoothed([table[at] for table, at in zip(self.levels[1:], levels.T)], len(levels), strength)
+
+    def smoothed(self, counts: list[np.ndarray], n: int, strength: float) -> np.ndarray:
+        """``prior`` of ``n`` rows with the given counts (rows x languages) of every level below the first."""
         total = self.levels[0][0]
-        share = np.broadcast_to((total + 1) / (total.sum() + len(total)), (len(levels), len(total)))
-        for table, buckets in zip(self.levels[1:], levels.T):
-            found = table[buckets]
+        share = np.broadcast_to((total + 1) / (total.sum() + len(total)), (n, len(total)))
+        for found in counts:
             share = (found + strength * share) / (found.sum(1, keepdims=True) + strength)
         return np.log(share)
 
 
-def _evidence(docs: DataFrame, text: str, declared: str | None, host: str | None, buckets: int) -> DataFrame:
-    """``docs`` with _declared and the hash buckets of suffix, domain and host."""
-    address = host_of(F.col(host)) if host else F.lit("")
-    labels = F.split(address, r"\.")
-    n = F.size(labels)
-    suffix = F.when(n > 1, F.element_at(labels, -1)).otherwise("")
-    domain = F.when(n > 1, F.concat_ws(".", F.slice(labels, F.greatest(n - 1, F.lit(1)), F.lit(2)))).otherwise(address)
-    bucket = lambda c, level: F.pmod(F.xxhash64(c, F.lit(level)), F.lit(buckets)).cast("int")
+def _evidence(docs: DataFrame, declared: str | None, host: str | None) -> DataFrame:
+    """``docs`` with _declared and _host."""
     return docs.withColumns(
         {
             "_declared": declared_language(F.col(declared)) if declared else F.lit(None).cast("string"),
-            "_levels": F.array(bucket(suffix, 1), bucket(domain, 2), bucket(address, 3)),
+            "_host": host_of(F.col(host)) if host else F.lit(""),
         }
     )
 
 
+def names_of(address: Column) -> list[Column]:
+    """Suffix, domain and host of a host's name."""
+    labels = F.split(address, r"\.")
+    n = F.size(labels)
+    suffix = F.when(n > 1, F.element_at(labels, -1)).otherwise("")
+    domain = F.when(n > 1, F.concat_ws(".", F.slice(labels, F.greatest(n - 1, F.lit(1)), F.lit(2)))).otherwise(address)
+    return [suffix, domain, address]
+
+
+def _with_prior(rows: DataFrame, model: Model, strength: float) -> DataFrame:
+    """``rows`` with _prior: the log prior of their _host, an array of doubles as bytes.
+
+    Priors are made once per host, from counts joined by name. They are broadcast
+    where they fit in ``BROADCAST`` bytes; else only those of hosts with more than
+    one of ``HOT`` rows are, and the others are joined by name.
+    """
+    size = len(model.languages)
+    placed = durable(rows.groupBy("_host").agg(F.count(F.lit(1)).alias("_rows")))
+    all_hosts, all_rows = placed.agg(F.count("_host"), F.sum("_rows")).first()
+    for level, name in enumerate(names_of(F.col("_host")), 1):
+        known = model.names.filter(F.col("level") == level).select(F.col("name").alias("_name"), F.col("facts").alias(f"_{level}"))
+        placed = placed.withColumn("_name", name).join(known, "_name", "left").drop("_name")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 1024):
+                batch = whole.slice(begin, 1024)
+                tables = []
+                for level in (1, 2, 3):
+                    table = np.zeros((batch.num_rows, size))
+                    for i, facts in enumerate(batch.column(f"_{level}").to_pylist()):
+                        for fact in facts or ():
+                            table[i, fact["k"]] = fact["n"]
+                    tables.append(table)
+                prior = pa.array([x.tobytes() for x in model.smoothed(tables, batch.num_rows, strength)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("_host"), batch.column("_rows"), prior], names=["_host", "_rows", "_prior"])
+
+    priors = durable(placed.mapInArrow(run, "_host string, _rows long, _prior binary"))
+    if all_hosts * (8 * size + 64) <= BROADCAST:
+        return rows.join(F.broadcast(priors.drop("_rows")), "_host")
+    is_hot = F.col("_rows") > all_rows / HOT
+    hot = priors.filter(is_hot).select("_host", F.col("_prior").alias("_hot"))
+    cold = priors.filter(~is_hot).select(F.concat(F.lit("="), "_host").alias("_key"), "_prior")
+    salt = F.concat(F.lit("#"), F.xxhash64(*rows.columns).cast("string"))
+    spread = rows.join(F.broadcast(hot), "_host", "left")
+    spread = spread.withColumn("_key", F.when(F.col("_hot").isNull(), F.concat(F.lit("="), "_host")).otherwise(salt))
+    return spread.join(cold, "_key", "left").withColumn("_prior", F.coalesce("_hot", "_prior")).drop("_key", "_hot")
+
+
 def fit(
     docs: DataFrame,
     text: str = "text",
     declared: str = "lang",
     host: str | None = "source",
     most: int = 64,
-    buckets: int = 1 << 14,
 ) -> Model:
     """Language models and evidence tables from all of ``docs``.
 
-    The languages are the ``most`` most often declared. Three aggregations over
-    all rows, each summed up inside the tasks first: trigram counts by declared
+    The languages are the ``most`` most often declared. Aggregations over all
+    rows, each summed up inside the tasks first: trigram counts by declared
     language; then, with the language that the text alone points to, counts by
-    declared language and by suffix, domain and host. Hosts are hashed to
-    ``buckets``, so all tables have a size that doesn't grow with the data.
+    declared language and by host. Counts by suffix, domain and host stay a
+    DataFrame by name, so no two hosts share counts.
     """
-    rows = _evidence(docs, text, declared, host, buckets).select(F.col(text).alias("text"), "_declared", "_levels")
+    rows = _evidence(docs.select(F.col(text).alias("text"), *[c for c in {declared, host} if c]), declared, host)
+    rows = rows.select("text", "_declared", "_host")
     named = rows.filter("_declared IS NOT NULL").groupBy("_declared").count()
     languages = sorted(r[0] for r in named.orderBy(F.desc("count"), "_declared").limit(most).collect())
     place = {x: i for i, x in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((len(languages), BINS), np.int64)
+        seen: dict[int, np.ndarray] = {}
         for batch in batches:
             tags = np.array([place.get(t, -1) for t in batch.column("_declared").to_pylist()])
             for owner, bins in trigrams(batch.column("text")):
                 tag = tags[owner]
                 for k in np.unique(tag[tag >= 0]):
-                    seen[k] += np.bincount(bins[tag == k], minlength=BINS)
-        at = np.nonzero(seen)
-        yield pa.RecordBatch.from_pydict({"k": at[0].astype(np.int32), "bin": at[1].astype(np.int32), "n": seen[at]})
+                    seen[k] = seen.get(k, 0) + np.bincount(bins[tag == k], minlength=BINS)
+        for k, n in seen.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_pydict({"k": np.full(len(at), k, np.int32), "bin": at.astype(np.int32), "n": n[at].astype(np.int64)})
 
     counts = np.zeros((len(languages), BINS))
     summed = rows.select("text", "_declared").mapInArrow(count, "k int, bin int, n long").groupBy("k", "bin").agg(F.sum("n").alias("n"))
@@ -152,23 +210,19 @@ def fit(
             best = np.where(n > 0, scores.argmax(1), -1).astype(np.int32)
             tags = [place.get(t, len(languages)) if t else len(languages) + 1 for t in batch.column("_declared").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(best), pa.array(tags, pa.int32()), batch.column("_levels")], names=["k", "d", "levels"]
+                [pa.array(best), pa.array(tags, pa.int32()), batch.column("_host")], names=["k", "d", "host"]
             )
 
-    model.levels = [np.zeros((1 if i == 0 else buckets, len(languages))) for i in range(4)]
+    model.levels = [np.zeros((1, len(languages)))]
     if languages:
-        votes = rows.mapInArrow(vote, "k int, d int, levels array<int>").filter("k >= 0")
-        facts = F.array(
-            F.struct(F.lit(0).alias("level"), F.lit(0).alias("at")),
-            *[F.struct(F.lit(i + 1).alias("level"), F.col("levels")[i].alias("at")) for i in range(3)],
-            F.struct(F.lit(4).alias("level"), F.col("d").alias("at")),
-        )
-        grouped = votes.select("k", F.explode(facts).alias("f")).groupBy("k", "f.level", "f.at").count().toPandas()
-        for level in range(4):
-            part = grouped[grouped["level"] == level]
-            model.levels[level][part["at"], part["k"]] = part["count"]
-        part = grouped[grouped["level"] == 4]
-        model.declared[part["at"], part["k"]] = part["count"]
+        votes = rows.mapInArrow(vote, "k int, d int, host string").filter("k >= 0")
+        votes = durable(votes.groupBy("k", "d", "host").agg(F.count("k").alias("n")))
+        for r in votes.groupBy("k", "d").agg(F.sum("n").alias("n")).collect():
+            model.declared[r.d, r.k] = r.n
+        model.levels[0][0] = model.declared.sum(0)
+        names = F.array(*[F.struct(F.lit(i).alias("level"), c.alias("name")) for i, c in enumerate(names_of(F.col("host")), 1)])
+        facts = votes.select("k", "n", F.explode(names).alias("f")).groupBy("f.level", "f.name", "k").agg(F.sum("n").alias("n"))
+        model.names = durable(facts.groupBy("level", "name").agg(F.collect_list(F.struct("k", "n")).alias("facts")))
     return model
 
 
@@ -182,9 +236,8 @@ def identify(
     least: float = 0.5,
     strength: float = 20.0,
     weight: float = 200.0,
-    buckets: int = 1 << 14,
 ) -> DataFrame:
-    """``docs`` with language, posterior and kept, row by row without a shuffle.
+    """``docs`` with language, posterior and kept; rows are shuffled only where hosts are too many to broadcast.
 
     The posterior joins the text's likelihood (n trigrams count as
     n / (1 + n / ``weight``), since neighbours depend on each other), the chance
@@ -195,9 +248,10 @@ def identify(
     three new ones are replaced.
     """
     plain = docs.drop("language", "posterior", "kept")
-    rows = _evidence(plain, text, declared, host, buckets)
+    rows = _evidence(plain, declared, host)
     place = {x: i for i, x in enumerate(model.languages)}
     size = len(model.languages)
+    columns = plain.columns
     wanted = None if accepted is None else set(accepted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,8 +263,7 @@ def identify(
                 total = scores / np.maximum(n, 1)[:, None] * (n / (1 + n / weight))[:, None]
                 tags = [place.get(t, size) if t else size + 1 for t in batch.column("_declared").to_pylist()]
                 total += rate[tags]
-                levels = np.asarray(batch.column("_levels").flatten()).reshape(-1, 3)
-                total += model.prior(levels, strength)
+                total += np.frombuffer(b"".join(batch.column("_prior").to_pylist()), np.float64).reshape(-1, size)
                 total -= total.max(1, keepdims=True)
                 chance = np.exp(total)
                 chance /= chance.sum(1, keepdims=True)
@@ -218,10 +271,11 @@ def identify(
                 posts = np.where(n > 0, chance[np.arange(len(best)), best], 0.0)
                 names = [model.languages[b] if m else UNKNOWN for b, m in zip(best, n > 0)]
             kept = [x != UNKNOWN and p >= least and (wanted is None or x in wanted) for x, p in zip(names, posts)]
-            keep = [c for c in batch.schema.names if c not in ("_declared", "_levels")]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in keep], pa.array(names, pa.string()), pa.array(posts), pa.array(kept, pa.bool_())],
-                names=[*keep, "language", "posterior", "kept"],
+                [*[batch.column(c) for c in columns], pa.array(names, pa.string()), pa.array(posts), pa.array(kept, pa.bool_())],
+                names=[*columns, "language", "posterior", "kept"],
             )
 
+    if size:
+        rows = _with_prior(rows, model, strength)
     return rows.mapInArrow(run, _with(plain, "language string, posterior double, kept boolean"))

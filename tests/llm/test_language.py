@@ -69,3 +69,23 @@ def test_awkward_rows(make_docs, awkward):
     assert L.identify(empty, L.fit(empty)).count() == 0
     nameless = make_docs([(1, "some words", None, None)])
     assert [r.kept for r in L.identify(nameless, L.fit(nameless)).collect()] == [False]
+
+
+def test_no_host_takes_the_counts_of_another(make_docs, prose, monkeypatch):
+    """Many hosts, one of them hot: the posterior is that of every host's own counts."""
+    import numpy as np
+
+    rows = [(i, prose(20, i, LETTERS["de"]), "de", "hot.example.de") for i in range(300)]
+    rows += [(1000 + i, prose(20, 1000 + i, LETTERS["fr"]), "fr", f"h{i}.site{i}.fr") for i in range(200)]
+    docs = make_docs(rows)
+    model = L.fit(docs)
+    names = {(r.level, r.name): {f.k: f.n for f in r.facts} for r in model.names.collect()}
+    de, fr = model.languages.index("de"), model.languages.index("fr")
+    assert names[3, "hot.example.de"] == {de: 300} and names[1, "fr"] == {fr: 200}
+    assert all(names[3, f"h{i}.site{i}.fr"] == names[2, f"site{i}.fr"] == {fr: 1} for i in range(200))
+    assert len(names) == 2 + 201 + 201
+    whole = {r.doc_id: (r.language, r.posterior) for r in L.identify(docs, model).collect()}
+    monkeypatch.setattr(L, "BROADCAST", 0)
+    monkeypatch.setattr(L, "HOT", 10)
+    assert {r.doc_id: (r.language, r.posterior) for r in L.identify(docs, model).collect()} == whole
+    assert all(v[0] == ("de" if i < 1000 else "fr") for i, v in whole.items()) and len(whole) == len(rows)
