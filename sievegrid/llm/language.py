@@ -15,6 +15,7 @@ from sievegrid.session import durable
 BINS = 1 << 15
 PIECE = 1 << 21
 UNKNOWN = "und"
+REST = "mis"
 BROADCAST, HOT = 1 << 24, 1000
 
 
@@ -169,26 +170,33 @@ def fit(
     text: str = "text",
     declared: str = "lang",
     host: str | None = "source",
-    most: int = 64,
+    least: int = 100,
+    part: float = 1e-6,
 ) -> Model:
     """Language models and evidence tables from all of ``docs``.
 
-    The languages are the ``most`` most often declared. Aggregations over all
-    rows, each summed up inside the tasks first: trigram counts by declared
+    The languages are all declared ones with ``least`` bytes of text and ``part``
+    of all declared bytes; the others together are one class, ``mis``, so that
+    their documents don't take a wrong language. Aggregations over all rows, each
+    summed up inside the tasks first: bytes, then trigram counts, by declared
     language; then, with the language that the text alone points to, counts by
     declared language and by host. Counts by suffix, domain and host stay a
     DataFrame by name, so no two hosts share counts.
     """
     rows = _evidence(docs.select(F.col(text).alias("text"), *[c for c in {declared, host} if c]), declared, host)
     rows = rows.select("text", "_declared", "_host")
-    named = rows.filter("_declared IS NOT NULL").groupBy("_declared").count()
-    languages = sorted(r[0] for r in named.orderBy(F.desc("count"), "_declared").limit(most).collect())
+    named = rows.filter("_declared IS NOT NULL").groupBy("_declared").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n"))
+    found = {r[0]: r[1] for r in named.collect()}
+    enough = max(least, part * sum(found.values()))
+    own = {x for x, n in found.items() if n >= enough and x != REST}
+    languages = sorted(own | ({REST} if any(n for x, n in found.items() if x not in own) else set()))
     place = {x: i for i, x in enumerate(languages)}
+    pooled = place.get(REST, -1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, np.ndarray] = {}
         for batch in batches:
-            tags = np.array([place.get(t, -1) for t in batch.column("_declared").to_pylist()])
+            tags = np.array([place.get(t, pooled) if t else -1 for t in batch.column("_declared").to_pylist()])
             for owner, bins in trigrams(batch.column("text")):
                 tag = tags[owner]
                 for k in np.unique(tag[tag >= 0]):

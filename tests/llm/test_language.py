@@ -89,3 +89,17 @@ def test_no_host_takes_the_counts_of_another(make_docs, prose, monkeypatch):
     monkeypatch.setattr(L, "HOT", 10)
     assert {r.doc_id: (r.language, r.posterior) for r in L.identify(docs, model).collect()} == whole
     assert all(v[0] == ("de" if i < 1000 else "fr") for i, v in whole.items()) and len(whole) == len(rows)
+
+
+def test_every_declared_language_is_a_class_and_the_rest_is_one(make_docs, prose):
+    tags = [a + b for a in "abcdefghij" for b in "qrstuvwx"]
+    rows = []
+    for k, tag in enumerate(tags):
+        letters = "".join(chr(0x1000 + 12 * k + j) for j in range(12))
+        rows += [(10 * k + i, prose(40, 10 * k + i, letters), tag, "x.org") for i in range(3)]
+    rows += [(5000 + i, "\u0b05\u0b06\u0b07 \u0b08", t, "x.org") for i, t in enumerate(["zz", "zzy", "zzx"])]
+    docs = make_docs(rows)
+    model = L.fit(docs)
+    assert model.languages == sorted([*tags, L.REST])
+    got = {r.doc_id: r.language for r in L.identify(docs, model).collect()}
+    assert all(got[i] == (tag if i < 5000 else L.REST) for i, _, tag, _ in rows)
