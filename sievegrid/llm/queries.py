@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievegrid.llm import fingerprints, html, language, mixing, neardup, packing, secrets, toxicity, vectors, warc
+from sievegrid.llm import fingerprints, html, language, mixing, neardup, packing, secrets, tokenization, toxicity, vectors, warc
 from sievegrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,6 +120,15 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+@query("op13_token_automaton")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids = tokenization.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
+    return tokenization.digest(tokenization.decode(ids, path))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
