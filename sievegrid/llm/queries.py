@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievegrid.llm import fingerprints, html, language, mixing, neardup, packing, secrets, tokenization, toxicity, vectors, warc
+from sievegrid.llm import fingerprints, html, language, mixing, neardup, packing, prefixtree, secrets, tokenization, toxicity, vectors, warc
 from sievegrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,6 +120,37 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+_OP12_SQL = r"""
+WITH orig AS (SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS s
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+cut AS (SELECT conv_id, s, xor(list_reduce([4294967295] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)),
+  4294967295) % 4 AS h FROM orig),
+built AS (SELECT c.conv_id, list_concat(list_slice(coalesce(b.s, []), 1, h), list_slice(c.s, h + 1, len(c.s))) AS s
+  FROM cut c LEFT JOIN orig b ON b.conv_id = c.conv_id - c.conv_id % 20),
+pre AS (SELECT conv_id, d, list_slice(s, 1, d) AS p, len(s) = d AS ends, CASE WHEN d > 0 THEN s[d].t ELSE '' END AS said
+  FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM built)),
+node AS (SELECT d, md5(CAST(p AS VARCHAR)) AS k, any_value(p) AS p, min(conv_id) AS conv_id, count(*) AS n,
+  len(regexp_extract_all(any_value(said), '[^ 	-]+')) AS words,
+  sha256(coalesce(string_agg(CASE WHEN ends THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM pre GROUP BY d, p),
+above AS (SELECT k AS of_k, d AS of_d, n AS of_n, words AS of_words, d0, md5(CAST(list_slice(p, 1, d0) AS VARCHAR)) AS k
+  FROM (SELECT *, unnest(range(0, d + 1)) AS d0 FROM node)),
+kids AS (SELECT d0, k, count(*) FILTER (of_d = d0 + 1) AS n_children FROM above GROUP BY d0, k),
+bare AS (SELECT d0, k FROM kids WHERE n_children = 0),
+sums AS (SELECT a.d0, a.k, count(*) FILTER (of_d = a.d0 + 1) AS n_children, count(b.k) AS n_leaves, CAST(sum((of_n - 1) * of_words) AS BIGINT) AS saved_tokens
+  FROM above a LEFT JOIN bare b ON b.d0 = of_d AND b.k = of_k GROUP BY a.d0, a.k)
+SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n AS n_convs, n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM node n JOIN sums s ON s.d0 = n.d AND s.k = n.k
+LEFT JOIN node u ON u.d = n.d - 1 AND u.k = md5(CAST(list_slice(n.p, 1, n.d - 1) AS VARCHAR))
+"""
+
+
+@query("op12_prefix_trie", _OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtree.prefix_tree(prefixtree.spliced(prefixtree.sequences(table(spark, sf_dir, "conversations"))))
+
+
 @query("op13_token_automaton")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
