@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievegrid.llm import fingerprints, html, language, mixing, neardup, packing, prefixtree, secrets, tokenization, toxicity, vectors, warc
+from sievegrid.llm import fingerprints, html, language, mixing, neardup, packing, prefixtree, ranked, secrets, tokenization, toxicity, vectors, warc
 from sievegrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,6 +120,28 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+_OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
+  regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+total AS (SELECT count(*) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM d WHERE len(t) > 0),
+tfs AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(t) AS term FROM d) GROUP BY rid, term),
+held AS (SELECT term, CAST(floor(1000 * ln((2 * max(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tfs, total GROUP BY term),
+doc AS (SELECT rid, doc_id, 100 - 25 + ((25 * len(t) * n_docs) // n_terms) AS m FROM d, total WHERE len(t) > 0),
+item AS (SELECT item_id, text, term, count(*) AS c FROM (SELECT item_id, text,
+  unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY item_id, text, term),
+scored AS (SELECT item_id, text, rid, any_value(doc_id) AS doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM item JOIN tfs USING (term) JOIN held USING (term) JOIN doc USING (rid) GROUP BY item_id, text, rid),
+placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id) AS INT) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 20
+"""
+
+
+@query("op11_ranked_search", _OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 _OP12_SQL = r"""
 WITH orig AS (SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS s
   FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
@@ -131,7 +153,8 @@ built AS (SELECT c.conv_id, list_concat(list_slice(coalesce(b.s, []), 1, h), lis
 pre AS (SELECT conv_id, d, list_slice(s, 1, d) AS p, len(s) = d AS ends, CASE WHEN d > 0 THEN s[d].t ELSE '' END AS said
   FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM built)),
 node AS (SELECT d, md5(CAST(p AS VARCHAR)) AS k, any_value(p) AS p, min(conv_id) AS conv_id, count(*) AS n,
-  len(regexp_extract_all(any_value(said), '[^ 	-]+')) AS words,
+  len(regexp_extract_all(any_value(said), '[^ 	-
+]+')) AS words,
   sha256(coalesce(string_agg(CASE WHEN ends THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256
   FROM pre GROUP BY d, p),
 above AS (SELECT k AS of_k, d AS of_d, n AS of_n, words AS of_words, d0, md5(CAST(list_slice(p, 1, d0) AS VARCHAR)) AS k
