@@ -97,6 +97,30 @@ def c5(spark, sf):
     return Y.near_archive(new, known, "tokens", 0.9).select("doc_id", "pos")
 
 
+@query(
+    "c5_batch_identity",
+    X.with_sql(X.SQL_SEQUENCES).replace("WITH", "WITH RECURSIVE", 1)
+    + """, s AS (SELECT seq, min(doc_id * 10000000 + pos) AS id, length(seq) AS n,
+        """
+    + ", ".join(f"length(seq) - length(replace(seq, '{x}', '')) AS n{x}" for x in "AEINRST")
+    + """ FROM sequences GROUP BY seq),
+    l AS (SELECT a.id AS a, b.id AS b FROM s a JOIN s b ON b.n >= 50 AND a.n <= b.n AND a.id <> b.id AND b.n - a.n <= b.n // 50
+      AND """
+    + " AND ".join(f"abs(a.n{x} - b.n{x}) <= b.n // 50" for x in "AEINRST")
+    + """ WHERE levenshtein(a.seq, b.seq) <= b.n // 50),
+    ways AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+    reach AS (SELECT a, b FROM ways UNION SELECT r.a, ways.b FROM reach r JOIN ways ON ways.a = r.b),
+    least AS (SELECT id, least(id, coalesce(min(b), id)) AS cluster FROM s LEFT JOIN reach ON a = id GROUP BY id)
+    SELECT doc_id, pos, cluster, doc_id * 10000000 + pos = cluster AS kept FROM sequences JOIN s USING (seq) JOIN least USING (id)""",
+)
+def c5_batch(spark, sf):
+    """Near-identical pieces of the whole batch: the class of each, and the one that stays."""
+    from sievegrid.operators.identity import near_identical
+
+    keyed = X.sequences(spark, sf).withColumn("key", F.col("doc_id") * 10000000 + F.col("pos"))
+    return near_identical(keyed, "key", "seq").select("doc_id", "pos", "cluster", "kept")
+
+
 @query(
     "c5_mutation_minima",
     X.with_sql(X.SQL_CHAINS)
