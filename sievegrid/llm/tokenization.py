@@ -19,25 +19,42 @@ from __future__ import annotations
 import functools
 import json
 import re
+import struct
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievegrid.llm.packing import PLAIN_BYTES
+
 START = 0
-KEPT_WORDS = 1 << 17
+KEPT = 1 << 17
+# White space of the splitter, and the controls that only Python takes for it.
+SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+CONTROL = re.compile("[\x1c-\x1f]")
+# Characters that normalizing leaves alone but for case (no control, no decomposed or odd letter).
+PLAIN = re.compile("[!-~\xa1-\u012f\u0131-\u0233]+")
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [
+        {"type": "NFC"},
+        {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+        {"type": "Lowercase"},
+    ],
+}
+SHOWN = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(PLAIN_BYTES)))}
 ROWS = 256
 
 
 class Automaton:
     """Tables of the automaton: symbol trie, end state of each token, gaps of each state."""
 
-    def __init__(self, labels: list[str], merges: list[tuple[int, int, int]], symbols: list[tuple[int, str]]):
-        """``labels`` by token id, ``merges`` as (u, v, w) in order, ``symbols`` as (token id, symbol)."""
-        self.labels = labels
+    def __init__(self, merges: list[tuple[int, int, int]], symbols: list[tuple[int, str]]):
+        """``merges`` as (u, v, w) in order, ``symbols`` as (token id, symbol)."""
         born = {w: k for k, (_, _, w) in enumerate(merges)}
         if len(born) != len(merges):
             raise ValueError("two merges make the same token")
@@ -45,7 +62,7 @@ class Automaton:
             if max(born.get(u, -1), born.get(v, -1)) >= k:
                 raise ValueError("a merge comes before its parts")
         self._number(merges, symbols)
-        self._build(merges, len(labels))
+        self._build(merges, 1 + max([w for _, _, w in merges] + [s for s, _ in symbols], default=0))
         self._spell(merges, symbols)
 
     def _number(self, merges, symbols) -> None:
@@ -94,9 +111,9 @@ class Automaton:
         self.end, self.starts, self.stops, self.reached = end, starts, stops, reached
 
     def _spell(self, merges, symbols) -> None:
-        """The trie of the tokens' symbols; a node is its arcs, and its token under None."""
+        """The trie of the tokens' symbols; a node is a pair of its arcs and its token, if any."""
         spelled = {s: (symbol,) for s, symbol in symbols}
-        self.trie: dict = {}
+        self.trie: list = [{}, None]
         for u, v, w in merges:
             spelled[w] = spelled[u] + spelled[v]
         for token, word in spelled.items():
@@ -104,8 +121,8 @@ class Automaton:
                 continue
             node = self.trie
             for symbol in word:
-                node = node.setdefault(symbol, {})
-            node[None] = token
+                node = node[0].setdefault(symbol, [{}, None])
+            node[1] = token
 
     def follows(self, state: int, token: int) -> bool:
         """Whether the state has an arc for the token."""
@@ -116,39 +133,52 @@ class Automaton:
     def read(self, word: list[str]) -> list[int]:
         """The one accepted token sequence of a word of symbols.
 
-        Every beginning of the word has one accepted sequence, whose last token
-        is found from the left: an arc leads from the state of an earlier
-        position. Linear in the length, times the longest token's.
+        From each position the longest token comes first that the state has an
+        arc for; a position from which no arc leads on is given up for the one before. No
+        position is tried twice, since a beginning of the word has one accepted
+        sequence, hence one state. Linear in the length, times the longest token's.
         """
-        n = len(word)
-        token_of, came_from, state_of = [-1] * (n + 1), [0] * (n + 1), [START] * (n + 1)
         place, starts, stops, end, trie = self.place, self.starts, self.stops, self.end, self.trie
-        for at in range(n):
-            low, high, node = starts[state_of[at]], stops[state_of[at]], trie
+        n, at, state = len(word), 0, START
+        tried, out, places, open_arcs = bytearray(n + 1), [], [], []
+        while at < n:
+            arcs, found = trie[0], []
             for to in range(at, n):
-                node = node.get(word[to])
+                node = arcs.get(word[to])
                 if node is None:
                     break
-                token = node.get(None)
-                if token is not None and token_of[to + 1] < 0:
-                    here = place[token]
-                    i = bisect_right(low, here)
-                    if not i or here > high[i - 1]:
-                        token_of[to + 1], came_from[to + 1], state_of[to + 1] = token, at, end[token]
-            if token_of[at + 1] < 0:
-                raise ValueError(f"no token for {word[at]!r}")
-        out, at = [], n
-        while at:
-            out.append(token_of[at])
-            at = came_from[at]
-        return out[::-1]
+                arcs, token = node
+                if token is not None:
+                    found.append((to + 1, token))
+            places.append(at)
+            open_arcs.append(found)
+            while True:
+                if found:
+                    to, token = found.pop()
+                    if not tried[to]:
+                        here, low = place[token], starts[state]
+                        i = bisect_right(low, here)
+                        if not i or here > stops[state][i - 1]:
+                            break
+                else:
+                    open_arcs.pop()
+                    tried[places.pop()] = 1
+                    if not out:
+                        raise ValueError(f"no tokens for {''.join(word)!r}")
+                    out.pop()
+                    state, found = end[out[-1]] if out else START, open_arcs[-1]
+            out.append(token)
+            at, state = to, end[token]
+        return out
 
 
 class Tokenizer:
     """A tokenizer file with word ends: its automaton, its splitting, its special tokens.
 
     Splitting a text into words is the file's own normalizer and splitter, run
-    by the library they are written for; merging is the automaton's.
+    by the library they are written for; merging is the automaton's. White space
+    ends words and is dropped, so a text is read run by run between it, and
+    runs that come again are looked up.
     """
 
     def __init__(self, path: str):
@@ -158,7 +188,9 @@ class Tokenizer:
             stored = json.load(file)
         model = stored["model"]
         odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges") if model.get(k)]
-        if model["type"] != "BPE" or odd or stored["pre_tokenizer"] is None or stored["decoder"] is not None:
+        pieces = stored["pre_tokenizer"]["pretokenizers"]
+        drops_space = pieces[0].get("behavior") == "Removed" and r"[^\s\p{L}\p{N}]" in pieces[0]["pattern"]["Regex"]
+        if model["type"] != "BPE" or odd or not drops_space or stored["decoder"] is not None:
             raise ValueError(f"not a plain BPE file with words and without a decoder: {path} {odd}")
         library = tokenizers.Tokenizer.from_file(path)
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
@@ -171,39 +203,56 @@ class Tokenizer:
         merges = [(vocabulary[u], vocabulary[v], vocabulary[u + v]) for u, v in pairs]
         made = {w for _, _, w in merges}
         symbols = [(i, s) for s, i in vocabulary.items() if i not in made]
-        labels = [""] * (1 + max([*vocabulary.values(), *self.special.values()]))
-        for label, i in [*vocabulary.items(), *self.special.items()]:
-            labels[i] = label
-        self.automaton = Automaton(labels, merges, symbols)
+        self.automaton = Automaton(merges, symbols)
         longest_first = sorted(map(re.escape, self.special), key=len, reverse=True)
         self._special = re.compile(f"({'|'.join(longest_first)})") if self.special else None
-        self._known: dict[str, list[int]] = {}
-
-    def _word(self, word: str) -> list[int]:
+        # The library's splitting is exact for any text; plain letters take the file's own pattern instead.
+        known = stored["normalizer"] == NORMALIZER and [p["type"] for p in pieces] == ["Split", "ByteLevel"]
+        self._split = regex.compile(pieces[0]["pattern"]["Regex"]).findall if known else None
+        self._known: dict[str, bytes] = {}
+        self._known_words: dict[str, bytes] = {}
+
+    def _words(self, run: str) -> list[str]:
+        """The words of characters without white space, each a string of symbols without the word end."""
+        if self._split and PLAIN.fullmatch(run):
+            return [w if w.isascii() else w.encode().decode("latin-1").translate(SHOWN) for w in self._split(run.lower())]
+        plain = self.normalizer.normalize_str(run) if self.normalizer else run
+        return [word for word, _ in self.splitter.pre_tokenize_str(plain)]
+
+    def _run(self, run: str) -> bytes:
+        """The ids of characters without white space."""
+        if self._split and run.isascii() and run.isalpha():
+            word = run.lower()
+            coded = self._known_words.get(word) or self._word(word)
+        else:
+            coded = b"".join([self._known_words.get(w) or self._word(w) for w in self._words(run)])
+        if len(run) <= 64:
+            if len(self._known) >= KEPT:  # a memory of runs, not of all runs
+                self._known.clear()
+            self._known[run] = coded
+        return coded
+
+    def _word(self, word: str) -> bytes:
         symbols = list(word)
         symbols[-1] += self.word_end
         ids = self.automaton.read(symbols)
-        if len(self._known) >= KEPT_WORDS:  # a memory of words, not of all words
-            self._known.clear()
+        coded = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= 64:
-            self._known[word] = ids
-        return ids
+            if len(self._known_words) >= KEPT:
+                self._known_words.clear()
+            self._known_words[word] = coded
+        return coded
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text, special tokens in it included."""
-        known, out = self._known, []
+        known, run, out = self._known.get, self._run, []
         for part in self._special.split(text) if self._special else [text]:
             if part in self.special:
-                out.append(self.special[part])
-            elif part:
-                plain = self.normalizer.normalize_str(part) if self.normalizer else part
-                for word, _ in self.splitter.pre_tokenize_str(plain):
-                    out += known.get(word) or self._word(word)
-        return np.array(out, "<u4")
-
-    def decode(self, ids: np.ndarray) -> str:
-        """The labels of the arcs, special tokens included, with a space between them."""
-        return " ".join(map(self.automaton.labels.__getitem__, ids.tolist()))
+                out.append(np.array([self.special[part]], "<u4").tobytes())
+            else:
+                runs = SPACE.split(part) if CONTROL.search(part) else part.split()
+                out += [known(r) or run(r) for r in runs if r]
+        return np.frombuffer(b"".join(out), "<u4")
 
 
 @functools.lru_cache(maxsize=2)
@@ -212,6 +261,21 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
+@functools.lru_cache(maxsize=2)
+def arc_labels(path: str) -> list[str]:
+    """The label of every token of a file by its id, special tokens included."""
+    with open(path, encoding="utf-8") as file:
+        stored = json.load(file)
+    label_of = {i: label for label, i in stored["model"]["vocab"].items()}
+    label_of |= {t["id"]: t["content"] for t in stored["added_tokens"]}
+    return [label_of.get(i, "") for i in range(max(label_of) + 1)]
+
+
+def spell(labels: list[str], ids: np.ndarray) -> str:
+    """The labels of the arcs with a space between them."""
+    return " ".join(map(labels.__getitem__, ids.tolist()))
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with the ids of the whole text as unsigned little-endian 32-bit integers.
 
@@ -237,9 +301,9 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
     """``docs`` with the text of the ids; null counts as no ids. Columns called like ``text`` are replaced."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = tokenizer(path)
+        labels = arc_labels(path)
         for batch in _small(batches):
-            found = [coder.decode(np.frombuffer(i or b"", "<u4")) for i in batch.column(ids).to_pylist()]
+            found = [spell(labels, np.frombuffer(i or b"", "<u4")) for i in batch.column(ids).to_pylist()]
             yield _with(batch, text, pa.array(found, pa.string()))
 
     kept = docs.select(*[c for c in docs.columns if c != text])

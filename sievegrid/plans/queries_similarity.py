@@ -102,11 +102,12 @@ def c5(spark, sf):
     X.with_sql(X.SQL_SEQUENCES).replace("WITH", "WITH RECURSIVE", 1)
     + """, s AS (SELECT seq, min(doc_id * 10000000 + pos) AS id, length(seq) AS n,
         """
-    + ", ".join(f"length(seq) - length(replace(seq, '{x}', '')) AS n{x}" for x in "AEINRST")
+    + ", ".join(f"length(seq) - length(replace(seq, '{x}', '')) AS n{x}" for x in "AEINRSTDHLCM")
     + """ FROM sequences GROUP BY seq),
-    l AS (SELECT a.id AS a, b.id AS b FROM s a JOIN s b ON b.n >= 50 AND a.n <= b.n AND a.id <> b.id AND b.n - a.n <= b.n // 50
+    longer AS (SELECT *, unnest(range(n, n + n // 49 + 1)) AS other_n FROM s),
+    l AS (SELECT a.id AS a, b.id AS b FROM longer a JOIN s b ON b.n = a.other_n AND b.n >= 50 AND a.id <> b.id AND b.n - a.n <= b.n // 50
       AND """
-    + " AND ".join(f"abs(a.n{x} - b.n{x}) <= b.n // 50" for x in "AEINRST")
+    + " AND ".join(f"abs(a.n{x} - b.n{x}) <= b.n // 50" for x in "AEINRSTDHLCM")
     + """ WHERE levenshtein(a.seq, b.seq) <= b.n // 50),
     ways AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
     reach AS (SELECT a, b FROM ways UNION SELECT r.a, ways.b FROM reach r JOIN ways ON ways.a = r.b),
