@@ -45,3 +45,34 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         if stepped.filter("component <> _old").isEmpty():
             return stepped.select("id", "component")
         labels = stepped.select("id", "component")
+
+
+def greedy_cover(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, representative): the clusters of a greedy run over the nodes by priority, in parallel rounds.
+
+    ``nodes`` has ``id`` and ``priority`` (any orderable value; ties go to the larger id), ``edges`` has ``a``
+    and ``b``. One after the other, the first node left becomes a representative and takes its neighbours out.
+    A node that beats all its neighbours left is next to none that comes before it, so every round takes
+    all of these at once; a node belongs to the first of its neighbours that are representatives. The
+    result is that of the run one by one.
+    """
+    ranked = durable(nodes.select("id", F.struct("priority", "id").alias("p")))
+    a, b = F.col("a"), F.col("b")
+    ways = F.array(F.struct(a.alias("a"), b.alias("b")), F.struct(b.alias("a"), a.alias("b")))
+    pairs = edges.filter("a <> b").select(F.explode(ways).alias("e")).select("e.*").distinct()
+    links = durable(pairs.join(ranked.select(F.col("id").alias("b"), F.col("p").alias("b_p")), "b").select("a", "b", "b_p"))
+    left, live, chosen = ranked, links, ranked.limit(0)
+    while not left.isEmpty():
+        rival = live.groupBy(F.col("a").alias("id")).agg(F.max("b_p").alias("_rival"))
+        state = durable(left.join(rival, "id", "left").withColumn("_wins", F.col("_rival").isNull() | (F.col("p") > F.col("_rival"))))
+        winners = state.filter("_wins").select("id", "p")
+        chosen = chosen.unionByName(winners)
+        taken = live.join(winners.select(F.col("id").alias("b")), "b", "left_semi").select(F.col("a").alias("id")).distinct()
+        left = durable(state.filter("NOT _wins").select("id", "p").join(taken, "id", "left_anti"))
+        live = live.join(left.select(F.col("id").alias("a")), "a", "left_semi")
+        live = durable(live.join(left.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b", "b_p"))
+    heads = durable(chosen.select("id"))
+    near = links.join(heads.select(F.col("id").alias("b")), "b", "left_semi")
+    first = near.groupBy(F.col("a").alias("id")).agg(F.max_by("b", "b_p").alias("representative"))
+    own = heads.withColumn("representative", F.col("id"))
+    return own.unionByName(first.join(heads, "id", "left_anti"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sievegrid.functions.alignment import identity
 from sievegrid.functions.sequences import bind, kmers
-from sievegrid.operators.components import connected_components
+from sievegrid.operators.components import greedy_cover
 from sievegrid.session import durable, rebalance, unnest
 
 BUCKETS = 1024
@@ -143,31 +143,44 @@ def kmer_search(queries: DataFrame, index: DataFrame, k: int = 5, min_shared: in
     return queries.join(found, "seq").drop("seq")
 
 
-def sequence_clusters(
-    sequences: DataFrame, k: int = 5, picks: int = 10, min_identity: float = 0.4
-) -> DataFrame:
-    """(seq, cluster): linear-time clustering of distinct sequences.
+def cluster_links(nodes: DataFrame, k: int = 5, picks: int = 10, min_identity: float = 0.4) -> DataFrame:
+    """(a, b) of sequences (id, seq) that share a picked k-mer with a centre and reach the identity to it.
 
     Every sequence picks the k-mers with the smallest hashes; all that share a
     picked k-mer are compared with the longest of them only, so a k-mer held by
-    a third of all sequences costs one comparison each. Accepted links are
-    closed to components; the cluster is its smallest sequence hash.
-    (Steinegger and Soeding 2018 describe the scheme.)
+    a third of all sequences costs one comparison each. Keys and lengths travel, and letters
+    come back once per different pair. (Steinegger and Soeding 2018 describe the scheme.)
     """
-    distinct = sequences.select("seq").distinct().withColumn("id", F.sha2("seq", 256))
-    nodes = durable(rebalance(distinct))
     ranked = F.array_sort(
         F.transform(kmers(F.col("seq"), k), lambda t: F.struct(F.xxhash64(t).alias("h"), t.alias("t")))
     )
-    picked = unnest(nodes, F.slice(ranked, 1, picks), "p", "id", "seq").select("id", "seq", F.col("p.t").alias("t"))
-    centers = picked.groupBy("t").agg(
-        F.max_by(F.struct("id", "seq"), F.struct(F.length("seq"), F.col("id"))).alias("c")
+    picked = unnest(nodes, F.slice(ranked, 1, picks), "p", "id", F.length("seq").alias("n")).select("id", "n", F.col("p.t").alias("t"))
+    centers = picked.groupBy("t").agg(F.max_by("id", F.struct("n", "id")).alias("c"))
+    links = picked.join(centers, "t").filter("id <> c").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+    left = nodes.select(F.col("id").alias("a"), F.col("seq").alias("a_seq"))
+    right = nodes.select(F.col("id").alias("b"), F.col("seq").alias("b_seq"))
+    compared = rebalance(links.join(left, "a").join(right, "b"))
+    return compared.filter(identity("a_seq", "b_seq") >= min_identity).select("a", "b")
+
+
+def sequence_clusters(
+    sequences: DataFrame, k: int = 5, picks: int = 10, min_identity: float = 0.4
+) -> DataFrame:
+    """(seq, cluster): clusters of distinct sequences around representatives.
+
+    Sequences with the most links come first, longer ones before shorter: the first one left
+    becomes a representative and takes all that are linked to it. So each member reaches the
+    identity to its representative, the cluster's name (a hash of its letters).
+    Missing sequences drop out.
+    """
+    distinct = sequences.select("seq").filter("seq IS NOT NULL").distinct().withColumn("id", F.sha2("seq", 256))
+    nodes = durable(rebalance(distinct))
+    links = durable(cluster_links(nodes, k, picks, min_identity))
+    ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
+    weighed = nodes.join(ends, "id", "left").select(
+        "id", F.struct(F.coalesce("links", F.lit(0)).alias("links"), F.length("seq").alias("n")).alias("priority")
     )
-    links = picked.join(centers, "t").select("id", "seq", F.col("c.id").alias("cid"), F.col("c.seq").alias("cseq"))
-    links = links.filter("id <> cid").dropDuplicates(["id", "cid"])
-    accepted = rebalance(links).filter(identity("seq", "cseq") >= min_identity)
-    parts = connected_components(nodes.select("id"), accepted.select(F.col("id").alias("a"), F.col("cid").alias("b")))
-    return nodes.join(parts, "id").select("seq", F.col("component").alias("cluster"))
+    return nodes.join(greedy_cover(weighed, links), "id").select("seq", F.col("representative").alias("cluster"))
 
 
 def mutation_minima(pairs: DataFrame, total: int = 2, in_cdr3: int = 1) -> DataFrame:
