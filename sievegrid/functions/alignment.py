@@ -78,6 +78,89 @@ def affine_score(
     return float(best[-1])
 
 
+class Substitutions:
+    """A substitution table over letters; pairs it doesn't name score 0."""
+
+    def __init__(self, pair_score: Mapping[tuple[str, str], float]):
+        letters = sorted({x for pair in pair_score for x in pair})
+        self.number = {x: i + 1 for i, x in enumerate(letters)}
+        self.table = np.zeros((len(letters) + 1, len(letters) + 1))
+        for x, i in self.number.items():
+            for y, j in self.number.items():
+                self.table[i, j] = pair_score.get((x, y), pair_score.get((y, x), 0.0))
+
+    def coded(self, seqs: list[str]) -> np.ndarray:
+        """Letters as numbers, a row each, 0 for unknown letters and behind the end."""
+        out = np.zeros((len(seqs), max(map(len, seqs), default=0)), np.intp)
+        for row, seq in zip(out, seqs):
+            row[: len(seq)] = [self.number.get(x, 0) for x in seq]
+        return out
+
+
+def _affine_block(a: list[str], b: list[str], table: Substitutions, open_gap: float, extend_gap: float) -> np.ndarray:
+    """Scores of a few pairs, one vector step per letter of the longest ``a`` for all of them."""
+    n, m = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    left, right = table.coded(a), table.coded(b)
+    pairs, width = len(a), right.shape[1]
+    steps = extend_gap * np.arange(width + 1)
+    best = np.repeat(np.concatenate([[0.0], open_gap + steps[:-1]])[None, :], pairs, axis=0)
+    down = np.full((pairs, width + 1), -np.inf)
+    out = best[np.arange(pairs), m]
+    for i in range(left.shape[1]):
+        down = np.maximum(down + extend_gap, best + open_gap)
+        down[:, 0] = open_gap + extend_gap * i
+        row = np.empty_like(best)
+        row[:, 0] = down[:, 0]
+        np.maximum(best[:, :-1] + table.table[left[:, i, None], right], down[:, 1:], out=row[:, 1:])
+        starts = np.maximum.accumulate(row - steps, axis=1)
+        np.maximum(row[:, 1:], starts[:, :-1] + (steps[1:] - extend_gap + open_gap), out=row[:, 1:])
+        best = row
+        ended = np.flatnonzero(n == i + 1)
+        out[ended] = best[ended, m[ended]]
+    return out
+
+
+def affine_scores(
+    a: list[str],
+    b: list[str],
+    table: Substitutions,
+    open_gap: float = -11.0,
+    extend_gap: float = -1.0,
+    cells: int = 1 << 15,
+) -> np.ndarray:
+    """Global alignment scores with affine gaps of many pairs; end gaps cost like inner ones.
+
+    Pairs of like lengths are aligned side by side, at most ``cells`` table cells at a time: a step
+    takes one letter of each ``a`` against all letters of its ``b``. A missing sequence gives NaN.
+    """
+    out = np.full(len(a), np.nan)
+    known = [i for i in range(len(a)) if a[i] is not None and b[i] is not None]
+    known.sort(key=lambda i: (len(b[i]) // 16, len(a[i])))
+    at = 0
+    while at < len(known):
+        take, width = 0, 0
+        while at + take < len(known):
+            width = max(width, len(b[known[at + take]]) + 1)
+            if take and (take + 1) * width > cells:
+                break
+            take += 1
+        block = known[at : at + take]
+        out[block] = _affine_block([a[i] for i in block], [b[i] for i in block], table, open_gap, extend_gap)
+        at += take
+    return out
+
+
+def pair_scores(pair_score: Mapping[tuple[str, str], float], open_gap: float = -11.0, extend_gap: float = -1.0) -> object:
+    """Alignment score of two sequence columns under a given substitution table; null if either is missing."""
+    table = Substitutions(pair_score)
+
+    @F.pandas_udf(T.DoubleType())
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(affine_scores(a.tolist(), b.tolist(), table, open_gap, extend_gap)).replace({np.nan: None}).astype("Float64")
+
+    return score
+
+
 def score_to_reference(
     reference: str,
     pair_score: Mapping[tuple[str, str], float],
@@ -88,19 +171,39 @@ def score_to_reference(
 
     The aligned row kept by the screening flow is the sequence itself, without gaps.
     """
-    letters = {x for pair in pair_score for x in pair}
-    value = lambda x, y: pair_score.get((x, y), pair_score.get((y, x), 0.0))
-    profile = {x: np.array([value(x, y) for y in reference]) for x in letters}
+    table = Substitutions(pair_score)
 
     @F.pandas_udf(T.DoubleType())
     def score(seq: pd.Series) -> pd.Series:
-        return pd.Series(
-            [affine_score(reference, profile, s, open_gap, extend_gap) for s in seq], dtype="float64"
-        )
+        seqs = seq.tolist()
+        return pd.Series(affine_scores(seqs, [reference] * len(seqs), table, open_gap, extend_gap), dtype="float64")
 
     return score
 
 
+def ungapped_spans(a: str, b: str, table: Substitutions) -> list[tuple[int, int, int, int]]:
+    """The best local alignments without gaps, as (start and end in a, start and end in b); none that score 0.
+
+    Every place of the best score is given, each run as short as its score allows.
+    """
+    if not a or not b:
+        return []
+    left, right = table.coded([a])[0], table.coded([b])[0]
+    run, length = np.zeros(len(b) + 1), np.zeros(len(b) + 1, np.int64)
+    best, found = 0.0, []
+    for i, x in enumerate(left):
+        grown = run[:-1] + table.table[x, right]
+        alive = grown > 0
+        length[1:] = np.where(alive, length[:-1] + 1, 0)
+        run[1:] = np.where(alive, grown, 0.0)
+        top = float(run.max())
+        if top > best:
+            best, found = top, []
+        if top > 0 and top == best:
+            found += [(i + 1 - int(length[j]), i + 1, j - int(length[j]), j) for j in np.flatnonzero(run == best).tolist()]
+    return found
+
+
 def region_mutations(a: Column, b: Column) -> Column:
     """Positions at which two regions differ, length differences included."""
     off = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (~x.eqNullSafe(y)).cast("int"))

@@ -149,6 +149,22 @@ def c1(spark, sf):
     return clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
 
 
+@query("c6_template_match")
+def c6(spark, sf):
+    """The pieces of an even document are chains, those of the next one the chains of its template."""
+    from sievegrid.operators.templates import template_match
+
+    pair = {(a, b): 4.0 if a == b else -1.0 for a in S.AMINO_ACIDS for b in S.AMINO_ACIDS}
+    rows = X.sequences(spark, sf).select(F.floor(F.col("doc_id") / 2).alias("structure_id"), "doc_id", "pos", "seq")
+    chains = rows.filter("doc_id % 2 = 0").select("structure_id", F.col("pos").alias("chain_id"), "seq")
+    templates = rows.filter("doc_id % 2 = 1").select(
+        "structure_id", F.col("doc_id").alias("template_id"), F.col("pos").alias("template_chain"), "seq"
+    )
+    found = template_match(chains, templates, pair, k=5, min_seeds=3)
+    best = found.withColumn("span", F.get("spans", F.lit(0)))
+    return best.select("structure_id", "template_id", "chain_id", "template_chain", "score", "span.*", F.size("spans").alias("n_spans"))
+
+
 @query("f16_score_to_reference")
 def f16(spark, sf):
     """Alignment of the reference passages to the first of them under match 4, mismatch -1."""

@@ -17,6 +17,7 @@ registry.load_all()
 WITHOUT_SQL = {
     "a23_vendi",
     "c1_sequence_clusters",
+    "c6_template_match",
     "f15_search_identity",
     "f16_score_to_reference",
     "g1_aligned_rmsd",
