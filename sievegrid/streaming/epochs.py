@@ -15,6 +15,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -108,14 +109,69 @@ def rate_gate(commits: DataFrame) -> DataFrame:
     )
 
 
-def consensus_or_local(rows: DataFrame, now: Column) -> DataFrame:
-    """Averages once the barrier of the epoch is reached, local values before.
+def barrier_block(block: Column) -> Column:
+    """The block from which on the averages of a block's epoch are read."""
+    return (F.floor(block / EPOCH_BLOCKS) + 1) * EPOCH_BLOCKS - CONSENSUS_BARRIER
 
-    ``rows``: block, local, average; the epoch is the one of ``block``.
+
+def consensus_barrier(local: DataFrame, averages: DataFrame, delay_blocks: int = DELAY_BLOCKS) -> DataFrame:
+    """(item, uid, block, value, shared): local values, replaced by averages at the barrier of their epoch.
+
+    ``local`` is a stream (item, uid, block, local), ``averages`` one of (uid, block, average) for the epoch of their
+    block. A value waits until the watermark has passed the barrier (and its own block). The average
+    is the last one posted by the barrier, the largest of one block; where there is none, or only later ones, the local
+    value stays. The state of a sender in an epoch is its waiting items and one average,
+    and goes when the epoch has passed. Null averages count as none.
     """
-    end = (F.floor(F.col("block") / EPOCH_BLOCKS) + 1) * EPOCH_BLOCKS
-    shared = F.when(now >= end - CONSENSUS_BARRIER, F.col("average"))
-    return rows.withColumn("value", F.coalesce(shared, F.col("local")))
+    kind = lambda c, t: F.lit(None).cast(t).alias(c)
+    left = local.select("uid", "block", F.col("item").cast("bigint").alias("item"), F.col("local").cast("double").alias("local"), kind("average", "double"))
+    right = averages.filter("average IS NOT NULL").select(
+        "uid", "block", kind("item", "bigint"), kind("local", "double"), F.col("average").cast("double").alias("average")
+    )
+    both = watermarked(left.unionByName(right), delay_blocks).withColumn("epoch", F.floor(F.col("block") / EPOCH_BLOCKS))
+
+    def hold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        uid, epoch = (int(k) if k is not None else None for k in key)
+        posted, average, items, blocks, values = state.get if state.exists else (None, None, [], [], [])
+        waiting = list(zip(blocks, items, values))
+        end = (epoch + 1) * EPOCH_BLOCKS
+        barrier = end - CONSENSUS_BARRIER
+        for pdf in batches:
+            shared = pdf[pdf["average"].notna() & (pdf["block"] <= barrier)]
+            for block, value in zip(shared["block"].astype(int).tolist(), shared["average"].tolist()):
+                if posted is None or (block, value) > (posted, average):
+                    posted, average = block, value
+            own = pdf[pdf["item"].notna()]
+            waiting += zip(
+                own["block"].astype(int).tolist(), own["item"].astype(int).tolist(), [None if pd.isna(v) else v for v in own["local"].tolist()]
+            )
+        passed = state.getCurrentWatermarkMs()
+        due = lambda block: max(block, barrier) * BLOCK_SECONDS * 1000 < passed
+        ready = [w for w in waiting if due(w[0])]
+        waiting = sorted((w for w in waiting if not due(w[0])), key=lambda w: (w[0], w[1]))
+        if end * BLOCK_SECONDS * 1000 < passed:
+            state.remove()
+        else:
+            state.update((posted, average, [w[1] for w in waiting], [w[0] for w in waiting], [w[2] for w in waiting]))
+            next_due = max(waiting[0][0], barrier) if waiting else end
+            state.setTimeoutTimestamp(max(next_due * BLOCK_SECONDS * 1000, passed) + 1)
+        yield pd.DataFrame(
+            {
+                "item": pd.Series([w[1] for w in ready], dtype="Int64"),
+                "uid": pd.Series([uid] * len(ready), dtype="Int64"),
+                "block": pd.Series([w[0] for w in ready], dtype="Int64"),
+                "value": pd.Series([w[2] if average is None else average for w in ready], dtype="Float64"),
+                "shared": pd.Series([average is not None] * len(ready), dtype="boolean"),
+            }
+        )
+
+    return both.groupBy("uid", "epoch").applyInPandasWithState(
+        hold,
+        "item bigint, uid bigint, block bigint, value double, shared boolean",
+        "posted bigint, average double, items array<bigint>, blocks array<bigint>, locals array<double>",
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
+    )
 
 
 def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
@@ -162,22 +218,110 @@ def archive_new(root: str, target: str, entity: str, key: str) -> Callable[[Data
     return work
 
 
-def write_slices(rows: DataFrame, at: Column, slices: int, disorder: int, path: str) -> None:
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and what lies in its folder (nothing if there is none), by name."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = list(system.listStatus(where)) if system.exists(where) else []
+    return system, sorted(found, key=lambda f: f.getPath().getName())
+
+
+class KnownKeys:
+    """The keys of an archive, read again only when batches were added to it."""
+
+    def __init__(self, spark: SparkSession, root: str, target: str, entity: str, key: str):
+        self.spark, self.path, self.key = spark, f"{root}/entity={entity}/target={target}", key
+        self.version: tuple | None = None
+        self.frame: DataFrame | None = None
+        self.loads = 0
+
+    def current(self) -> DataFrame | None:
+        """(key, batch) of everything archived, None without an archive."""
+        version = tuple(f.getPath().getName() for f in _files(self.spark, self.path)[1])
+        if version != self.version:
+            self.version, self.loads = version, self.loads + 1
+            self.frame = self.spark.read.parquet(self.path).select(self.key, "batch") if version else None
+        return self.frame
+
+
+def unique_new(stream: DataFrame, key: str, delay_blocks: int = DELAY_BLOCKS) -> DataFrame:
+    """Rows (key, block, ...) whose key didn't come within the delay before; the state is one row per key of that time."""
+    return watermarked(stream, delay_blocks).dropDuplicatesWithinWatermark([key])
+
+
+def archive_unseen(known: KnownKeys, root: str, target: str, entity: str) -> Callable[[DataFrame, int], None]:
+    """Micro-batch work: append the rows whose key the archive doesn't hold, each key once.
+
+    ``known`` is read again only after an append. Rows that a failed attempt of the same batch left
+    behind aren't known.
+    """
+    from sievegrid.operators.ordering import keep_one
+
+    def work(batch: DataFrame, number: int) -> None:
+        fresh = keep_one(batch, [known.key], [F.col("seq_no")])
+        held = known.current()
+        if held is not None:
+            fresh = fresh.join(held.filter(F.col("batch") != number).select(known.key), known.key, "left_anti")
+        if not fresh.isEmpty():
+            append_archive(fresh.withColumn("target", F.lit(target)), root, entity, number)
+
+    return work
+
+
+def committed_sink(path: str, before_commit: Callable[[int], None] = lambda number: None) -> Callable[[DataFrame, int], None]:
+    """Micro-batch work: write a batch, then enter it in a manifest of finished batches.
+
+    A batch that fails in between is written again whole under its number, and until it is entered no
+    reader sees it. ``before_commit`` runs in between.
+    """
+
+    def work(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/data/batch={number}")
+        before_commit(number)
+        entry = batch.sparkSession.createDataFrame([(number,)], "finished long")
+        entry.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/entry={number}")
+
+    return work
+
+
+def read_committed(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The rows of all finished batches, each with its ``batch``."""
+    empty = spark.createDataFrame([], schema).withColumn("batch", F.lit(0).cast("int"))
+    if not _files(spark, f"{path}/manifest")[1]:
+        return empty
+    finished = spark.read.parquet(f"{path}/manifest").select(F.col("finished").cast("int").alias("batch"))
+    data = spark.read.schema(empty.schema).option("basePath", f"{path}/data").parquet(f"{path}/data")
+    return data.join(finished, "batch", "left_semi").select(*empty.columns)
+
+
+def run_resuming(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, restarts: int = 3) -> int:
+    """Run to the end, starting again after a failure from what isn't finished; returns the number of failures."""
+    failures = 0
+    while True:
+        try:
+            each_batch(stream, work, checkpoint)
+            return failures
+        except StreamingQueryException:
+            failures += 1
+            if failures > restarts:
+                raise
+
+
+def write_slices(rows: DataFrame, at: Column, slices: int, disorder: int, path: str, rows_per_slice: int = 1 << 20) -> None:
     """Files of ``rows`` in the order of ``at`` (seconds), shifted by up to ``disorder`` seconds by hash.
 
-    Each slice is one file, written after the one before it, so a file stream
-    sees them in this order and rows of neighbouring slices out of order, but
-    none later than ``disorder``. Larger tables take more slices.
+    One job writes a file per range of time, at least ``slices`` and about one per ``rows_per_slice`` rows, and the files'
+    times are then set in their order, so a file stream sees them in it: rows of neighbouring files
+    out of order, but none later than ``disorder``.
     """
     shifted = at + F.pmod(F.xxhash64(*rows.columns), F.lit(disorder))
-    timed = rows.withColumn("_at", shifted)
-    low, high = timed.agg(F.min("_at"), F.max("_at")).first()
-    if low is None:
-        rows.write.parquet(path)
-        return
-    number = F.least(F.floor((F.col("_at") - low) * slices / (high - low + 1)), F.lit(slices - 1))
-    for i in range(slices):
-        timed.filter(number == i).drop("_at").coalesce(1).write.mode("append").parquet(path)
+    number = max(slices, -(-rows.count() // rows_per_slice))
+    rows.repartitionByRange(number, shifted).write.parquet(path)
+    system, files = _files(rows.sparkSession, path)
+    parts = [f for f in files if f.getPath().getName().startswith("part-")]
+    last = max((f.getModificationTime() for f in parts), default=0)
+    for i, f in enumerate(parts):
+        system.setTimes(f.getPath(), last - 1000 * (len(parts) - i), -1)
 
 
 def stream_folder(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
@@ -187,7 +331,7 @@ def stream_folder(spark: SparkSession, folder: str, files_per_trigger: int = 1)
 
 
 def run_some(stream: DataFrame, path: str, checkpoint: str, batches: int) -> int:
-    """Process at least ``batches`` micro-batches, stop in the middle, and say how many were done."""
+    """Process at least ``batches`` micro-batches or all there is, stop, and say how many were done."""
     query = (
         stream.writeStream.format("parquet")
         .option("path", path)
@@ -196,7 +340,8 @@ def run_some(stream: DataFrame, path: str, checkpoint: str, batches: int) -> int
         .start()
     )
     done = lambda: (query.lastProgress or {"batchId": -1})["batchId"] + 1
-    while query.isActive and done() < batches:
+    idle = lambda: query.status["message"] == "Waiting for data to arrive"
+    while query.isActive and done() < batches and not idle():
         time.sleep(0.05)
     query.stop()
     return done()

@@ -124,3 +124,92 @@ def test_a_stopped_stream_goes_on(spark, commits):
 def test_disorder_of_the_registered_streams_is_within_the_delay():
     assert S.DISORDER + 12 <= E.DELAY_BLOCKS * 12
     assert S.SLICES >= 5
+
+
+def resumed(spark, stream, base, fails):
+    """Run a stream into a committed sink that fails at the given (batch, attempt)s."""
+    attempts = {}
+
+    def break_at(number):
+        attempts[number] = attempts.get(number, 0) + 1
+        if (number, attempts[number]) in fails:
+            raise RuntimeError("injected")
+
+    failures = E.run_resuming(stream, E.committed_sink(base, break_at), f"{base}/checkpoint")
+    return failures, E.read_committed(spark, base, stream.schema)
+
+
+def test_failures_between_write_and_commit_lose_and_repeat_nothing(spark, commits):
+    base = scratch_path(spark, "failing")
+    stream = E.stream_folder(spark, commits, 1)
+    failures, out = resumed(spark, stream, base, {(1, 1), (1, 2), (3, 1)})
+    assert failures == 3
+    assert sorted(r.commit_id for r in out.collect()) == list(range(400))
+
+
+def test_an_unfinished_batch_is_not_read(spark, commits):
+    base = scratch_path(spark, "unfinished")
+    stream = E.stream_folder(spark, commits, 1)
+
+    def always(number):
+        if number == 2:
+            raise RuntimeError("injected")
+
+    with pytest.raises(E.StreamingQueryException):
+        E.run_resuming(stream, E.committed_sink(base, always), f"{base}/checkpoint", restarts=1)
+    assert {r.batch for r in E.read_committed(spark, base, stream.schema).select("batch").distinct().collect()} == {0, 1}
+
+
+def test_streams_of_an_empty_table_end(spark):
+    path, base = scratch_path(spark, "none"), scratch_path(spark, "none-out")
+    E.write_slices(spark.createDataFrame([], "commit_id long, uid long, block long"), F.col("block") * 12, 6, 1700, path)
+    stream = E.stream_folder(spark, path, 1)
+    E.run_some(stream, f"{base}/out", f"{base}/checkpoint", 2)
+    _, out = resumed(spark, stream, f"{base}/sink", set())
+    assert out.count() == 0
+    assert E.run_and_read(E.epoch_counts(stream), "none-counts").count() == 0
+
+
+def test_barrier_holds_values_until_it_has_passed(spark, commits):
+    """Averages on time replace local values, late ones and null ones don't; any cut gives the same rows."""
+    got = []
+    for n in (1, 64):
+        rows = E.stream_folder(spark, commits, n)
+        local = rows.filter("commit_id % 4 <> 0").select(F.col("commit_id").alias("item"), "uid", "block", (F.col("block") / 2).alias("local"))
+        value = F.when(F.col("commit_id") % 8 == 0, F.col("commit_id") * 1.0)
+        out = E.run_and_read(E.consensus_barrier(local, rows.filter("commit_id % 4 = 0").select("uid", "block", value.alias("average"))), "barrier")
+        got.append(sorted(map(tuple, out.collect())))
+    plain = [(i, i % 5, 1000 + (i * 37) % 1500) for i in range(400)]
+    last = max(b for _, _, b in plain) * 12 - 1800
+    want = []
+    for i, uid, block in plain:
+        barrier = (block // 361 + 1) * 361 - 100
+        if i % 4 and max(block, barrier) * 12 < last:
+            posted = [(b, float(j)) for j, u, b in plain if j % 8 == 0 and u == uid and b // 361 == block // 361 and b <= barrier]
+            want.append((i, uid, block, max(posted)[1] if posted else block / 2, bool(posted)))
+    assert got[0] == got[1] == sorted(want) and {w[4] for w in want} == {True, False}
+
+
+def test_each_key_is_archived_once_for_any_batches(spark, commits):
+    for n in (1, 64):
+        base = scratch_path(spark, "unseen")
+        rows = E.stream_folder(spark, commits, n).select(F.concat(F.lit("k"), F.col("commit_id") % 37).alias("key"), F.col("commit_id").alias("seq_no"), "block")
+        known = E.KnownKeys(spark, base, "T", "molecule", "key")
+        E.each_batch(E.unique_new(rows, "key"), E.archive_unseen(known, base, "T", "molecule"), f"{base}-checkpoint")
+        assert sorted(r.key for r in known.current().collect()) == sorted(f"k{i}" for i in range(37))
+        loads = known.loads
+        known.current()
+        assert known.loads == loads
+
+
+def test_slices_are_in_order_within_the_disorder(spark):
+    path = scratch_path(spark, "slices")
+    E.write_slices(spark.range(5000).withColumnRenamed("id", "t"), F.col("t") * 10, 4, 300, path, rows_per_slice=500)
+    files = [f for f in E._files(spark, path)[1] if f.getPath().getName().startswith("part-")]
+    assert len(files) == 10
+    files.sort(key=lambda f: f.getModificationTime())
+    highest = -1
+    for f in files:
+        times = [r.t * 10 for r in spark.read.parquet(str(f.getPath())).collect()]
+        assert min(times) >= highest - 300
+        highest = max(highest, max(times))
