@@ -11,11 +11,12 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievegrid.operators.components import connected_components
 from sievegrid.operators.ordering import RangeOrdered
+from sievegrid.session import durable
 
 XYZ = ("x", "y", "z")
 # Cutoffs in Angstrom.
@@ -125,6 +126,32 @@ def clashing_chains(atoms: DataFrame, dist: float = 1.7, freq: float = 0.3) -> D
     return clashes.groupBy("structure_id").applyInPandas(resolve, "structure_id long, chain_id long")
 
 
+def met_by_radius(atoms: DataFrame, share: float) -> DataFrame:
+    """Pairs of atoms of different chains that may be closer than ``share`` times the sum of their radii, each once.
+
+    Radii are classed by powers of two. A grid per class is as wide as its atoms reach; the atoms of the
+    class look around in it and meet those of their own and of smaller classes. So a large
+    atom costs what lies around it, and leaves the cells of the others as they are. Atoms without a radius
+    or with a radius of 0 or less meet nobody as the larger ones.
+    """
+    classed = atoms.withColumn("_class", F.when(F.col("radius") > 0, F.ceil(F.log2("radius"))))
+    classes = classed.filter("_class IS NOT NULL").select("structure_id", F.col("_class").alias("_grid")).distinct()
+    width = F.pow(F.lit(2.0), F.col("_grid")) * (2 * share)
+    cell = lambda c: F.floor(F.col(c) / width)
+    placed = classed.join(classes, "structure_id").filter("_class IS NULL OR _class <= _grid")
+    placed = placed.withColumns({f"_cell_{c}": cell(c) for c in XYZ})
+    right = placed.select(*[F.col(c).alias(f"b_{c}") for c in placed.columns])
+    left = classed.filter("_class IS NOT NULL").withColumn("_grid", F.col("_class"))
+    for c in XYZ:
+        left = left.withColumn(f"_cell_{c}", F.explode(F.array(*[cell(c) + i for i in (-1, 0, 1)])))
+    same = F.col("chain_id") != F.col("b_chain_id")
+    for c in ("structure_id", "_grid", *[f"_cell_{c}" for c in XYZ]):
+        same = same & (F.col(c) == F.col(f"b_{c}"))
+    once = F.col("b__class").isNull() | (F.col("b__class") < F.col("_class")) | (F.col("chain_id") < F.col("b_chain_id"))
+    met = left.join(right, same & once)
+    return met.select(*atoms.columns, *[f"b_{c}" for c in atoms.columns])
+
+
 def steric_clashes(atoms: DataFrame, bonded: DataFrame, buffer: float = 0.25) -> DataFrame:
     """Clashing chain pairs per bucket: any two atoms closer than (r1 + r2) * (1 - buffer).
 
@@ -138,16 +165,17 @@ def steric_clashes(atoms: DataFrame, bonded: DataFrame, buffer: float = 0.25) ->
     live = atoms.join(chains.select("structure_id", "chain_id", "n"), ["structure_id", "chain_id"])
     slim = live.select("structure_id", "chain_id", "entity_id", "type", "n", "radius", *XYZ)
     reach = (F.col("radius") + F.col("b_radius")) * (1.0 - buffer)
-    test = (F.col("chain_id") < F.col("b_chain_id")) & (square_distance() < reach * reach)
-    largest = atoms.agg(F.max("radius")).first()[0] or 0.0  # one number
-    hits = near(slim, slim, max(2 * largest * (1.0 - buffer), 1e-6), condition=test)
+    hits = met_by_radius(slim, 1.0 - buffer).filter(square_distance() < reach * reach)
+    first = F.col("chain_id") < F.col("b_chain_id")
+    in_order = lambda c: (F.when(first, F.col(c)).otherwise(F.col(f"b_{c}")), F.when(first, F.col(f"b_{c}")).otherwise(F.col(c)))
+    (chain_1, chain_2), (type_1, type_2) = in_order("chain_id"), in_order("type")
     pairs = hits.select(
         "structure_id",
-        F.col("chain_id").alias("chain_1"),
-        F.col("b_chain_id").alias("chain_2"),
+        chain_1.alias("chain_1"),
+        chain_2.alias("chain_2"),
         ((F.col("entity_id") == F.col("b_entity_id")) & (F.col("n") == F.col("b_n"))).alias("sym"),
-        F.col("type").alias("type_1"),
-        F.col("b_type").alias("type_2"),
+        type_1.alias("type_1"),
+        type_2.alias("type_2"),
     ).distinct()
     pairs = pairs.join(bonded.select("structure_id", "chain_1", "chain_2"), ["structure_id", "chain_1", "chain_2"], "left_anti")
     bucket = F.when(F.col("sym"), F.concat(F.lit("sym_"), "type_1")).otherwise(
@@ -413,31 +441,76 @@ def delta_area(atoms: DataFrame) -> DataFrame:
     )
 
 
+class CellTree:
+    """Points (structure_id, x, y, z) in cells of cells, 4 to an axis, with the boxes around their points.
+
+    ``leaf`` points at most lie in a cell of the last level, unless ``deepest`` levels don't part them.
+    A level holds occupied cells only.
+    """
+
+    def __init__(self, points: DataFrame, leaf: int = 64, deepest: int = 12):
+        box = points.groupBy("structure_id").agg(
+            *[F.min(c).alias(f"_lo_{c}") for c in XYZ], *[F.max(c).alias(f"_hi_{c}") for c in XYZ]
+        )
+        split = float(4**deepest)
+        share = lambda c: F.try_divide(F.col(c) - F.col(f"_lo_{c}"), F.col(f"_hi_{c}") - F.col(f"_lo_{c}"))
+        place = lambda c: F.least(F.floor(F.coalesce(F.nanvl(share(c), F.lit(0.0)), F.lit(0.0)) * split), F.lit(4**deepest - 1))
+        placed = points.join(box, "structure_id").select("structure_id", *XYZ, *[place(c).cast("long").alias(f"_{c}") for c in XYZ])
+        self.points, self.deepest = durable(placed), deepest
+        self.levels = 0
+        while self.levels < deepest:
+            crowd = self.points.groupBy("structure_id", *self.cell(self.levels)).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+            if (crowd or 0) <= leaf:
+                break
+            self.levels += 1
+
+    def cell(self, level: int) -> list[Column]:
+        return [F.shiftright(F.col(f"_{c}"), 2 * (self.deepest - level)).alias(f"_c{c}") for c in XYZ]
+
+    def boxes(self, level: int) -> DataFrame:
+        """(structure_id, parent cell, cell, box) of the occupied cells of a level."""
+        cells = self.points.groupBy("structure_id", *self.cell(level)).agg(
+            *[F.min(c).alias(f"_lo_{c}") for c in XYZ], *[F.max(c).alias(f"_hi_{c}") for c in XYZ]
+        )
+        return cells.withColumns({f"_p{c}": F.shiftright(f"_c{c}", 2) for c in XYZ})
+
+
 def nearest_distance(
-    a: DataFrame, b: DataFrame, start: float = 8.0, noise: Column | None = None
+    a: DataFrame, b: DataFrame, leaf: int = 64, noise: Column | None = None
 ) -> DataFrame:
     """(structure_id, atom_idx, distance) of the nearest row of ``b``; infinite without one.
 
-    The radius doubles for the rows not yet answered, so each round is a grid
-    join over what is left, until nothing is. Coordinates must be finite.
+    Rows go down a tree of cells from the whole structure: a cell is left out once another holds a
+    point that is nearer than its box, and only the last cells give out their points. So what
+    is compared is bounded by the cells near the answer, near or far. A row of ``a`` with a null or
+    non-finite coordinate counts as unresolved, its distance is infinite; such rows of ``b`` count as missing.
     """
-    slim = a.select("structure_id", "atom_idx", *XYZ)
-    other = b.select("structure_id", *XYZ)
-    has_other = other.select("structure_id").distinct()
-    lonely = slim.join(has_other, "structure_id", "left_anti").select("structure_id", "atom_idx", F.lit(float("inf")).alias("distance"))
-    left = slim.join(has_other, "structure_id", "left_semi")
-    out, radius = lonely, start
-    from sievegrid.session import durable
-
-    while not left.isEmpty():
-        found = durable(
-            near(left, other, radius)
-            .groupBy("structure_id", "atom_idx")
-            .agg(F.sqrt(F.min(square_distance())).alias("distance"))
-        )
-        out = out.unionByName(found)
-        left = durable(left.join(found, ["structure_id", "atom_idx"], "left_anti"))
-        radius *= 2
+    finite = lambda df: df.filter(" AND ".join(f"{c} IS NOT NULL AND abs({c}) < double('Infinity')" for c in XYZ))
+    slim = a.select("structure_id", "atom_idx", *[F.col(c).cast("double").alias(c) for c in XYZ])
+    tree = CellTree(finite(b.select("structure_id", *[F.col(c).cast("double").alias(c) for c in XYZ])).distinct(), leaf)
+    left = finite(slim).distinct().withColumns({**{f"_c{c}": F.lit(0).cast("long") for c in XYZ}, "_best": F.lit(float("inf"))})
+    row = ["structure_id", "atom_idx", *XYZ]
+    for level in range(1, tree.levels + 1):
+        above = left.select(*row, "_best", *[F.col(f"_c{c}").alias(f"_p{c}") for c in XYZ])
+        met = above.join(tree.boxes(level), ["structure_id", *[f"_p{c}" for c in XYZ]])
+        least = lambda c: F.greatest(F.col(f"_lo_{c}") - F.col(c), F.col(c) - F.col(f"_hi_{c}"), F.lit(0.0))
+        most = lambda c: F.greatest(F.abs(F.col(c) - F.col(f"_lo_{c}")), F.abs(F.col(c) - F.col(f"_hi_{c}")))
+        total = lambda f: f("x") * f("x") + f("y") * f("y") + f("z") * f("z")
+        bounded = met.withColumns({"_least": total(least), "_most": total(most)})
+        reach = F.least(F.col("_best"), F.min("_most").over(Window.partitionBy(*row)))
+        left = bounded.withColumn("_best", reach).filter("_least <= _best").select(*row, "_best", *[f"_c{c}" for c in XYZ])
+        if level % 3 == 0:
+            left = durable(left)
+    points = tree.points.select("structure_id", *[F.col(c).alias(f"b_{c}") for c in XYZ], *tree.cell(tree.levels))
+    met = left.join(points, ["structure_id", *[f"_c{c}" for c in XYZ]])
+    found = met.groupBy(*row).agg(F.sqrt(F.min(square_distance())).alias("distance"))
+    found = found.select(*[F.col(c).alias(f"_{c}") for c in row], "distance")
+    same = F.lit(True)
+    for c in row:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    out = slim.join(found, same, "left").select(
+        "structure_id", "atom_idx", F.coalesce("distance", F.lit(float("inf"))).alias("distance")
+    )
     if noise is not None:
         out = out.withColumn("distance", F.col("distance") + noise)
     return out
