@@ -60,6 +60,30 @@ def offsets(lengths: Column) -> Column:
     return bind(lengths, with_lengths)
 
 
+def running_max(values: Column) -> Column:
+    """For every entry of an array the largest before it, null for the first; in blocks as ``offsets``."""
+    top = lambda array: F.array_max(array)
+
+    def within(s: Column) -> Column:
+        return F.transform(s["part"], lambda x, i: F.greatest(s["base"], top(F.slice(s["part"], F.lit(1), i))))
+
+    def with_values(all_of: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(all_of) / F.lit(BLOCK)).cast("int") - 1, F.lit(0))
+        blocks = F.sequence(F.lit(0), last)
+        part = lambda b: F.slice(all_of, b * BLOCK + 1, F.lit(BLOCK))
+        return bind(
+            F.transform(blocks, lambda b: top(part(b))),
+            lambda tops: F.flatten(
+                F.transform(
+                    blocks,
+                    lambda b: bind(F.struct(top(F.slice(tops, F.lit(1), b)).alias("base"), part(b).alias("part")), within),
+                )
+            ),
+        )
+
+    return bind(values, with_values)
+
+
 def match_spans(text: Column, pattern: str, check: int = 0) -> Column:
     """Leftmost non-overlapping matches of ``pattern`` as structs (start, stop, value).
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievegrid.functions.sequences import bind
-from sievegrid.llm.common import match_spans
+from sievegrid.llm.common import BLOCK, match_spans, running_max
 
 # The three base patterns and their least lengths, in the order of the kinds.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -33,6 +33,7 @@ ENCODINGS = [
 ]
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BINS, STRATA = 400, (4, 10)
+PART = 4096
 
 
 def _classes(token: Column) -> Column:
@@ -195,11 +196,8 @@ def scan(
     base = F.when(body.rlike(ANY), F.sort_array(F.concat(*[kind_spans(i) for i in range(3)]))).otherwise(none)
     tried = "array<struct<start:bigint,stop:bigint,stratum:int,bin:int>>"
 
-    def candidates(spans: Column) -> Column:
-        free = F.filter(
-            match_spans(body, CANDIDATE),
-            lambda c: ~F.exists(spans, lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])),
-        )
+    def candidates(blocks: Column) -> Column:
+        free = F.filter(match_spans(body, CANDIDATE), lambda c: ~_touched(blocks, c))
         return F.transform(
             free,
             lambda c: F.struct(
@@ -210,10 +208,13 @@ def scan(
             ),
         )
 
+    def found(spans: Column) -> Column:
+        added = F.when(body.rlike(CANDIDATE), bind(_blocked(spans), candidates)).otherwise(F.array().cast(tried))
+        return F.struct(spans.alias("base"), added.alias("added"))
+
     def with_candidates(frame: DataFrame) -> DataFrame:
-        based = frame.withColumn("base", base)
-        found = F.when(body.rlike(CANDIDATE), candidates(F.col("base"))).otherwise(F.array().cast(tried))
-        return based.withColumn("added", found)
+        both = frame.drop("base", "added").withColumn("_found", bind(base, found))
+        return both.withColumns({"base": F.col("_found.base"), "added": F.col("_found.added")}).drop("_found")
 
     counts = (
         with_candidates(docs.select(text))
@@ -244,6 +245,54 @@ def scan(
     )
 
 
+def _blocked(spans: Column) -> Column:
+    """Sorted spans in blocks of ``BLOCK``, each with the reach of its spans."""
+    last = F.greatest(F.ceil(F.size(spans) / F.lit(BLOCK)).cast("int") - 1, F.lit(0))
+    return F.transform(
+        F.sequence(F.lit(0), last),
+        lambda i: bind(
+            F.slice(spans, i * BLOCK + 1, F.lit(BLOCK)),
+            lambda part: F.struct(
+                F.get(part, F.lit(0))["start"].alias("start"),
+                F.array_max(F.transform(part, lambda s: s["stop"])).alias("stop"),
+                part.alias("spans"),
+            ),
+        ),
+    )
+
+
+def _touched(blocks: Column, c: Column) -> Column:
+    """Whether a span of the blocks overlaps ``c``; blocks out of reach aren't opened."""
+    meets = lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])
+    return F.exists(blocks, lambda b: F.coalesce(meets(b), F.lit(False)) & F.exists(b["spans"], meets))
+
+
+def _merged(spans: Column) -> Column:
+    """Sorted spans as gaps (start, stop) that don't overlap.
+
+    A span opens a gap if it starts where all before it have stopped; the gap stops at the
+    largest stop before the next one.
+    """
+
+    def with_reach(all_of: Column) -> Column:
+        return bind(
+            F.filter(
+                F.zip_with(all_of, running_max(F.transform(all_of, lambda s: s["stop"])), lambda s, r: F.struct(s["start"].alias("start"), r.alias("reach"))),
+                lambda s: s["reach"].isNull() | (s["start"] >= s["reach"]),
+            ),
+            lambda heads: F.zip_with(
+                F.transform(heads, lambda h: h["start"]),
+                F.concat(
+                    F.transform(F.slice(heads, F.lit(2), F.size(heads)), lambda h: h["reach"]),
+                    F.array(F.array_max(F.transform(all_of, lambda s: s["stop"]))),
+                ),
+                lambda start, stop: F.struct(start.alias("start"), stop.alias("stop")),
+            ),
+        )
+
+    return bind(spans, with_reach)
+
+
 def _thresholds(counts, q: float) -> dict[int, int]:
     """Smallest accepted bin by length class: Benjamini-Hochberg on binned p values."""
     out = {}
@@ -287,33 +336,21 @@ def redact(scanned: DataFrame, text: str = "text", mark: str = "[SECRET]") -> Da
     spans = F.sort_array(F.concat("base", "added"))
     body = F.coalesce(F.col(text), F.lit(""))
 
-    def covered(merged: Column) -> Column:
-        edges = F.concat(
-            F.transform(merged, lambda m: m["start"]),
-            F.array(F.length(body).cast("long")),
-        )
-        starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(merged, lambda m: m["stop"]))
-        return F.array_join(
-            F.zip_with(
-                starts, edges, lambda a, b: body.substr((a + 1).cast("int"), (b - a).cast("int"))
-            ),
-            mark,
-        )
-
-    merged = F.aggregate(
-        spans,
-        F.array().cast("array<struct<start:bigint,stop:bigint>>"),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["stop"] > s["start"]),
-            F.concat(
-                F.slice(acc, F.lit(1), F.size(acc) - 1),
-                F.array(
-                    F.struct(
-                        F.element_at(acc, -1)["start"].alias("start"),
-                        F.greatest(F.element_at(acc, -1)["stop"], s["stop"]).alias("stop"),
-                    )
-                ),
-            ),
-        ).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["stop"].alias("stop"))))),
-    )
-    return scanned.withColumn(text, F.when(F.size(spans) > 0, bind(merged, covered)).otherwise(F.col(text)))
+    def piece(parts: Column, start: Column, stop: Column) -> Column:
+        """Code points from ``start`` to ``stop``, from parts of ``PART`` each."""
+        first, last = F.floor(start / PART).cast("int"), F.floor(stop / PART).cast("int")
+        part = lambda i: F.coalesce(F.get(parts, i), F.lit(""))
+        cut = lambda i, a, n: part(i).substr(a.cast("int"), n.cast("int"))
+        head, tail = cut(first, start % PART + 1, F.lit(PART)), cut(last, F.lit(1), stop % PART)
+        inner = F.array_join(F.slice(parts, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        return F.when(first == last, cut(first, start % PART + 1, stop - start)).otherwise(F.concat(head, inner, tail))
+
+    def covered(both: Column) -> Column:
+        gaps, parts = both["gaps"], both["parts"]
+        edges = F.concat(F.transform(gaps, lambda m: m["start"]), F.array(F.length(body).cast("long")))
+        starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(gaps, lambda m: m["stop"]))
+        return F.array_join(F.zip_with(starts, edges, lambda a, b: piece(parts, a, b)), mark)
+
+    parts = F.regexp_extract_all(body, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
+    both = F.struct(_merged(spans).alias("gaps"), parts.alias("parts"))
+    return scanned.withColumn(text, F.when(F.size(spans) > 0, bind(both, covered)).otherwise(F.col(text)))

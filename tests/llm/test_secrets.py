@@ -4,11 +4,12 @@ import hashlib
 import random
 import re
 import string
+import time
 
 from pyspark.sql import functions as F
 
 from sievegrid.llm import secrets
-from sievegrid.llm.common import match_spans, offsets
+from sievegrid.llm.common import match_spans, offsets, running_max
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
@@ -94,5 +95,54 @@ def test_overlapping_spans_are_one_gap(make_docs):
     assert got == {1: "x [SECRET] y", 2: None}
 
 
+def test_running_max(spark):
+    for n in (0, 1, 127, 128, 129, 1000):
+        values = [random.Random(n).randint(0, 999) for _ in range(n)]
+        df = spark.createDataFrame([(values,)], "v array<int>").select(running_max(F.col("v")).alias("m"))
+        assert df.first().m == [max(values[:i], default=None) for i in range(n)]
+
+
+def dense(n, seed):
+    """A text with n hex strings and n unassigned random tokens, and some assignments that hold hex."""
+    r = random.Random(seed)
+    parts = []
+    for i in range(n):
+        parts.append("".join(r.choices("0123456789abcdef", k=40)))
+        parts.append("".join(r.choices(string.ascii_letters + string.digits, k=32)))
+        if i % 10 == 0:
+            parts.append("token = " + "".join(r.choices("0123456789abcdef", k=30)) + "é\n")
+    return " ".join(parts)
+
+
+def test_many_spans_in_one_text(make_docs):
+    text = dense(700, 1)
+    scanned = secrets.scan(make_docs([(1, text, "en", "a")])).cache()
+    row = scanned.first()
+    spans = base(text)
+    assert [(s.start, s.kind_order, s.kind, s.stop) for s in row.base] == spans
+    assert len(row.added) >= 690 and all(not any(s[0] < a.stop and a.start < s[3] for s in spans) for a in row.added)
+    gaps, clean, at = [], [], 0
+    for start, stop in sorted([(s[0], s[3]) for s in spans] + [(a.start, a.stop) for a in row.added]):
+        if gaps and start < gaps[-1][1]:
+            gaps[-1][1] = max(gaps[-1][1], stop)
+        else:
+            gaps.append([start, stop])
+    for start, stop in gaps:
+        clean.append(text[at:start])
+        at = stop
+    assert secrets.redact(scanned).first().text == "[SECRET]".join([*clean, text[at:]])
+
+
+def test_time_grows_with_the_spans(make_docs):
+    times = []
+    for n in (50, 1000, 4000):
+        docs = make_docs([(1, dense(n, n), "en", "a")]).cache()
+        docs.count()
+        start = time.time()
+        assert len(secrets.redact(secrets.scan(docs)).first().text) > n
+        times.append(time.time() - start)
+    assert times[2] - times[0] < 6 * max(times[1] - times[0], 1)
+
+
 def test_empty_table(make_docs):
     assert secrets.digest(secrets.scan(make_docs([]))).count() == 0
