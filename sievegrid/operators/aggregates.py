@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Mapping, Sequence
+import sys
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievegrid.functions.draws import uniform
 from sievegrid.operators.ordering import RangeOrdered
-from sievegrid.session import unnest
+from sievegrid.session import durable, unnest
 
 FINGERPRINT_BITS = 167  # fixed value: bits of the structural-key fingerprint
 
@@ -253,3 +255,92 @@ def vendi(df: DataFrame, group: str, vector: str, dim: int, mask: Column | None
 
     # dim rows per group, whatever the group held
     return gram.groupBy("g").applyInPandas(score, f"{group} {kind}, vendi double")
+
+
+def group_states(
+    df: DataFrame,
+    by: Sequence[str],
+    state: str,
+    fold: Callable[[pd.DataFrame], dict],
+    merge: Callable[[dict, dict], dict],
+    finish: Callable[[dict], dict],
+    result: str,
+    most_keys: int = 10_000,
+) -> DataFrame:
+    """A function of groups that returns several values, from states that merge.
+
+    ``fold`` makes a state of some rows of a group, ``merge`` one of two, ``finish`` the result. Every task folds its
+    Arrow batches to a state per group (at most ``most_keys`` are held at once), and a group is then merged from the states
+    of the tasks, a few values each, so no task ever holds its rows. ``state`` and ``result`` are schemas.
+    """
+    keys = df.select(*by).schema
+    of_keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys.fields)
+    names = list(by)
+    integral = [f.dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") for f in keys.fields]
+
+    def rows_of(held: dict) -> pd.DataFrame:
+        return pd.DataFrame([{**dict(zip(names, k)), **s} for k, s in held.items()])
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, dict] = {}
+        for pdf in batches:
+            for key, rows in pdf.groupby(names, dropna=False, sort=False):
+                key = tuple(None if pd.isna(k) else int(k) if whole_number else k for k, whole_number in zip(key, integral))
+                folded = fold(rows)
+                held[key] = merge(held[key], folded) if key in held else folded
+            if len(held) > most_keys:
+                yield rows_of(held)
+                held = {}
+        if held:
+            yield rows_of(held)
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        states = pdf.drop(columns=names).to_dict("records")
+        return pdf[names].head(1).assign(**finish(functools.reduce(merge, states)))
+
+    states = df.mapInPandas(partial, f"{of_keys}, {state}")
+    return states.groupBy(*names).applyInPandas(whole, f"{of_keys}, {result}")
+
+
+def exact_median(df: DataFrame, by: str, value: str, ranges: int = 256, few: int = 1024) -> DataFrame:
+    """(by, median): the middle value of each group, or the mean of the two middle ones.
+
+    Every round counts the values of a group in ``ranges`` equal ranges and goes on in the one that holds
+    the middle, until it holds ``few`` values or one; only counts are shuffled before. Null and NaN values don't
+    count, infinite ones do; groups without values don't appear.
+    """
+    rows = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(
+        F.col(by).alias("k"), F.col(value).cast("double").alias("v")
+    )
+    rows = durable(rows)
+    ends = rows.groupBy("k").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n"))
+    # the ranks of the one or two middles, counted from the smallest value of [lo, hi]
+    middles = F.array_distinct(F.array(F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1))
+    targets = durable(ends.withColumn("rank", F.explode(middles)).withColumn("target", F.col("rank")))
+    done = targets.limit(0)
+    of_group = F.col("k").eqNullSafe(F.col("g")) & F.col("v").between(F.col("lo"), F.col("hi"))
+    least, most = -sys.float_info.max, sys.float_info.max
+    half = lambda c: F.greatest(F.least(F.col(c), F.lit(most)), F.lit(least)) / 2
+    while True:
+        wide = (F.col("n") > few) & (F.col("lo") < F.col("hi"))
+        done = done.unionByName(targets.filter(~wide))
+        left = targets.filter(wide).withColumnRenamed("k", "g")
+        if left.isEmpty():
+            break
+        share = F.coalesce(F.try_divide(half("v") - half("lo"), half("hi") - half("lo")), F.lit(0.0))
+        inner = F.least(F.floor(share * ranges), F.lit(ranges - 1))
+        # the ends of a range never share a place, so every round parts them
+        place = F.when(F.col("v") == F.col("lo"), -1).when(F.col("v") == F.col("hi"), ranges).otherwise(inner)
+        counts = rows.join(left, of_group).groupBy("k", "target", "rank", place.alias("place")).agg(
+            F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")
+        )
+        up_to = Window.partitionBy("k", "target").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+        placed = counts.withColumn("upto", F.sum("c").over(up_to))
+        placed = placed.filter((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("c") < F.col("rank")))
+        rank = (F.col("rank") - F.col("upto") + F.col("c")).alias("rank")
+        targets = durable(placed.select("k", "lo", "hi", F.col("c").alias("n"), rank, "target"))
+    single = done.filter("lo >= hi").select("k", F.col("lo").alias("v"))
+    some = rows.join(done.filter("lo < hi").withColumnRenamed("k", "g"), of_group)
+    order = Window.partitionBy("k", "target").orderBy("v")
+    picked = some.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") == F.col("rank")).select("k", "v")
+    return single.unionByName(picked).groupBy(F.col("k").alias(by)).agg(F.avg("v").alias("median"))

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievegrid.functions import intake as I
 from sievegrid.functions import sequences as S
 
 
@@ -129,6 +130,33 @@ def nanobody_gate(df: DataFrame, count: int, items: str = "items", **limits) ->
     return df.withColumns({items: cut, "first_failed_rule": failed})
 
 
+def molecule_rules(
+    name: Column,
+    reactions: Sequence[str],
+    smiles: Column,
+    bonds: Column,
+    archived: Column,
+    min_heavy: int,
+    banned: Sequence[str],
+    min_bonds: int,
+    max_bonds: int,
+) -> list[tuple[str, Column]]:
+    """The rules of one molecule in their order; the first that fails ends its submission.
+
+    ``smiles`` is null or empty where the product can't be resolved; rules behind that see no molecule and
+    need not say so. ``archived`` is true where an archive holds the molecule.
+    """
+    some = F.coalesce(smiles, F.lit(""))
+    return [
+        ("reaction", I.reaction_in(name, reactions)),
+        ("unresolved", some != ""),
+        ("heavy_atoms", I.heavy_atoms(some) >= min_heavy),
+        ("banned_elements", ~I.contains_element(some, banned)),
+        ("rotatable_bonds", bonds.between(min_bonds, max_bonds)),
+        ("archived", ~F.coalesce(archived, F.lit(False))),
+    ]
+
+
 def molecule_gate(
     items: DataFrame, uid: str, pos: str, rules: Sequence[tuple[str, Column]], diverse: Column
 ) -> DataFrame:

@@ -8,6 +8,7 @@ from sievegrid.functions import intake as I
 from sievegrid.functions import scoring as C
 from sievegrid.operators import gates as G
 from sievegrid.operators import joins as J
+from sievegrid.operators import similarity as Y
 from sievegrid.plans import fixtures as X
 from sievegrid.plans.registry import query
 
@@ -217,27 +218,44 @@ def f9(spark, sf):
 @query(
     "p10_molecule_gate",
     NAMES
-    + """, feats AS (SELECT uid, pos, name, l_partkey, l_suppkey, p_size AS heavy, l_partkey % 13 AS bonds,
-        p_name FROM names JOIN part ON l_partkey = p_partkey),
-    known AS (SELECT DISTINCT p_name FROM part WHERE p_brand = 'Brand#3'),
-    checked AS (SELECT *, NOT (l_suppkey % 6 IN (1, 2, 3) AND heavy >= 10 AND bonds BETWEEN 1 AND 10
-        AND p_name NOT IN (SELECT p_name FROM known)) AS bad FROM feats),
-    stops AS (SELECT uid, min(pos) AS stop FROM checked WHERE bad GROUP BY uid)
+    + r""", raw AS (SELECT *, regexp_extract_all(p_name, '\[[^\]]*\]|Br|Cl|[BCNOPSFI]|[bcnops]') AS t, p_name || ' ' || p_brand AS label FROM part),
+    feats AS (SELECT p_partkey, label, len(t) AS heavy, len(list_filter(t, lambda x: lower(x) = 'p')) > 0 AS banned,
+      length(regexp_replace(p_name, '[^aeiou]', '', 'g')) AS bonds, p_type = 'PROMO' AS old,
+      list_distinct(list_transform(range(1, length(label)), lambda i: substr(label, i, 2))) AS bits FROM raw),
+    known AS (SELECT DISTINCT label FROM feats WHERE old),
+    sets AS (SELECT DISTINCT label, bits FROM feats), olds AS (SELECT DISTINCT label, bits FROM feats WHERE old),
+    close AS (SELECT DISTINCT a.label FROM sets a JOIN olds b
+      ON len(list_intersect(a.bits, b.bits)) * 1.9 >= 0.9 * (len(a.bits) + len(b.bits)) - 1e-9),
+    checked AS (SELECT uid, pos, name, label, l_suppkey % 6 IN (1, 2, 3) AND regexp_matches(name, '^rxn:\d+:\d+:\d+(:\d+)?$') AND label IS NOT NULL
+        AND heavy >= 2 AND NOT banned AND bonds BETWEEN 2 AND 4 AND label NOT IN (SELECT label FROM known) AS fine
+      FROM names LEFT JOIN feats ON l_partkey = p_partkey),
+    stops AS (SELECT uid, min(pos) AS stop FROM checked WHERE NOT coalesce(fine, false) GROUP BY uid)
     SELECT uid, pos, name FROM checked LEFT JOIN stops USING (uid)
-    WHERE (stop IS NULL OR pos < stop) AND heavy % 4 <> 0""",
+    WHERE (stop IS NULL OR pos < stop) AND label NOT IN (SELECT label FROM close)""",
 )
 def p10(spark, sf):
-    part = X.table(spark, sf, "part")
-    known = part.filter("p_brand = 'Brand#3'").select("p_name").distinct()
-    feats = product_names(spark, sf).join(part, F.col("l_partkey") == F.col("p_partkey"))
-    marked = feats.join(known.withColumn("known", F.lit(True)), "p_name", "left")
-    rules = [
-        ("reaction", I.reaction_in(F.col("name"), ["rxn:1", "rxn:2", "rxn:3"])),
-        ("heavy_atoms", F.col("p_size") >= 10),
-        ("rotatable_bonds", (F.col("l_partkey") % 13).between(1, 10)),
-        ("archived", F.col("known").isNull()),
-    ]
-    kept = G.molecule_gate(marked, "uid", "pos", rules, F.col("p_size") % 4 != 0)
+    """All rules of a molecule: reaction, structure found, size, elements, bonds, archive; and its likeness to the archive."""
+    label = F.concat("p_name", F.lit(" "), "p_brand")
+    pairs = F.transform(F.sequence(F.lit(1), F.length("label") - 1), lambda i: F.substring(F.col("label"), i, F.lit(2)))
+    parts = X.table(spark, sf, "part").withColumn("label", label).withColumn("bits", F.array_distinct(pairs))
+    archive = parts.filter("p_type = 'PROMO'").select("label", "bits").distinct()
+    close = Y.near_archive(parts.select("label", "bits").distinct(), archive, "bits", 0.9).select("label", F.lit(True).alias("close"))
+    known = archive.select("label", F.lit(True).alias("known"))
+    facts = parts.join(known, "label", "left").join(close, "label", "left")
+    names = product_names(spark, sf).withColumn("product", I.parse_product(F.col("name")))
+    items = names.join(facts, F.col("l_partkey") == F.col("p_partkey"), "left")
+    rules = G.molecule_rules(
+        F.col("name"),
+        ["rxn:1", "rxn:2", "rxn:3"],
+        smiles=F.when(F.col("product").isNotNull(), F.col("p_name")),
+        bonds=F.length(F.regexp_replace("p_name", "[^aeiou]", "")),
+        archived=F.col("known"),
+        min_heavy=2,
+        banned=["P"],
+        min_bonds=2,
+        max_bonds=4,
+    )
+    kept = G.molecule_gate(items, "uid", "pos", rules, F.col("close").isNull())
     return kept.select("uid", "pos", "name")
 
 
