@@ -143,6 +143,33 @@ def kmer_search(queries: DataFrame, index: DataFrame, k: int = 5, min_shared: in
     return queries.join(found, "seq").drop("seq")
 
 
+REGIONS = {"cdr1": 0.25, "cdr2": 0.25, "cdr3": 0.5}
+
+
+def match_details(matches: DataFrame, queries: DataFrame, refs: DataFrame, key: str, weights: dict[str, float] = REGIONS) -> DataFrame:
+    """``matches`` (key, target, ref, identity, ...) with the identity of each region, their weighted mean
+    ``cdr_similarity``, and the duplicate tier ``dup`` with its ``reason``.
+
+    ``queries`` has the key and the regions, ``refs`` target, ref and the regions; a region is null where it could not be
+    found. A match without any region on either side is judged by its whole identity; missing regions of others count 0.
+    """
+    from sievegrid.operators.gates import duplicate_tier
+
+    names = list(weights)
+    mine = queries.select(key, *names)
+    theirs = refs.select("target", "ref", *[F.col(c).alias(f"_ref_{c}") for c in names])
+    joined = rebalance(matches.join(mine, key, "left").join(theirs, ["target", "ref"], "left"))
+    out = joined.withColumns({f"{c}_identity": identity(F.col(c), F.col(f"_ref_{c}")) for c in names})
+    part = {c: F.col(f"{c}_identity") for c in names}
+    has = F.coalesce(*part.values()).isNotNull()
+    total = sum((F.coalesce(part[c], F.lit(0.0)) * w for c, w in weights.items()), F.lit(0.0)) / sum(weights.values())
+    tier = duplicate_tier(F.col("identity"), part["cdr1"], part["cdr2"], part["cdr3"], has)
+    out = out.withColumns({"cdr_similarity": F.when(has, total), "_tier": tier})
+    return out.withColumns({"dup": F.col("_tier.dup"), "reason": F.col("_tier.reason")}).drop(
+        "_tier", *names, *[f"_ref_{c}" for c in names]
+    )
+
+
 def cluster_links(nodes: DataFrame, k: int = 5, picks: int = 10, min_identity: float = 0.4) -> DataFrame:
     """(a, b) of sequences (id, seq) that share a picked k-mer with a centre and reach the identity to it.
 

@@ -68,13 +68,20 @@ def j8(spark, sf):
 
 @query("f15_search_identity")
 def f15(spark, sf):
-    """Alignment identity and duplicate tier of the coarse matches."""
-    from sievegrid.operators.gates import duplicate_tier
-
-    found = Y.kmer_search(X.sequences(spark, sf), top_sequences(spark, sf), 5, 5, 0.05)
-    none = F.lit(None).cast("double")
-    tier = duplicate_tier(F.col("identity"), none, none, none, F.lit(False))
-    return found.select("doc_id", "pos", "ref", F.round("identity", 9).alias("identity"), tier["dup"].alias("dup"))
+    """Alignment identity, region identities and duplicate tier of the coarse matches."""
+    pieces, refs = X.sequences(spark, sf), top_sequences(spark, sf)
+    found = Y.kmer_search(pieces, refs, 5, 5, 0.05)
+    key = F.struct("doc_id", "pos").alias("key")
+    part = lambda seq, at, n: F.when(F.length(seq) >= at + n - 1, F.substring(seq, at, n))
+    regions = lambda seq: [part(seq, *w).alias(c) for c, w in (("cdr1", (5, 8)), ("cdr2", (20, 7)), ("cdr3", (40, 12)))]
+    detail = Y.match_details(
+        found.select(key, "target", "ref", "identity"),
+        pieces.select(key, *regions("seq")),
+        refs.select("target", "ref", *regions("ref_seq")),
+        "key",
+    )
+    share = F.round("cdr_similarity", 9).alias("cdr_similarity")
+    return detail.select("key.doc_id", "key.pos", "ref", F.round("identity", 9).alias("identity"), share, "dup", "reason")
 
 
 @query(
