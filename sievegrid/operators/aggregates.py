@@ -302,7 +302,7 @@ def group_states(
     return states.groupBy(*names).applyInPandas(whole, f"{of_keys}, {result}")
 
 
-def exact_median(df: DataFrame, by: str, value: str, ranges: int = 256, few: int = 1024) -> DataFrame:
+def group_median(df: DataFrame, by: str, value: str, ranges: int = 256, few: int = 1024) -> DataFrame:
     """(by, median): the middle value of each group, or the mean of the two middle ones.
 
     Every round counts the values of a group in ``ranges`` equal ranges and goes on in the one that holds

@@ -81,7 +81,7 @@ def x5(spark, sf):
         rows, ["c_nationkey"], "n long, low double, high double", fold, merge,
         lambda s: {"n": s["n"], "spread": round(s["high"] - s["low"], 6)}, "n long, spread double",
     )
-    middle = A.exact_median(rows, "c_nationkey", "c_acctbal")
+    middle = A.group_median(rows, "c_nationkey", "c_acctbal")
     return ends.join(middle, "c_nationkey").select("c_nationkey", "n", F.round("median", 6).alias("middle"), "spread")
 
 

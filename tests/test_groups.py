@@ -20,7 +20,7 @@ def rows(seed, n):
 def test_median_equals_whole_groups(spark, ranges, few):
     data = rows(1, 4000)
     df = spark.createDataFrame(data, "g long, v double")
-    got = {x.g: x["median"] for x in A.exact_median(df, "g", "v", ranges, few).collect()}
+    got = {x.g: x["median"] for x in A.group_median(df, "g", "v", ranges, few).collect()}
     groups = {}
     for g, v in data:
         if v is not None and not math.isnan(v):
@@ -30,9 +30,9 @@ def test_median_equals_whole_groups(spark, ranges, few):
 
 def test_median_of_far_and_infinite_values(spark):
     data = [(1, v) for v in [-math.inf] * 5 + [math.inf] * 4 + [1e308, -1e308, 1e-300, 0.0, 5e-324]]
-    got = A.exact_median(spark.createDataFrame(data, "g long, v double"), "g", "v", 4, 1).first()["median"]
+    got = A.group_median(spark.createDataFrame(data, "g long, v double"), "g", "v", 4, 1).first()["median"]
     assert got == statistics.median([v for _, v in data])
-    assert A.exact_median(spark.createDataFrame([], "g long, v double"), "g", "v").count() == 0
+    assert A.group_median(spark.createDataFrame([], "g long, v double"), "g", "v").count() == 0
 
 
 def test_states_equal_whole_groups(spark):
@@ -67,4 +67,4 @@ def test_one_group_with_all_rows_reaches_no_task_whole(spark):
 
     out = A.group_states(df, ["g"], "n long", fold, merge, lambda s: s, "n long").collect()
     assert [x.n for x in out] == [300_000]
-    assert A.exact_median(df, "g", "v").first()["median"] == 149_999.5
+    assert A.group_median(df, "g", "v").first()["median"] == 149_999.5
