@@ -282,8 +282,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     Null counts as empty and gives no ids. Rows stay as they are, repeated ones
     too; a column that is called like ``ids`` is replaced.
     ``path`` must exist on every machine (a tokenizer file of an installed
-    package); each Python worker compiles it once, in about two seconds, and
-    keeps tables of a size that depends on the file only.
+    package); each Python worker compiles it once, in about a second, and
+    keeps tables of a size that depends on the file only, and a bounded memory of words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
