@@ -51,9 +51,9 @@ def apply_consensus(
         *keys, *[F.col(m).alias(f"_avg_{m}") for m in metrics], F.lit(True).alias("_hit")
     )
     joined = local.join(side, list(keys), "left")
-    # one row per entity type (molecule, nanobody): bounded by the schema, not the data
-    complete = joined.groupBy(entity).agg(F.bool_and(F.coalesce("_hit", F.lit(False))).alias("_all"))
-    out = joined.join(F.broadcast(complete), entity)
+    # rows without an entity type are one type of their own
+    complete = joined.groupBy(F.col(entity).alias("_type")).agg(F.bool_and(F.coalesce("_hit", F.lit(False))).alias("_all"))
+    out = joined.join(complete, F.col(entity).eqNullSafe(F.col("_type")))
     use = lambda m: F.when(F.col("_all"), F.coalesce(f"_avg_{m}", m)).otherwise(F.col(m))
     return out.select(*[use(c).alias(c) if c in metrics else F.col(c) for c in local.columns])
 

@@ -228,7 +228,7 @@ def s13(spark, sf):
     "k3_epoch_report",
     """WITH m AS (SELECT o_custkey AS uid, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL),
     a AS (SELECT o_custkey AS uid, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY ALL)
-    SELECT c_custkey AS uid, c_custkey - 100 AS blocks_elapsed, coalesce(m.n, 0) AS molecules, coalesce(a.n, 0) AS nanobodies, CASE WHEN c_acctbal < 0
+    SELECT c_custkey AS uid, c_custkey - 100 AS blocks_elapsed, least(coalesce(m.n, 0), 5) AS molecules, least(coalesce(a.n, 0), 5) AS nanobodies, CASE WHEN c_acctbal < 0
       THEN -999.99 ELSE c_acctbal END AS molecule_final_score FROM customer LEFT JOIN m ON c_custkey = m.uid LEFT JOIN a ON c_custkey = a.uid
       WHERE m.n IS NOT NULL OR a.n IS NOT NULL""",
 )
@@ -244,7 +244,7 @@ def k3(spark, sf):
     )
     orders = X.table(spark, sf, "orders").select(F.col("o_custkey").alias("uid"), F.col("o_orderkey").alias("item"), "o_totalprice", "o_orderstatus")
     items = lambda s: orders.filter(F.col("o_orderstatus") == s).drop("o_orderstatus")
-    report = W.epoch_report(submissions, items("F"), items("O"), 100, {"num_molecules": "1", "num_sequences": "1"})
+    report = W.epoch_report(submissions, items("F"), items("O"), 100, {"num_molecules": "5", "num_sequences": "5"}, 5)
     text = W.json_safe(F.col("document"))
     back = F.from_json(text, report.schema["document"].dataType.json())
     n = lambda c: F.coalesce(F.size(F.col(f"d.{c}")), F.lit(0)).cast("bigint").alias(c)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievegrid.functions.scoring import INF, safe_num
@@ -45,17 +45,28 @@ def json_safe(value: Column) -> Column:
 
 
 def epoch_report(
-    submissions: DataFrame, molecules: DataFrame, nanobodies: DataFrame, start_block: int, parameters: Mapping[str, str]
+    submissions: DataFrame,
+    molecules: DataFrame,
+    nanobodies: DataFrame,
+    start_block: int,
+    parameters: Mapping[str, str],
+    most_items: int | None = None,
 ) -> DataFrame:
     """One nested document per submission with its epoch parameters.
 
     ``molecules`` and ``nanobodies`` hold one row per item (uid, ...); an item
-    row without any metric is left out before. A submission holds at most the
-    configured number of items. Submissions without items are skipped.
+    row without any metric is left out before. A submission holds at most ``most_items`` items
+    of a kind, the first in the order of their columns; the others drop out by rank before anything is
+    gathered. Submissions without items are skipped.
     """
-    nest = lambda df, name: df.groupBy("uid").agg(
-        F.array_sort(F.collect_list(F.struct(*[c for c in df.columns if c != "uid"]))).alias(name)
-    )
+
+    def nest(df: DataFrame, name: str) -> DataFrame:
+        item = F.struct(*[c for c in df.columns if c != "uid"])
+        if most_items is not None:
+            place = F.row_number().over(Window.partitionBy("uid").orderBy(*[c for c in df.columns if c != "uid"]))
+            df = df.withColumn("_place", place).filter(F.col("_place") <= most_items).drop("_place")
+        return df.groupBy("uid").agg(F.array_sort(F.collect_list(item)).alias(name))
+
     joined = submissions.join(nest(molecules, "molecules"), "uid", "left").join(nest(nanobodies, "nanobodies"), "uid", "left")
     filled = joined.filter("molecules IS NOT NULL OR nanobodies IS NOT NULL")
     score = lambda c: safe_num(F.coalesce(F.col(c), F.lit(-INF))).alias(c)

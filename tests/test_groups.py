@@ -68,3 +68,25 @@ def test_one_group_with_all_rows_reaches_no_task_whole(spark):
     out = A.group_states(df, ["g"], "n long", fold, merge, lambda s: s, "n long").collect()
     assert [x.n for x in out] == [300_000]
     assert A.group_median(df, "g", "v").first()["median"] == 149_999.5
+
+
+def test_reports_hold_the_first_items_only(spark):
+    from sievegrid.sources.writers import epoch_report
+
+    kind = "uid long, hotkey string, block_submitted long, molecule_final_score double, nanobody_final_score double"
+    people = spark.createDataFrame([(1, "a", 10, 1.0, 2.0), (2, "b", 11, None, None), (3, "c", 12, 0.0, 0.0)], kind)
+    items = spark.createDataFrame([(1, i, i * 0.5) for i in range(50)] + [(2, 7, None)], "uid long, item long, score double")
+    for most, n in ((None, 50), (3, 3)):
+        got = {x.uid: x.document for x in epoch_report(people, items, items.filter("uid = 2"), 5, {"k": "v"}, most).collect()}
+        assert set(got) == {1, 2}
+        assert [m.item for m in got[1].molecules] == list(range(n)) and got[1].nanobodies is None
+        assert [m.item for m in got[2].molecules] == [7] and got[2].blocks_elapsed == 6
+
+
+def test_consensus_keeps_rows_without_an_entity(spark):
+    from sievegrid.operators.joins import apply_consensus
+
+    local = spark.createDataFrame([(1, "m", 1.0), (2, "m", 2.0), (3, None, 3.0), (4, "n", 4.0)], "id long, entity string, score double")
+    averages = spark.createDataFrame([(1, 10.0), (2, 20.0), (3, 30.0)], "id long, score double")
+    got = {x.id: x.score for x in apply_consensus(local, averages, ["id"], ["score"], "entity").collect()}
+    assert got == {1: 10.0, 2: 20.0, 3: 30.0, 4: 4.0}
