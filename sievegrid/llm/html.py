@@ -33,9 +33,39 @@ ENDS_AT_OWN = {  # a start tag that ends an open one, up to the container in the
     "th": (frozenset(("td", "th")), frozenset(("tr", "table"))),
 }
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""",
+    r"""<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""",
     re.S,
 )
+
+
+class Marks:
+    """Tags and comments of a page from left to right.
+
+    Behind the last ``>`` there is no tag to look for, and a place that was found is kept until it is passed;
+    so open quotes and missing ends cost a page its length, not its length for each ``<``.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.last = source, source.rfind(">") + 1
+        self.comment, self.tag = -1, None
+        self.no_comment = self.no_tag = False
+
+    def after(self, at: int) -> tuple[int, int | None, re.Match | None]:
+        """Start and end of the next mark from ``at`` on, and its match if it isn't a comment; no end if there is none."""
+        if not self.no_comment and self.comment < at:
+            self.comment = self.source.find("<!--", at)
+            self.no_comment = self.comment < 0
+        if not self.no_tag and (self.tag is None or self.tag.start() < at):
+            self.tag = TOKEN.search(self.source, at, self.last) if at < self.last else None
+            self.no_tag = self.tag is None
+        if not self.no_comment and (self.no_tag or self.comment <= self.tag.start()):
+            close = self.source.find("-->", self.comment + 4)
+            return self.comment, len(self.source) if close < 0 else close + 3, None
+        if self.no_tag:
+            return len(self.source), None, None
+        return self.tag.start(), self.tag.end(), self.tag
+
+
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style|aria-label)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -112,12 +142,15 @@ class Page:
             if link:
                 self.linked[node] += n
 
+        marks = Marks(source)
         while True:
-            found = TOKEN.search(source, at)
-            add(unescape(source[at : found.start() if found else len(source)]))
-            if not found:
+            start, end, found = marks.after(at)
+            add(unescape(source[at:start]))
+            if end is None:
                 break
-            at = found.end()
+            at = end
+            if found is None:
+                continue
             closing, name, attributes = found[1], found[2], found[3]
             if name is None:
                 closing, name, attributes = found[4], found[5], found[6]

@@ -75,3 +75,37 @@ def test_awkward_pages(spark, model):
     assert all(r.n_chars == len(r.text) for r in got)
     assert max(r.n_chars for r in got) == 19 * 40_000 - 1
     assert H.extract(pages.limit(0), model=model).count() == 0
+
+
+# All marks by one pattern, which costs the rest of the page for every "<" that has no end.
+PLAIN_MARKS = r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>"""
+
+
+def marks(source):
+    found, at, out = html.Marks(source), 0, []
+    while True:
+        start, end, tag = found.after(at)
+        if end is None:
+            return out
+        out.append((start, end, tag.groups() if tag else (None,) * 6))
+        at = end
+
+
+def test_marks_equal_one_pattern():
+    import random
+    import re
+
+    pattern, r = re.compile(PLAIN_MARKS, re.S), random.Random(1)
+    parts = ["<p ", "<b>", '"', "'", ">", "<!--", "-->", "<!x ", "x", "</p", "</div>", " ", "=", '<a href="', "<", "--", "<?y"]
+    for _ in range(20_000):
+        source = "".join(r.choices(parts, k=r.randint(0, 14)))
+        assert marks(source) == [(m.start(), m.end(), m.groups()) for m in pattern.finditer(source)], source
+
+
+def test_open_quotes_cost_the_length_of_the_page():
+    import time
+
+    for unit in ("<p '<b ", '<a "', "<!x ", "<!-- <p '", "<a \"'>", "<p '\"<b> "):
+        start = time.process_time()
+        marks("<div>ok</div>" + unit * (1_000_000 // len(unit)))
+        assert time.process_time() - start < 3, unit
