@@ -82,7 +82,7 @@ PLAIN_MARKS = r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"
 
 
 def marks(source):
-    found, at, out = html.Marks(source), 0, []
+    found, at, out = H.Marks(source), 0, []
     while True:
         start, end, tag = found.after(at)
         if end is None:
