@@ -93,6 +93,43 @@ def test_deficits_carry_on():
     assert np.abs(packer.deficits).max() < 40
 
 
+def test_ten_thousand_sources_keep_their_proportions_in_the_steps_they_are_served():
+    n, least, size = 10_000, 64, 2048
+    share = np.append(np.full(n - 1, 0.5 / (n - 1)), 0.5)
+    packer = packing.Packer(share, size, least)
+    for q in range(n - 1):
+        packer.add(q, (q, 300, str(q)), np.zeros(300, np.uint32))
+    packer.add(n - 1, (n - 1, 3_000_000, "hot"), np.zeros(3_000_000, np.uint32))
+    steps = 0
+    for _ in range(2000):
+        pieces = packer.fill(size)
+        assert sum(len(ids) for _, _, ids, _ in pieces) == size
+        assert abs(sum(len(ids) for _, _, ids, q in pieces if q == n - 1) / size - 0.5) < 0.1
+        steps += len(pieces)
+    assert steps < 2000 * 2 * size / least
+    assert np.abs(packer.deficits[:-1]).max() < 3 * least and abs(packer.deficits[-1]) < 4 * size
+
+
+def test_every_source_is_a_queue_of_its_own(make_docs, prose, tokenizer):
+    """Sources by name, null and empty ones too; deficits go on from partitions to groups."""
+    rows = [(i, prose(30 + i % 50, i), "en", None if i % 97 == 0 else "" if i % 89 == 0 else f"s{i % 60}" if i % 3 else "hot") for i in range(900)]
+    pieces = packing.pack(make_docs(rows), PATH, lanes_per_group=2).collect()
+    rebuilt(pieces, ids_of(tokenizer, rows))
+    source = {i: s for i, _, _, s in rows}
+    assert all(p.source == source[p.doc_id] for p in pieces)
+
+
+def test_names_beyond_the_broadcast_bound(make_docs, prose, tokenizer, monkeypatch):
+    rows = [(i, prose(20, i), "en", "hot" if i % 2 else f"s{i}") for i in range(300)] + [(1, None, None, None), (2, "", "en", None)]
+    docs = make_docs(rows).selectExpr("doc_id", "source", "coalesce(text, '') AS text")
+    shares = docs.groupBy("source").count().selectExpr("source", "count / 302 AS share")
+    plain = packing._with_share(docs, shares).collect()
+    monkeypatch.setattr(packing, "BROADCAST", 0)
+    monkeypatch.setattr(packing, "HOT", 10)
+    assert sorted(map(str, packing._with_share(docs, shares).select(*docs.columns, "share").collect())) == sorted(map(str, plain))
+    rebuilt(packing.pack(make_docs(rows), PATH).collect(), ids_of(tokenizer, rows))
+
+
 def test_empty_table(make_docs):
     assert packing.pack(make_docs([]), PATH).count() == 0
 
