@@ -61,17 +61,17 @@ def lines(sized: DataFrame) -> DataFrame:
     """``sized`` with ``start``: the words before each row in its source's shuffled line.
 
     Rows are dealt by hash into buckets of about ``ROWS_PER_BUCKET``; sums of
-    whole buckets come first, then the rows of one bucket, so no task sees a
-    whole source.
+    whole buckets come first, added up in ranges, then the rows of one bucket, so
+    no task sees a whole source, nor all its buckets.
     """
     buckets = max(1, -(-sized.count() // ROWS_PER_BUCKET))
     dealt = sized.withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     sums = dealt.groupBy("s", "bucket").agg(F.sum("size").alias("n"))
-    sums = sums.withColumn("before", F.coalesce(F.sum("n").over(before(Window.partitionBy("s").orderBy("bucket"))), F.lit(0)))
+    sums = RangeOrdered(sums, ["s"], ["bucket"]).running_sum("n", "upto").withColumn("before", F.col("upto") - F.col("n"))
     inside = Window.partitionBy("s", "bucket").orderBy("h", "doc_id", "size")
     placed = dealt.withColumn("inside", F.coalesce(F.sum("size").over(before(inside)), F.lit(0)))
-    joined = placed.join(sums.drop("n"), ["s", "bucket"])
+    joined = placed.join(sums.drop("n", "upto"), ["s", "bucket"])
     return joined.withColumn("start", F.col("before") + F.col("inside")).drop("bucket", "before", "inside")
 
 
