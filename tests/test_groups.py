@@ -90,3 +90,15 @@ def test_consensus_keeps_rows_without_an_entity(spark):
     averages = spark.createDataFrame([(1, 10.0), (2, 20.0), (3, 30.0)], "id long, score double")
     got = {x.id: x.score for x in apply_consensus(local, averages, ["id"], ["score"], "entity").collect()}
     assert got == {1: 10.0, 2: 20.0, 3: 30.0, 4: 4.0}
+
+
+def test_the_report_query_keeps_every_item(spark, tmp_path):
+    from sievegrid.plans.queries_sources import k3
+
+    people = [(1, "a", 5.0), (2, "b", -1.0), (3, "c", 0.0)]
+    spark.createDataFrame(people, "c_custkey long, c_name string, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    orders = [(1, i, i * 1.5, "F") for i in range(12)] + [(1, 50 + i, 2.0, "O") for i in range(7)] + [(2, 99, 1.0, "O"), (3, 98, 1.0, "P")]
+    kind = "o_custkey long, o_orderkey long, o_totalprice double, o_orderstatus string"
+    spark.createDataFrame(orders, kind).write.parquet(f"{tmp_path}/orders.parquet")
+    got = {tuple(x) for x in k3(spark, str(tmp_path)).collect()}
+    assert got == {(1, -99, 12, 7, 5.0), (2, -98, 0, 1, -999.99)}
