@@ -9,6 +9,8 @@ Copies are compared once: both sides are reduced to distinct sets first.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from sievegrid.session import durable, rebalance, unnest
 
 BUCKETS = 1024
 SHARED = 2  # prefix tokens that a candidate pair must share
+REFERENCES, SEQUENCES = 512, 1 << 15  # index rows and sequences (about) that a task of the k-mer search holds
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -120,21 +123,77 @@ def diverse_candidates(
     return candidates.join(close, key, "left_anti")
 
 
+def _counted(k: int, min_shared: int, min_jaccard: float):
+    """Function of sequences (_id, seq) and a block of references: the pairs that may pass, with their shared k-mers.
+
+    Repeated rows of one (target, ref) and size add up, as they would in a join.
+    """
+
+    def words(text: str) -> set[str]:
+        return {text[i : i + k] for i in range(len(text) - k + 1)}
+
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        places: dict[str, list[int]] = {}
+        columns: dict[tuple, int] = {}
+        first: list[int] = []
+        for i, (target, ref, text) in enumerate(zip(*(right.column(c).to_pylist() for c in ("target", "ref", "ref_seq")))):
+            held = words(text or "")
+            at = columns.setdefault((target, ref, len(held)), len(first))
+            if at == len(first):
+                first.append(i)
+            for w in held:
+                places.setdefault(w, []).append(at)
+        lists = {w: np.array(p, np.int64) for w, p in places.items()}
+        sizes = np.array([n for _, _, n in columns], np.int64)
+        rows, refs, totals, shared = [], [], [], []
+        for i, text in enumerate(left.column("seq").to_pylist()):
+            mine = words(text or "")
+            met = [lists[w] for w in mine if w in lists]
+            if not met or sum(map(len, met)) < min_shared:
+                continue
+            both = np.bincount(np.concatenate(met), minlength=len(first))
+            union = len(mine) + sizes - both
+            found = np.flatnonzero((both > 0) & (both >= min_shared) & (both >= min_jaccard * union - 1e-9))
+            rows.append(np.full(len(found), i))
+            refs.append(found)
+            totals.append(np.full(len(found), len(mine)))
+            shared.append(both[found])
+        flat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        columns_of = flat(refs).astype(np.int64)
+        named = right.select(["target", "ref"]).take(pa.array(np.array(first, np.int64)[columns_of]))
+        return pa.table(
+            {
+                "_id": left.column("_id").take(pa.array(flat(rows).astype(np.int64))),
+                "target": named.column("target"),
+                "ref": named.column("ref"),
+                "_nq": pa.array(flat(totals).astype(np.int32)),
+                "_nr": pa.array(sizes[columns_of].astype(np.int32)),
+                "shared": pa.array(flat(shared).astype(np.int64)),
+            }
+        )
+
+    return count
+
+
 def kmer_search(queries: DataFrame, index: DataFrame, k: int = 5, min_shared: int = 1, min_jaccard: float = 0.0) -> DataFrame:
     """Matches of queries (query, seq) in an index (target, ref, ref_seq) of top sequences.
 
     Coarse: shared distinct k-mers and their Jaccard. Fine: alignment identity of
-    the coarse matches only. The index holds a fixed number of sequences per target.
+    the coarse matches only. A task counts some of the sequences against a block of the index, so the pairs
+    that share too little, by far the most, are never shuffled; every sequence meets every block.
     """
-    # sequences travel by a 16-byte key; their letters come back for the matches only
-    distinct = queries.select("seq").distinct().withColumn("_id", F.unhex(F.md5("seq")))
-    left = rebalance(distinct).withColumn("_ks", kmers(F.col("seq"), k))
-    left = unnest(left, F.col("_ks"), "_k", "_id", F.size("_ks").alias("_nq"))
-    r = index.withColumn("_ks", kmers(F.col("ref_seq"), k))
-    right = unnest(r, F.col("_ks"), "_k", "target", "ref", F.size("_ks").alias("_nr"))
-    pairs = left.join(right, "_k").groupBy("_id", "target", "ref", "_nq", "_nr").agg(
-        F.count(F.lit(1)).alias("shared")
-    )
+    spark = queries.sparkSession
+    distinct = durable(queries.select("seq").filter("seq IS NOT NULL").distinct().withColumn("_id", F.unhex(F.md5("seq"))))
+    blocks = max(1, -(-index.count() // REFERENCES))
+    tasks = 4 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    salts = max(tasks, -(-distinct.count() // SEQUENCES))
+    spread = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    hashed = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
+    left = distinct.select("_id", "seq", hashed(salts, "_id").alias("_salt"), spread(blocks, "_block"))
+    right = index.select("target", "ref", "ref_seq", hashed(blocks, "target", "ref").alias("_block"), spread(salts, "_salt"))
+    kinds = {f.name: f.dataType.simpleString() for f in index.schema}
+    schema = f"_id binary, target {kinds['target']}, ref {kinds['ref']}, _nq int, _nr int, shared bigint"
+    pairs = left.groupBy("_block", "_salt").cogroup(right.groupBy("_block", "_salt")).applyInArrow(_counted(k, min_shared, min_jaccard), schema)
     score = F.col("shared") / (F.col("_nq") + F.col("_nr") - F.col("shared"))
     coarse = pairs.withColumn("jaccard", score).filter((F.col("shared") >= min_shared) & (score >= min_jaccard))
     texts = coarse.join(distinct, "_id").join(index.select("target", "ref", "ref_seq"), ["target", "ref"])

@@ -52,3 +52,27 @@ def test_match_details(spark):
     assert {i: x.dup for i, x in got.items()} == {1: True, 2: True, 3: True, 4: False, 5: True, 6: False}
     assert got[1].reason.startswith("CDR3 identity 100%") and got[2].reason == "CDR3=80% with conserved CDR1/CDR2"
     assert got[2].cdr_similarity == pytest.approx(0.25 + 0.25 + 0.4) and got[3].cdr_similarity is None
+
+
+def test_pairs_that_share_too_little_are_never_shuffled(spark, monkeypatch):
+    """The function over an index block gives out the matches only, with several blocks and a repeated reference."""
+    monkeypatch.setattr(Y, "REFERENCES", 4)
+    frame = "ACDEFGHIKL"
+    refs = [("t", i, frame + c * 10) for i, c in enumerate("MNPQRSTVWY")] + [("t", 3, frame + "Q" * 10)]
+    queries = [(i, frame + c * 10) for i, c in enumerate("MNPQRSTVWY") if i != 3] + [(50, frame), (51, None)]
+    got = Y.kmer_search(spark.createDataFrame(queries, "query long, seq string"), spark.createDataFrame(refs, "target string, ref long, ref_seq string"), 5, 8, 0.4)
+    assert sorted((x.query, x.ref, x.shared) for x in got.collect() if x.ref != 3) == [(i, i, 11) for i in range(10) if i != 3]
+    # a reference that comes twice counts twice, and each of its rows gives one
+    assert sorted((x.query, x.shared) for x in got.collect() if x.ref == 3) == sorted([(i, 12) for i in range(10) if i != 3] * 2 + [(50, 12)] * 2)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
+
+
+def test_the_coarse_count_gives_only_what_may_pass():
+    import pyarrow as pa
+
+    left = pa.table({"_id": [b"1", b"2"], "seq": ["ACDEFGHIKL", "ACDEFYYYYY"]})
+    right = pa.table({"target": ["t", "t"], "ref": [1, 2], "ref_seq": ["ACDEFGHIKLMN", "YYYYYACDEF"]})
+    got = Y._counted(5, 3, 0.5)(left, right)
+    assert got.select(["_id", "ref", "shared"]).to_pylist() == [{"_id": b"1", "ref": 1, "shared": 6}]
+    assert Y._counted(5, 3, 0.5)(left.slice(0, 0), right).num_rows == Y._counted(5, 3, 0.5)(left, right.slice(0, 0)).num_rows == 0
