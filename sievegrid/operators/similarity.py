@@ -234,15 +234,18 @@ def cluster_links(nodes: DataFrame, k: int = 5, picks: int = 10, min_identity: f
 
     Every sequence picks the k-mers with the smallest hashes; all that share a
     picked k-mer are compared with the longest of them only, so a k-mer held by
-    a third of all sequences costs one comparison each. Keys and lengths travel, and letters
-    come back once per different pair. (Steinegger and Soeding 2018 describe the scheme.)
+    a third of all sequences costs one comparison each, and none where the lengths rule the identity out.
+    Keys and lengths travel, and letters come back once per different pair. (Steinegger and Soeding 2018 describe the scheme.)
     """
     ranked = F.array_sort(
         F.transform(kmers(F.col("seq"), k), lambda t: F.struct(F.xxhash64(t).alias("h"), t.alias("t")))
     )
     picked = unnest(nodes, F.slice(ranked, 1, picks), "p", "id", F.length("seq").alias("n")).select("id", "n", F.col("p.t").alias("t"))
-    centers = picked.groupBy("t").agg(F.max_by("id", F.struct("n", "id")).alias("c"))
-    links = picked.join(centers, "t").filter("id <> c").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+    centers = picked.groupBy("t").agg(F.max_by(F.struct("id", "n"), F.struct("n", "id")).alias("_c"))
+    centers = centers.select("t", F.col("_c.id").alias("c"), F.col("_c.n").alias("c_n"))
+    # no more letters can agree than the shorter has, so most pairs with a long centre need no alignment
+    fits = F.least("n", "c_n") / F.greatest("n", "c_n") >= min_identity
+    links = picked.join(centers, "t").filter((F.col("id") != F.col("c")) & fits).select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
     left = nodes.select(F.col("id").alias("a"), F.col("seq").alias("a_seq"))
     right = nodes.select(F.col("id").alias("b"), F.col("seq").alias("b_seq"))
     compared = rebalance(links.join(left, "a").join(right, "b"))

@@ -62,3 +62,17 @@ def test_every_member_is_near_its_representative(spark):
     degree = {i: sum(i in e for e in links) for i in named}
     want = one_by_one([(i, (degree[i], len(s))) for i, s in named.items() if s is not None], links)
     assert {named[i]: h for i, h in want.items()} == got
+
+
+def test_pairs_of_too_different_lengths_are_not_aligned(spark, monkeypatch):
+    """A long centre shares its k-mers with many short pieces; none of these pairs can reach the identity."""
+    long = "ACDEFGHIKLMNPQRSTVWY" * 20
+    near = long[:200] + "A" * 10 + long[200:]
+    nodes = [(i, s) for i, s in enumerate([long, near, long[:40], long[5:60], long[:300]])]
+    df = spark.createDataFrame(nodes, "id long, seq string")
+    seen = []
+    plain = Y.identity
+    monkeypatch.setattr(Y, "rebalance", lambda d, *k: seen.append(d.select("a", "b").collect()) or d)
+    got = {(r.a, r.b) for r in Y.cluster_links(df, 5, 400, 0.6).collect()}
+    assert Y.identity is plain and got == {(0, 1), (1, 4)}
+    assert {(r.a, r.b) for r in seen[0]} == {(0, 1), (1, 4)}
