@@ -30,6 +30,7 @@ EPOCH_WINDOW = f"{EPOCH_BLOCKS * BLOCK_SECONDS} seconds"
 MIN_REMAINING, MIN_SPACING = 20, 50
 CONSENSUS_BARRIER = 100
 DELAY_BLOCKS = 150
+KEY_GROUPS = 256  # states of the functions below; a checkpoint holds for this number only
 
 
 def block_time(block: Column) -> Column:
@@ -78,34 +79,57 @@ def latest_per_epoch(commits: DataFrame) -> DataFrame:
     )
 
 
+def _grouped(rows: DataFrame, *key: str) -> DataFrame:
+    """``rows`` dealt by key over ``KEY_GROUPS`` groups (``part``), with ``nobody`` for a missing uid, which becomes 0.
+
+    A call of a Python state function costs far more than a row, so a state holds a group of keys.
+    """
+    part = F.pmod(F.xxhash64(*key), F.lit(KEY_GROUPS)).alias("part")
+    mine = [F.coalesce("uid", F.lit(0)).cast("bigint").alias("uid"), F.col("uid").isNull().alias("nobody")]
+    return rows.select(part, *mine, *[c for c in rows.columns if c != "uid"])
+
+
 def rate_gate(commits: DataFrame) -> DataFrame:
     """Commits a sender would really send: enough blocks remain, and enough passed since
     its last one.
 
     The state of a sender is its last sent block and the distinct blocks that
     the watermark has not passed, at most one per block of the delay: earlier
-    ones may still come, so they are gated in order when it has.
+    ones may still come, so they are gated in order when it has. A state holds the senders of one group.
     """
     timely = watermarked(commits).filter(EPOCH_BLOCKS - F.pmod(F.col("block"), F.lit(EPOCH_BLOCKS)) > MIN_REMAINING)
 
     def gate(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, waiting = state.get if state.exists else (None, [])
-        pending = set(waiting)
+        senders, sent_at, waiting = state.get if state.exists else ([], [], [])
+        last = dict(zip(senders, sent_at))
+        pending = {u: set(w) for u, w in zip(senders, waiting) if w}
         for pdf in batches:
-            pending.update(int(b) for b in pdf["block"].unique())
-        passed, sent = state.getCurrentWatermarkMs(), []
-        for block in sorted(b for b in pending if b * BLOCK_SECONDS * 1000 < passed):
-            if last is None or block - last > MIN_SPACING:
-                sent.append(block)
-                last = block
-        pending = sorted(b for b in pending if b * BLOCK_SECONDS * 1000 >= passed)
-        state.update((last, pending))
-        if pending:
-            state.setTimeoutTimestamp(pending[0] * BLOCK_SECONDS * 1000)
-        yield pd.DataFrame({"uid": [key[0]] * len(sent), "block": sent})
-
-    return timely.select("uid", "block", "at").groupBy("uid").applyInPandasWithState(
-        gate, "uid bigint, block bigint", "last bigint, pending array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
+            for uid, nobody, block in zip(pdf["uid"].tolist(), pdf["nobody"].tolist(), pdf["block"].tolist()):
+                pending.setdefault(None if nobody else uid, set()).add(int(block))
+        passed, sent, held = state.getCurrentWatermarkMs(), [], {}
+        for uid, blocks in pending.items():
+            before = last.setdefault(uid, None)
+            for block in sorted(b for b in blocks if b * BLOCK_SECONDS * 1000 < passed):
+                if before is None or block - before > MIN_SPACING:
+                    sent.append((uid, block))
+                    before = block
+            last[uid] = before
+            left = sorted(b for b in blocks if b * BLOCK_SECONDS * 1000 >= passed)
+            if left:
+                held[uid] = left
+        state.update((list(last), list(last.values()), [held.get(u, []) for u in last]))
+        if held:
+            state.setTimeoutTimestamp(min(w[0] for w in held.values()) * BLOCK_SECONDS * 1000)
+        columns = [pd.Series([s[i] for s in sent], dtype="Int64") for i in range(2)]
+        if sent:
+            yield pd.DataFrame({c: pd.Series([s[i] for s in sent], dtype="Int64") for i, c in enumerate(("uid", "block"))})
+
+    return _grouped(timely.select("uid", "block", "at"), "uid").groupBy("part").applyInPandasWithState(
+        gate,
+        "uid bigint, block bigint",
+        "senders array<bigint>, sent array<bigint>, pending array<array<bigint>>",
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
@@ -120,55 +144,61 @@ def consensus_barrier(local: DataFrame, averages: DataFrame, delay_blocks: int =
     ``local`` is a stream (item, uid, block, local), ``averages`` one of (uid, block, average) for the epoch of their
     block. A value waits until the watermark has passed the barrier (and its own block). The average
     is the last one posted by the barrier, the largest of one block; where there is none, or only later ones, the local
-    value stays. The state of a sender in an epoch is its waiting items and one average,
-    and goes when the epoch has passed. Null averages count as none.
+    value stays. What is kept of a sender in an epoch is its waiting items and one average,
+    and goes when the epoch has passed; a state holds one group of senders and epochs. Null averages count as none,
+    rows without a block never come.
     """
-    kind = lambda c, t: F.lit(None).cast(t).alias(c)
-    left = local.select("uid", "block", F.col("item").cast("bigint").alias("item"), F.col("local").cast("double").alias("local"), kind("average", "double"))
-    right = averages.filter("average IS NOT NULL").select(
-        "uid", "block", kind("item", "bigint"), kind("local", "double"), F.col("average").cast("double").alias("average")
+    mine = local.filter("item IS NOT NULL AND block IS NOT NULL").select(
+        "uid", "block", F.col("item").cast("bigint").alias("item"), F.col("local").cast("double").alias("value"), F.lit(False).alias("posts")
     )
-    both = watermarked(left.unionByName(right), delay_blocks).withColumn("epoch", F.floor(F.col("block") / EPOCH_BLOCKS))
+    theirs = averages.filter("average IS NOT NULL AND block IS NOT NULL").select(
+        "uid", "block", F.lit(0).cast("bigint").alias("item"), F.col("average").cast("double").alias("value"), F.lit(True).alias("posts")
+    )
+    both = watermarked(mine.unionByName(theirs), delay_blocks).withColumn("epoch", F.floor(F.col("block") / EPOCH_BLOCKS))
+    ms = BLOCK_SECONDS * 1000
 
     def hold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        uid, epoch = (int(k) if k is not None else None for k in key)
-        posted, average, items, blocks, values = state.get if state.exists else (None, None, [], [], [])
-        waiting = list(zip(blocks, items, values))
-        end = (epoch + 1) * EPOCH_BLOCKS
-        barrier = end - CONSENSUS_BARRIER
+        kept = state.get if state.exists else ([],) * 8
+        posted = {(u, e): (b, v) for u, e, b, v in zip(*kept[:4])}
+        waiting = list(zip(*kept[4:]))  # block, item, uid, value
         for pdf in batches:
-            shared = pdf[pdf["average"].notna() & (pdf["block"] <= barrier)]
-            for block, value in zip(shared["block"].astype(int).tolist(), shared["average"].tolist()):
-                if posted is None or (block, value) > (posted, average):
-                    posted, average = block, value
-            own = pdf[pdf["item"].notna()]
-            waiting += zip(
-                own["block"].astype(int).tolist(), own["item"].astype(int).tolist(), [None if pd.isna(v) else v for v in own["local"].tolist()]
-            )
+            columns = [pdf[c].tolist() for c in ("uid", "nobody", "epoch", "block", "item", "value", "posts")]
+            for uid, nobody, epoch, block, item, value, posts in zip(*columns):
+                uid, missing = None if nobody else uid, pd.isna(value)
+                if not posts:
+                    waiting.append((block, item, uid, None if missing else value))
+                elif not missing and block <= (epoch + 1) * EPOCH_BLOCKS - CONSENSUS_BARRIER:
+                    posted[uid, epoch] = max(posted.get((uid, epoch), (block, value)), (block, value))
         passed = state.getCurrentWatermarkMs()
-        due = lambda block: max(block, barrier) * BLOCK_SECONDS * 1000 < passed
-        ready = [w for w in waiting if due(w[0])]
-        waiting = sorted((w for w in waiting if not due(w[0])), key=lambda w: (w[0], w[1]))
-        if end * BLOCK_SECONDS * 1000 < passed:
-            state.remove()
+        release = lambda block: max(block, (block // EPOCH_BLOCKS + 1) * EPOCH_BLOCKS - CONSENSUS_BARRIER)
+        ready, held = [], []
+        for w in waiting:
+            (ready if release(w[0]) * ms < passed else held).append(w)
+        shared = [posted.get((uid, block // EPOCH_BLOCKS)) for block, _, uid, _ in ready]
+        posted = {k: v for k, v in posted.items() if (k[1] + 1) * EPOCH_BLOCKS * ms >= passed}
+        if posted or held:
+            names = [[k[0] for k in posted], [k[1] for k in posted], [v[0] for v in posted.values()], [v[1] for v in posted.values()]]
+            state.update((*names, *[[w[i] for w in held] for i in range(4)]))
+            due = [release(w[0]) for w in held] + [(k[1] + 1) * EPOCH_BLOCKS for k in posted]
+            state.setTimeoutTimestamp(max(min(due) * ms, passed) + 1)
         else:
-            state.update((posted, average, [w[1] for w in waiting], [w[0] for w in waiting], [w[2] for w in waiting]))
-            next_due = max(waiting[0][0], barrier) if waiting else end
-            state.setTimeoutTimestamp(max(next_due * BLOCK_SECONDS * 1000, passed) + 1)
-        yield pd.DataFrame(
-            {
-                "item": pd.Series([w[1] for w in ready], dtype="Int64"),
-                "uid": pd.Series([uid] * len(ready), dtype="Int64"),
-                "block": pd.Series([w[0] for w in ready], dtype="Int64"),
-                "value": pd.Series([w[2] if average is None else average for w in ready], dtype="Float64"),
-                "shared": pd.Series([average is not None] * len(ready), dtype="boolean"),
-            }
-        )
+            state.remove()
+        if ready:
+            yield pd.DataFrame(
+                {
+                    "item": pd.Series([w[1] for w in ready], dtype="Int64"),
+                    "uid": pd.Series([w[2] for w in ready], dtype="Int64"),
+                    "block": pd.Series([w[0] for w in ready], dtype="Int64"),
+                    "value": pd.Series([w[3] if a is None else a[1] for w, a in zip(ready, shared)], dtype="Float64"),
+                    "shared": pd.Series([a is not None for a in shared], dtype="boolean"),
+                }
+            )
 
-    return both.groupBy("uid", "epoch").applyInPandasWithState(
+    return _grouped(both, "uid", "epoch").groupBy("part").applyInPandasWithState(
         hold,
         "item bigint, uid bigint, block bigint, value double, shared boolean",
-        "posted bigint, average double, items array<bigint>, blocks array<bigint>, locals array<double>",
+        "senders array<bigint>, epochs array<bigint>, posted array<bigint>, averages array<double>, "
+        "blocks array<bigint>, items array<bigint>, uids array<bigint>, locals array<double>",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )

@@ -213,3 +213,22 @@ def test_slices_are_in_order_within_the_disorder(spark):
         times = [r.t * 10 for r in spark.read.parquet(str(f.getPath())).collect()]
         assert min(times) >= highest - 300
         highest = max(highest, max(times))
+
+
+def test_a_call_of_the_state_functions_serves_many_senders(spark, commits):
+    """Calls of Python cost more than rows: there are as many as groups of keys, not as keys, in a batch."""
+    rows = E.stream_folder(spark, commits, 64)
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    local = rows.select(F.col("commit_id").alias("item"), "uid", "block", F.lit(1.0).alias("local"))
+    posted = rows.select("uid", "block", F.lit(2.0).alias("average"))
+    for work in (E.rate_gate(rows), E.consensus_barrier(local, posted)):
+        state = next(line for line in plan(work).splitlines() if "FlatMapGroupsInPandasWithState" in line)
+        assert "[part#" in state.replace("[[", "[")
+
+
+def test_senders_without_a_name_share_one_gate(spark):
+    path = scratch_path(spark, "nameless")
+    rows = [(None, 1000), (0, 1001), (None, 1010), (None, 1060), (0, 1062), (5, 3000)]
+    spark.createDataFrame([(i, u, b) for i, (u, b) in enumerate(rows)], "commit_id long, uid long, block long").coalesce(1).write.parquet(path)
+    got = E.run_and_read(E.rate_gate(E.stream_folder(spark, path, 1)), "nameless").collect()
+    assert {(r.uid, r.block) for r in got} == {(None, 1000), (None, 1060), (0, 1001), (0, 1062)}
