@@ -38,6 +38,12 @@ PEPTIDE_MOTIFS = {
     "HydroPatch": "[FILVWY]{3,}",
 }
 LINEAR_ONLY = ("NTCycl", "DPP4")
+# The length of every match, for motifs that have only one.
+WIDTHS = {
+    **dict.fromkeys(("NTCycl", "ProtTryp", "TrpOx", "MetOx"), 1),
+    **dict.fromkeys(("DeAmdH", "DeAmdM", "DeAmdL", "Isom", "Isomer", "FragH", "FragM", "Hydro", "AspBridge", "AspCleave"), 2),
+    **dict.fromkeys(("Ngly", "IntBind", "AggPatch", "ViscPatch"), 3),
+}
 # Severities, and the severity of motifs not listed.
 SEVERITY = {
     "UnpairedCys": 10,
@@ -77,6 +83,11 @@ def motif_set(modality: str = "antibody", peptide_type: str = "linear") -> dict[
     return dict(PEPTIDE_MOTIFS)
 
 
+def where_found(seq: Column, pattern: str, places: Column) -> Column:
+    """``places`` where ``seq`` holds the pattern (or is missing), else an empty array: one search spares most texts the rest."""
+    return F.when(~seq.rlike(pattern), F.array()).otherwise(places)
+
+
 def match_starts(seq: Column, pattern: str) -> Column:
     """1-based start of every non-overlapping match.
 
@@ -92,7 +103,7 @@ def match_starts(seq: Column, pattern: str) -> Column:
     return bind(ends, lambda e: F.slice(e, F.lit(2), F.size(e) - 2))
 
 
-def _violations(motif: str, starts: Column, lengths: Column | None = None) -> Column:
+def _violations(motif: str, starts: Column, lengths: Column | None = None, width: int = 1) -> Column:
     def build(pos, length):
         return F.struct(
             F.lit(motif).alias("motif"),
@@ -103,7 +114,7 @@ def _violations(motif: str, starts: Column, lengths: Column | None = None) -> Co
         )
 
     if lengths is None:
-        return F.transform(starts, lambda pos: build(pos, F.lit(1)))
+        return F.transform(starts, lambda pos: build(pos, F.lit(width)))
     return F.zip_with(starts, lengths, build)
 
 
@@ -139,7 +150,7 @@ def _lone_cysteines(seq: Column) -> Column:
         )
         return F.filter(flagged, lambda p: p.isNotNull())
 
-    return bind(match_starts(seq, "C"), lone)
+    return where_found(seq, "C", bind(match_starts(seq, "C"), lone))
 
 
 def liability_violations(
@@ -148,13 +159,15 @@ def liability_violations(
     """All violations as an array of (motif, pos, len, severity, details)."""
     parts = []
     for motif, pattern in motif_set(modality, peptide_type).items():
-        lengths = F.transform(F.regexp_extract_all(seq, F.lit(pattern), F.lit(0)), F.length)
-        parts.append(_violations(motif, match_starts(seq, pattern), lengths))
+        width = WIDTHS.get(motif)
+        lengths = F.transform(F.regexp_extract_all(seq, F.lit(pattern), F.lit(0)), F.length) if width is None else None
+        every = _violations(motif, match_starts(seq, pattern), lengths, width or 1)
+        parts.append(where_found(seq, pattern, every))
     if modality == "antibody":
         parts.append(_violations("UnpairedCys", _lone_cysteines(seq)))
         parts.append(_whole("HighNetCharge", net_charge(seq) > 1))
     else:
-        cysteines = match_starts(seq, "C")
+        cysteines = where_found(seq, "C", match_starts(seq, "C"))
         if peptide_type == "cyclic":
             cysteines = F.filter(cysteines, lambda p: (p != 1) & (p != F.length(seq)))
         none = F.array().cast("array<int>")
