@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sievegrid.functions.sequences import bind
+
 # Largest payload in characters, token of an empty side.
 MAX_PAYLOAD = 20480
 NONE_TOKEN = "~"
@@ -99,24 +101,27 @@ def strip_quotes(name: Column) -> Column:
 
 def parse_product(name: Column) -> Column:
     """``rxn:<rxn>:<m1>:<m2>[:<m3>]`` to a struct, null for any other shape."""
-    parts = F.split(strip_quotes(name), ":")
-    number = lambda i: F.get(parts, F.lit(i)).try_cast("bigint")
-    three = F.size(parts) == 5
-    fine = (
-        (F.get(parts, F.lit(0)) == "rxn")
-        & F.size(parts).isin(4, 5)
-        & number(1).isNotNull()
-        & number(2).isNotNull()
-        & number(3).isNotNull()
-        & (~three | number(4).isNotNull())
-    )
-    product = F.struct(
-        number(1).cast("int").alias("rxn"),
-        number(2).alias("m1"),
-        number(3).alias("m2"),
-        F.when(three, number(4)).alias("m3"),
-    )
-    return F.when(fine, product)
+
+    def build(parts):
+        number = lambda i: F.get(parts, F.lit(i)).try_cast("bigint")
+        three = F.size(parts) == 5
+        fine = (
+            (F.get(parts, F.lit(0)) == "rxn")
+            & F.size(parts).isin(4, 5)
+            & number(1).isNotNull()
+            & number(2).isNotNull()
+            & number(3).isNotNull()
+            & (~three | number(4).isNotNull())
+        )
+        product = F.struct(
+            number(1).cast("int").alias("rxn"),
+            number(2).alias("m1"),
+            number(3).alias("m2"),
+            F.when(three, number(4)).alias("m3"),
+        )
+        return F.when(fine, product)
+
+    return bind(F.split(strip_quotes(name), ":"), build)
 
 
 _ATOM = r"\[[^\]]*\]|Br|Cl|[BCNOPSFI]|[bcnops]"
