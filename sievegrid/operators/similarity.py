@@ -9,9 +9,11 @@ Copies are compared once: both sides are reduced to distinct sets first.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievegrid.functions.alignment import identity
@@ -20,6 +22,7 @@ from sievegrid.operators.components import greedy_cover
 from sievegrid.session import durable, rebalance, unnest
 
 BUCKETS = 1024
+FEW = 64  # archived sets of a group that a candidate meets first, if it would meet many
 SHARED = 2  # prefix tokens that a candidate pair must share
 REFERENCES, SEQUENCES = 512, 1 << 15  # index rows and sequences (about) that a task of the k-mer search holds
 
@@ -45,6 +48,10 @@ def _frequencies(sets: DataFrame) -> Column:
     return F.lit([known.get(b, 0) for b in range(BUCKETS)])
 
 
+def _prefix(n: Column, share: float) -> Column:
+    return F.least(n, n - F.ceil(n * share - 1e-9) + SHARED).cast("int")
+
+
 def _placed(sets: DataFrame, freq: Column, threshold: float, *keep: str) -> DataFrame:
     """(keep..., id, n, token, at, short): prefix tokens from rare to frequent.
 
@@ -58,7 +65,7 @@ def _placed(sets: DataFrame, freq: Column, threshold: float, *keep: str) -> Data
         F.transform("tokens", lambda t: F.struct(F.get(freq, _bucket(t)).alias("f"), t.alias("t")))
     )
     n = F.size("tokens")
-    length = lambda share: F.least(n, n - F.ceil(n * share - 1e-9) + SHARED).cast("int")
+    length = lambda share: _prefix(n, share)
     head = F.transform(
         F.slice(order, F.lit(1), length(threshold)),
         lambda x, i: F.struct(x["t"].alias("token"), (i + 1).alias("at"), (i < length(2 * threshold / (1 + threshold))).alias("short")),
@@ -68,7 +75,7 @@ def _placed(sets: DataFrame, freq: Column, threshold: float, *keep: str) -> Data
 
 
 def candidate_pairs(
-    left: DataFrame, right: DataFrame, threshold: float, by: tuple[str, ...] = ()
+    left: DataFrame, right: DataFrame, threshold: float, by: tuple[str, ...] = (), freq: Column | None = None
 ) -> DataFrame:
     """(id, b_id) of sets that may be similar, from (by..., id, tokens) of distinct sets.
 
@@ -77,7 +84,7 @@ def candidate_pairs(
     be enough for the overlap that is needed (Xiao and others 2008). Tokens
     travel alone, with the 16-byte key of their set.
     """
-    freq = _frequencies(right)
+    freq = _frequencies(right) if freq is None else freq
     a = _placed(left, freq, threshold, *by)
     b = _placed(right, freq, threshold, *by)
     b = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns])
@@ -94,25 +101,55 @@ def candidate_pairs(
 
 
 def near_archive(
-    candidates: DataFrame, archive: DataFrame, tokens: str, threshold: float, by: tuple[str, ...] = ()
+    candidates: DataFrame,
+    archive: DataFrame,
+    tokens: str,
+    threshold: float,
+    by: tuple[str, ...] = (),
+    of: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Candidates with a Jaccard (Tanimoto) similarity >= threshold to any archived set of
-    the same group. Copies are one set; sets meet again only as candidate pairs."""
-    group = list(by)
+    the same group. Copies are one set; sets meet again only as candidate pairs.
+
+    ``of`` makes the sets from the column ``tokens``, a text for example. Then only the texts travel, and
+    the sets, many times larger, are made where they are needed.
+    """
+    group, keys = list(by), [*by, "id"]
+    make = of or (lambda c: c)
+    source = F.array_sort(tokens) if of is None else F.col(tokens)
 
     def distinct(df: DataFrame) -> DataFrame:
-        sets = df.select(*group, F.array_sort(tokens).alias("tokens")).filter(F.size("tokens") > 0).distinct()
-        return rebalance(sets.withColumn("id", F.unhex(F.md5(F.to_json("tokens")))))
-
-    left, right = distinct(candidates), distinct(archive)
-    pairs = candidate_pairs(left, right, threshold, by)
-    other = right.select(*group, F.col("id").alias("b_id"), F.col("tokens").alias("b_tokens"))
-    full = pairs.join(left, [*group, "id"]).join(other, [*group, "b_id"])
-    both = F.size(F.array_intersect("tokens", "b_tokens"))
-    similar = both * (1 + threshold) >= threshold * (F.size("tokens") + F.size("b_tokens")) - 1e-9  # J >= t without a division
-    hits = full.filter(similar).select(*group, "tokens").distinct()
-    keyed = candidates.withColumn("_set", F.array_sort(tokens))
-    return keyed.join(hits.withColumnRenamed("tokens", "_set"), [*group, "_set"], "left_semi").drop("_set")
+        kinds = df.select(*group, source.alias("_of")).distinct()
+        kinds = kinds if of else rebalance(kinds)
+        return kinds.withColumn("id", F.unhex(F.md5(F.to_json(F.struct("_of")))))
+
+    def sets(df: DataFrame) -> DataFrame:
+        return df.withColumn("tokens", make(F.col("_of"))).filter(F.size("tokens") > 0)
+
+    def similar(a: Column, b: Column) -> Column:  # J >= t without a division
+        return F.size(F.array_intersect(a, b)) * (1 + threshold) >= threshold * (F.size(a) + F.size(b)) - 1e-9
+
+    right = distinct(archive)
+    known, freq = sets(right), _frequencies(sets(right))
+    first = Window.partitionBy(*(group or [F.lit(1)])).orderBy("id")
+    few = known.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= FEW)
+    few = few.groupBy(*group).agg(F.collect_list("tokens").alias("_few"))
+    left = sets(distinct(candidates))
+    left = left.join(few, group, "left") if group else left.crossJoin(few)
+    met = F.sort_array(F.transform("tokens", lambda t: F.get(freq, _bucket(t))))
+    met = F.slice(met, F.lit(1), _prefix(F.size("tokens"), threshold))
+    many = F.aggregate(met, F.lit(0).cast("bigint"), lambda n, f: n + f) > 16 * FEW
+    # of those that would meet many: most are near to one of a few already, and look no further
+    soon = F.coalesce(many & F.exists("_few", lambda few_: similar(F.col("tokens"), few_)), F.lit(False))
+    left = durable(left.select(*keys, "_of", soon.alias("_soon")))
+    late = left.filter(~F.col("_soon"))
+    pairs = candidate_pairs(sets(late).drop("_of", "_soon"), known.drop("_of"), threshold, by, freq)
+    other = right.select(*group, F.col("id").alias("b_id"), F.col("_of").alias("_b_of"))
+    full = pairs.join(late, keys).join(other, [*group, "b_id"])
+    both = F.struct(make(F.col("_of")).alias("a"), make(F.col("_b_of")).alias("b"))
+    found = full.filter(bind(both, lambda x: similar(x["a"], x["b"]))).select(*group, "_of")
+    hits = found.unionByName(left.filter("_soon").select(*group, "_of")).distinct()
+    return candidates.withColumn("_of", source).join(hits, [*group, "_of"], "left_semi").drop("_of")
 
 
 def diverse_candidates(

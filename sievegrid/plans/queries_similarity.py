@@ -98,10 +98,8 @@ def f15(spark, sf):
 def c5(spark, sf):
     from sievegrid.plans.queries_intake import archive
 
-    tokens = S.kmers(F.col("seq"), 5).alias("tokens")
-    new = X.sequences(spark, sf).select("doc_id", "pos", tokens)
-    known = archive(spark, sf).select(tokens)
-    return Y.near_archive(new, known, "tokens", 0.9).select("doc_id", "pos")
+    found = Y.near_archive(X.sequences(spark, sf), archive(spark, sf), "seq", 0.9, of=lambda seq: S.kmers(seq, 5))
+    return found.select("doc_id", "pos")
 
 
 @query(
