@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from sievegrid.session import durable
 
 RANGE = "_range"
+ROWS = 1 << 20  # rows of a range, about, where their number is known
 
 
 def _name(key: str) -> str:
@@ -40,6 +41,8 @@ class RangeOrdered:
     ``order``  sort columns, ``"-x"`` for descending
     ``tie``    columns that make the sort total, so that equal order values
                are spread over ranges; ranks ignore them
+    ``rows``   how many rows there are, if known: ranges then hold ``ROWS`` of them, however
+               well these compress; else Spark merges ranges by their bytes
     """
 
     def __init__(
@@ -48,13 +51,16 @@ class RangeOrdered:
         by: Sequence[str],
         order: Sequence[str],
         tie: Sequence[str] = (),
+        rows: int | None = None,
     ):
         self.by = list(by)
         self.order_names = list(order)
         self.order = sort_columns(order)
         self.tie = sort_columns(tie)
         self.columns = df.columns
-        ranged = df.repartitionByRange(*[F.col(c) for c in self.by], *self.order, *self.tie)
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        number = [] if rows is None else [max(cores, -(-rows // ROWS))]
+        ranged = df.repartitionByRange(*number, *[F.col(c) for c in self.by], *self.order, *self.tie)
         self._ranged = ranged.withColumn(RANGE, F.spark_partition_id())
 
     # windows -----------------------------------------------------------

@@ -76,7 +76,7 @@ def long_ranks(
     # Missing values form their own group, so that one pass serves both.
     missing = F.coalesce(F.isnan("value"), F.lit(True)) | F.col("value").isNull()
     ranked = RangeOrdered(
-        long.withColumn("_missing", missing), [*by, "metric", "_missing"], [*lead, "value"], list(ids)
+        long.withColumn("_missing", missing), [*by, "metric", "_missing"], [*lead, "value"], list(ids), df.count() * len(modes)
     ).rank(method, "rank")
     rank = F.when(~F.col("_missing"), F.col("rank"))
     return ranked.withColumn("rank", rank).drop("value", "_missing")
