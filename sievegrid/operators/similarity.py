@@ -22,7 +22,7 @@ from sievegrid.operators.components import greedy_cover
 from sievegrid.session import durable, rebalance, unnest
 
 BUCKETS = 1024
-FEW = 64  # archived sets of a group that a candidate meets first, if it would meet many
+FEW = 512  # archived sets of a group that a candidate meets first, if it would meet many
 SHARED = 2  # prefix tokens that a candidate pair must share
 REFERENCES, SEQUENCES = 512, 1 << 15  # index rows and sequences (about) that a task of the k-mer search holds
 
