@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from sievegrid.session import durable
 
 RANGE = "_range"
-ROWS = 1 << 20  # rows of a range, about, where their number is known
+ROWS = 1 << 18  # rows of a range, about, where their number is known
 
 
 def _name(key: str) -> str:
@@ -41,8 +41,8 @@ class RangeOrdered:
     ``order``  sort columns, ``"-x"`` for descending
     ``tie``    columns that make the sort total, so that equal order values
                are spread over ranges; ranks ignore them
-    ``rows``   how many rows there are, if known: ranges then hold ``ROWS`` of them, however
-               well these compress; else Spark merges ranges by their bytes
+    ``rows``   how many rows there are, if known: ranges then hold ``ROWS`` of them, and a task a few
+               ranges, however many rows there are; else both follow Spark's number of shuffle partitions
     """
 
     def __init__(
@@ -62,6 +62,8 @@ class RangeOrdered:
         number = [] if rows is None else [max(cores, -(-rows // ROWS))]
         ranged = df.repartitionByRange(*number, *[F.col(c) for c in self.by], *self.order, *self.tie)
         self._ranged = ranged.withColumn(RANGE, F.spark_partition_id())
+        if number:  # the windows deal the ranges out again: to as many tasks, or a task would hold more as the rows grow
+            self._ranged = self._ranged.repartition(*number, RANGE, *self.by)
 
     # windows -----------------------------------------------------------
     def _local(self, total: bool = True):
