@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -29,75 +30,91 @@ def diverse_select(
 ) -> DataFrame:
     """Greedy selection of k rows by (1 - alpha) * quality + alpha * (1 - similarity to the selected).
 
-    A gain can only fall as more rows are selected, so a row's last known gain
-    is an upper bound. The ``pool`` rows with the best bounds come to the
-    driver; a pick among them is final while it beats the bound of every row
-    left outside. Otherwise one pass lowers all bounds in the cluster and a new
-    pool is taken. Nothing is dropped: the pool size changes the speed, not the
-    result. ``buckets``: (min, max, count) of sequence lengths, max exclusive.
-    ``similarity_to(reference)`` gives the similarity of a sequence to it.
+    A gain can only fall as more rows are selected, so a gain against some of them, at first against
+    none, is an upper bound. The ``pool`` rows with the best bounds come to the driver, which compares
+    the best of them with the selected one by one: a row that stays the best is picked, while it beats
+    the bound of every row left outside. Otherwise the rows with a bound near the best gain, and only
+    these, are compared in the cluster, and a new pool is taken. Nothing is dropped: the pool size
+    changes the speed, not the result. ``buckets``: (min, max, count) of sequence lengths, max exclusive.
+    ``similarity_to(reference)`` gives the similarity of a sequence to it, at least -1.
     """
     spark = df.sparkSession
-    rows = durable(rebalance(df.select(key, seq, quality)).withColumn("_sim", F.lit(-1.0)))
+    rows = durable(rebalance(df.select(key, seq, quality)))
     if rows.limit(k + 1).count() <= k:
         return rows.select(key, F.lit(None).cast("int").alias("pick_order"))
+    least = 0.0 if similarity_to is identity_with else -1.0
     first = rows.orderBy(F.desc(quality), key).first()
-    chosen, filled = [first], [0] * len(buckets)
+    chosen, taken, filled = [first], {first[key]}, [0] * len(buckets)
+    similar = [similarity_to(first[seq])]
+    bound = (1 - alpha) * F.col(quality) + alpha * (1 - F.col("_sim"))
+    # as read: compared with none; those with a first bound from ``low`` on are in ``near``, compared
+    rows = rows.withColumns({"_sim": F.lit(least), "_seen": F.lit(0)})
+    near, low = None, None
 
     def bucket_of(text: str) -> int | None:
         found = [i for i, (low, high, _) in enumerate(buckets) if low <= len(text) < high]
         return found[-1] if found else None
 
-    def lower_bounds(frame: DataFrame, new: list) -> DataFrame:
-        texts, gone = [r[seq] for r in new], [r[key] for r in new]
-
-        @F.pandas_udf(T.DoubleType())
-        def closest(s: pd.Series) -> pd.Series:
-            to = [similarity_to(t) for t in texts]
-            return s.map(lambda x: max(f(x) for f in to)).astype("float64")
-
-        kept = frame.filter(~F.col(key).isin(gone))
+    def still_open(frame: DataFrame) -> DataFrame:
+        kept = frame.filter(~F.col(key).isin([r[key] for r in chosen]))
         full = [i for i, (b, n) in enumerate(zip(buckets, filled)) if n >= b[2]]
         if full:
             place = F.lit(None).cast("int")
             for i, (low, high, _) in enumerate(buckets):  # a row counts in the last bucket that holds it
                 place = F.when(F.length(seq).between(low, high - 1), i).otherwise(place)
             kept = kept.filter(~F.coalesce(place.isin(full), F.lit(False)))
-        return durable(kept.withColumn("_sim", F.greatest("_sim", closest(seq))))
+        return kept
+
+    def latest(down_to: float | None = None) -> DataFrame:
+        """Rows with their last bounds; of those compared with none, only from ``down_to`` on."""
+        rest = rows if near is None else rows.filter(~F.coalesce(bound >= low, F.lit(False)))
+        if down_to is not None:
+            rest = rest.filter(bound >= down_to)
+        return still_open(rest if near is None else near.unionByName(rest))
+
+    def compared(down_to: float) -> DataFrame:
+        texts = [r[seq] for r in chosen]
+
+        @F.pandas_udf(T.DoubleType())
+        def closest(s: pd.Series, seen: pd.Series) -> pd.Series:
+            known = int(seen.min())
+            to = [similarity_to(t) for t in texts[known:]]
+            return pd.Series([max((f(x) for f in to[i - known :]), default=-1.0) for x, i in zip(s, seen)], dtype="float64")
+
+        spread = rebalance(latest(down_to).withColumn("_due", bound >= down_to))
+        due = spread.filter("_due").withColumns({"_sim": F.greatest("_sim", closest(seq, "_seen")), "_seen": F.lit(len(texts))})
+        return durable(due.unionByName(spread.filter("NOT coalesce(_due, false)")).drop("_due"))
 
-    rows, fresh = lower_bounds(rows, [first]), []
+    reach = alpha / 64
     while len(chosen) < k:
-        bound = (1 - alpha) * F.col(quality) + alpha * (1 - F.col("_sim"))
-        head = rows.withColumn("_gain", bound).orderBy(F.desc("_gain"), key).limit(pool + 1).collect()
+        head = latest().withColumn("_gain", bound).orderBy(F.desc("_gain"), key).limit(pool + 1).collect()
         if not head:
             break
-        outside = (head[pool]["_gain"], head[pool][key]) if len(head) > pool else None
-        live = {r[key]: [r, r["_gain"]] for r in head[:pool]}
+        outside = (-head[pool]["_gain"], head[pool][key]) if len(head) > pool else None
+        live = [(-r["_gain"], r[key], i, r["_sim"], r["_seen"]) for i, r in enumerate(head[:pool])]
+        heapq.heapify(live)
         while live and len(chosen) < k:
-            name = min(live, key=lambda x: (-live[x][1], x))
-            row, gain = live[name]
-            if outside is not None and (-gain, name) > (-outside[0], outside[1]):
+            gain, name, i, sim, seen = live[0]
+            row = head[i]
+            if outside is not None and (gain, name) > outside:
                 break  # a row outside may be better now
             place = bucket_of(row[seq])
-            del live[name]
-            if place is not None and filled[place] >= buckets[place][2]:
-                continue
-            if place is not None:
-                filled[place] += 1
-            chosen.append(row)
-            fresh.append(row)
-            to_new = similarity_to(row[seq])
-            for entry in live.values():
-                r = entry[0]
-                gain_now = (1 - alpha) * r[quality] + alpha * (1 - to_new(r[seq]))
-                entry[1] = min(entry[1], gain_now)
-        if len(chosen) < k:
-            if not fresh:
-                # only full buckets were seen: drop them everywhere and go on
-                rows = lower_bounds(rows, [first])
+            if name in taken or (place is not None and filled[place] >= buckets[place][2]):
+                heapq.heappop(live)
+            elif seen < len(chosen):
+                sim = max(sim, similar[seen](row[seq]))
+                heapq.heapreplace(live, (-((1 - alpha) * row[quality] + alpha * (1 - sim)), name, i, sim, seen + 1))
             else:
-                rows = lower_bounds(rows, fresh)
-            fresh = []
+                heapq.heappop(live)
+                if place is not None:
+                    filled[place] += 1
+                chosen.append(row)
+                taken.add(name)
+                similar.append(similarity_to(row[seq]))
+        if live and len(chosen) < k:
+            down_to = -live[0][0] - reach
+            near, low = compared(down_to), down_to if low is None else min(low, down_to)
+            reach *= 2
     names = [(r[key], i) for i, r in enumerate(chosen)]  # k rows
     kind = df.schema[key].dataType.simpleString()
     return spark.createDataFrame(names, f"{key} {kind}, pick_order int")
