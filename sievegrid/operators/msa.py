@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievegrid.operators.ordering import RangeOrdered, keep_one
 from sievegrid.operators.setops import MAX_MSA_SEQS, MAX_PAIRED_SEQS
+from sievegrid.session import rebalance, unnest
 
 
 def aligned_letters(line: Column) -> Column:
@@ -16,7 +17,8 @@ def aligned_letters(line: Column) -> Column:
 
 def insertions(line: Column) -> Column:
     """(res_idx, deletion): lower-case letters before an aligned column; trailing ones are lost."""
-    runs = F.regexp_extract_all(line, F.lit("([a-z]*)[^a-z]"), F.lit(1))
+    some = F.regexp_extract(line, "(?s)^.*[a-z][^a-z]", 0)  # up to the last insertion: columns behind it have none
+    runs = F.regexp_extract_all(some, F.lit("([a-z]*)[^a-z]"), F.lit(1))
     marked = F.transform(
         runs, lambda r, i: F.struct(i.alias("res_idx"), F.length(r).alias("deletion"))
     )
@@ -44,25 +46,32 @@ def build_msa(rows: DataFrame, max_seqs: int | None = None) -> DataFrame:
 
 def msa_profile(msa: DataFrame, letters: str) -> DataFrame:
     """Per alignment column: share of each letter, share and mean of transformed deletions."""
-    sizes = msa.groupBy("msa_id").agg(F.count(F.lit(1)).alias("_n"))
-    residues = msa.select("msa_id", F.posexplode(F.split("residues", "")).alias("res_idx", "letter")).filter("letter <> ''")
-    counts = residues.groupBy("msa_id", "res_idx").agg(
-        *[F.count_if(F.col("letter") == a).alias(f"p_{a}") for a in letters]
+    msa = msa.filter("msa_id IS NOT NULL")
+    # Every column of an alignment comes once with the number of its rows, and meets its letters and deletions in one
+    # grouping: other letters are never counted, and columns never joined, which would sort them all.
+    sizes = msa.groupBy("msa_id").agg(F.count(F.lit(1)).alias("_n"), F.max(F.length("residues")).alias("_width"))
+    no = lambda kind: F.lit(None).cast(kind)
+    columns = rebalance(sizes.filter("_width > 0")).select(  # a few small rows become many: not in few tasks
+        "msa_id", F.explode(F.sequence(F.lit(0), F.col("_width") - 1)).alias("res_idx"), "_n", no("string").alias("letter"), no("int").alias("gap")
+    )
+    residues = msa.select("msa_id", F.posexplode(F.split("residues", "")).alias("res_idx", "letter"))
+    residues = residues.filter(F.col("letter").isin(list(letters))).select("msa_id", "res_idx", no("bigint").alias("_n"), "letter", no("int").alias("gap"))
+    gone = unnest(msa, F.col("deletions"), "d", "msa_id").select(
+        "msa_id", "d.res_idx", no("bigint").alias("_n"), no("string").alias("letter"), F.col("d.deletion").alias("gap")
     )
     # pi/2 * atan(d / 3), the transform of a deletion count.
-    scaled = F.lit(3.141592653589793 / 2) * F.atan(F.col("d.deletion") / 3.0)
-    gone = (
-        msa.select("msa_id", F.explode("deletions").alias("d"))
-        .groupBy("msa_id", F.col("d.res_idx").alias("res_idx"))
-        .agg(F.sum(scaled).alias("_d"), F.count(F.lit(1)).alias("_c"))
+    scaled = F.lit(3.141592653589793 / 2) * F.atan(F.col("gap") / 3.0)
+    counts = columns.unionByName(residues).unionByName(gone).groupBy("msa_id", "res_idx").agg(
+        F.max("_n").alias("_n"),
+        *[F.count_if(F.col("letter") == a).alias(f"p_{a}") for a in letters],
+        F.count("gap").alias("_c"),
+        F.sum(scaled).alias("_d"),
     )
-    joined = counts.join(sizes, "msa_id").join(gone, ["msa_id", "res_idx"], "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return joined.select(
+    return counts.filter("_n IS NOT NULL").select(
         "msa_id",
         "res_idx",
         *[(F.col(f"p_{a}") / F.col("_n")).alias(f"p_{a}") for a in letters],
-        (zero(F.col("_c")) / F.col("_n")).alias("has_deletion"),
+        (F.col("_c") / F.col("_n")).alias("has_deletion"),
         (F.coalesce("_d", F.lit(0.0)) / F.col("_n")).alias("deletion_mean"),
     )
 
