@@ -7,12 +7,15 @@ the number of shuffles does not grow with the number of metrics.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievegrid.functions.scoring import INF, sentinel
-from sievegrid.operators.ordering import RangeOrdered, global_row_number, keep_one
+from sievegrid.operators.ordering import RangeOrdered, global_row_number, keep_one, sort_columns
+from sievegrid.session import durable
 
 # Metric directions by category, and weights of the min-max rank.
 METRIC_CATEGORIES = {
@@ -53,6 +56,9 @@ SCORE_WEIGHTS = {
 CONFIDENCE_METRICS = ("design_iiptm", "design_ptm", "min_design_to_target_pae")
 
 
+FEW = 1 << 17  # distinct values, of all metrics together, whose ranks fit every task
+
+
 def long_ranks(
     df: DataFrame,
     ids: Sequence[str],
@@ -64,22 +70,49 @@ def long_ranks(
     """(ids..., lead..., metric, rank): every metric ranked over the whole frame.
 
     ``by`` ranks within groups instead; ``lead`` are sort keys before the metric
-    itself (``"-x"`` descending). A missing value has no rank.
+    itself (``"-x"`` descending). A missing value has no rank. ``df`` is read
+    several times: give a durable one.
+
+    Metrics of few distinct values are ranked by their values and counts, and each row
+    looks its rank up; the others are ranked row by row. The ranks are the same.
     """
     lead_names = [c.lstrip("-") for c in lead]
     keep = list(dict.fromkeys([*ids, *by, *lead_names]))
+    within = list(dict.fromkeys([*by, *lead_names]))
     signed = [
         (-F.col(m) if mode == "max" else F.col(m)).cast("double").alias(m)
         for m, mode in modes.items()
     ]
-    long = df.select(*keep, *signed).unpivot(keep, list(modes), "metric", "value")
+    wide = df.select(*keep, *signed)
+    kinds = [F.approx_count_distinct(F.struct(*within, m)).alias(f"_k{i}") for i, m in enumerate(modes)]
+    rows, *kinds = wide.agg(F.count(F.lit(1)), *kinds).first()
+    few, left = [], FEW
+    for n, m in sorted(zip(kinds, modes)):
+        left -= n
+        few += [m] if left >= 0 else []
+    many = [m for m in modes if m not in few]
+    cut = lambda ms: wide.select(*keep, *ms).unpivot(keep, ms, "metric", "value")
     # Missing values form their own group, so that one pass serves both.
     missing = F.coalesce(F.isnan("value"), F.lit(True)) | F.col("value").isNull()
-    ranked = RangeOrdered(
-        long.withColumn("_missing", missing), [*by, "metric", "_missing"], [*lead, "value"], list(ids), df.count() * len(modes)
-    ).rank(method, "rank")
-    rank = F.when(~F.col("_missing"), F.col("rank"))
-    return ranked.withColumn("rank", rank).drop("value", "_missing")
+    parts = []
+    if many or not few:
+        ranked = RangeOrdered(
+            cut(many).withColumn("_missing", missing), [*by, "metric", "_missing"], [*lead, "value"], list(ids), rows * len(many)
+        ).rank(method, "rank")
+        rank = F.when(~F.col("_missing"), F.col("rank"))
+        parts.append(ranked.withColumn("rank", rank).drop("value", "_missing"))
+    if few:
+        counted = cut(few).filter(~missing).groupBy(*within, "metric", "value").agg(F.count(F.lit(1)).alias("_n"))
+        order = Window.partitionBy(*by, "metric").orderBy(*sort_columns([*lead, "value"]))  # ``FEW`` rows, about
+        end = F.sum("_n").over(order)
+        start = end - F.col("_n") + 1
+        place = {"min": start, "dense": F.row_number().over(order).cast("bigint"), "average": (start + end) / F.lit(2.0)}
+        ranks = counted.select(*[F.col(c).alias(f"_r_{c}") for c in [*within, "metric", "value"]], place[method].alias("rank"))
+        same = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in within]
+        same += [F.col(c) == F.col(f"_r_{c}") for c in ("metric", "value")]
+        found = cut(few).join(F.broadcast(ranks), reduce(and_, same), "left")
+        parts.append(found.select(*keep, "metric", F.when(~missing, F.col("rank")).alias("rank")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def rank_sum(
@@ -99,6 +132,7 @@ def rank_sum(
         df = df.withColumns(
             {m: F.coalesce(F.col(m), F.lit(sentinel(mode))) for m, mode in modes.items()}
         )
+    df = durable(df.select(*dict.fromkeys([*ids, *by, *modes])))
     ranks = long_ranks(df, ids, modes, "dense", by)
     in_metric = lambda ms: F.col("metric").isin(list(ms))
     keys = list(dict.fromkeys([*by, *ids]))
@@ -132,6 +166,7 @@ def minmax_weighted_rank(
         df = df.filter(F.col("liability_num_violations") <= max_violations)
     if max_score is not None and "liability_score" in df.columns:
         df = df.filter(F.col("liability_score") <= max_score)
+    df = durable(df.select(*dict.fromkeys([key, *weights])))
     ranks = long_ranks(df, [key], {m: modes[m] for m in weights}, "average")
     order = {m: i for i, m in enumerate(weights)}
     weight_of = F.create_map(*[F.lit(x) for m, w in weights.items() for x in (m, float(w))])
@@ -163,11 +198,12 @@ def quality_rank(
     breaks ties.
     """
     used = {m: w for m, w in inverse_importance.items() if w is not None}
+    df = durable(df.select(*dict.fromkeys([key, passed, tie_metric, *used])))
     ranks = long_ranks(df, [key], dict.fromkeys(used, "max"), "min", lead=[f"-{passed}"])
     weight_of = F.create_map(*[F.lit(x) for m, w in used.items() for x in (m, float(w))])
     worst = ranks.groupBy(key).agg(F.max(F.col("rank") / weight_of[F.col("metric")]).alias("max_rank"))
-    worst = worst.join(df.select(key, F.col(tie_metric).alias("_tie")), key)
-    final = RangeOrdered(worst, [], ["max_rank"], ["-_tie", key]).rank("dense", "secondary_rank", "final_rank")
+    worst = durable(worst.join(df.select(key, F.col(tie_metric).alias("_tie")), key))
+    final = RangeOrdered(worst, [], ["max_rank"], ["-_tie", key], worst.count()).rank("dense", "secondary_rank", "final_rank")
     n = final.agg(F.count(F.lit(1))).scalar()
     quality = F.when(n == 1, 1.0).otherwise(1 - (F.col("final_rank") - 1) / (n - 1))
     return final.drop("_tie").withColumn("quality_score", quality)
