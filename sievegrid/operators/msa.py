@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievegrid.operators.ordering import RangeOrdered, keep_one
 from sievegrid.operators.setops import MAX_MSA_SEQS, MAX_PAIRED_SEQS
-from sievegrid.session import rebalance, unnest
+from sievegrid.session import rebalance
 
 
 def aligned_letters(line: Column) -> Column:
@@ -44,35 +50,92 @@ def build_msa(rows: DataFrame, max_seqs: int | None = None) -> DataFrame:
     )
 
 
+BLOCK = 1024  # columns of a row of partial counts
+LETTERS = 1 << 22  # letters counted at a time
+
+
+def _column_counts(letters: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts per column of (msa_id, residues, deletions), summed over neighbouring rows of an alignment.
+
+    Gives (msa_id, start, there, a count for each letter, gaps, scaled), lists over the columns from ``start`` on;
+    ``there`` marks the columns that hold residues.
+    """
+    codes = [ord(a) if len(a) == 1 else -1 for a in letters]
+
+    def counts(rows: pa.RecordBatch) -> pa.RecordBatch:
+        names = rows.column(0).dictionary_encode()
+        of = names.indices.to_numpy(zero_copy_only=False)
+        texts = pc.fill_null(rows.column(1), "")
+        sizes = np.asarray(pc.utf8_length(texts)).astype(np.int64)
+        found = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), "<u4")
+        gaps = rows.column(2)
+        gap_of = of[np.repeat(np.arange(len(of)), np.asarray(pc.fill_null(pc.list_value_length(gaps), 0)))]
+        flat = gaps.flatten()
+        at, long = (np.asarray(flat.field(i)).astype(np.int64) for i in range(2))
+        held, width = np.zeros((2, len(names.dictionary)), np.int64)
+        np.maximum.at(held, of, sizes)
+        np.maximum.at(width, gap_of, at + 1)
+        width = np.maximum(width, held)
+        ends = np.cumsum(width)
+        base, cells = ends - width, int(ends[-1])
+        # a letter's column: its place in all letters, moved by its row
+        moved = np.repeat(base[of] - (np.cumsum(sizes) - sizes), sizes)
+        letter_at = [np.flatnonzero(found == c) for c in codes]
+        per_letter = [np.bincount(i + moved[i], minlength=cells) for i in letter_at]
+        # pi/2 * atan(d / 3), the transform of a deletion count.
+        scaled = np.pi / 2 * np.arctan(long / 3.0)
+        gap_cells = base[gap_of] + at
+        columns = np.arange(cells) - np.repeat(base, width)
+        blocks = -(-width // BLOCK)
+        name_of = np.repeat(np.arange(len(width)), blocks)
+        start = (np.arange(len(name_of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * BLOCK
+        offsets = pa.array(np.append(base[name_of] + start, cells).astype(np.int32))
+        values = [columns < np.repeat(held, width), *per_letter, np.bincount(gap_cells, minlength=cells),
+                  np.bincount(gap_cells, scaled, minlength=cells).astype(np.float64)]
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in values]
+        key = names.dictionary.take(pa.array(name_of))
+        fields = ["msa_id", "start", "there", *[f"p{i}" for i in range(len(codes))], "gaps", "scaled"]
+        return pa.RecordBatch.from_arrays([key, pa.array(start.astype(np.int32)), *lists], fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = 0
+            total = np.cumsum(np.asarray(pc.fill_null(pc.utf8_length(batch.column(1)), 0), np.int64))
+            while done < batch.num_rows:
+                before = total[done - 1] if done else 0
+                upto = max(int(np.searchsorted(total, before + LETTERS, "right")), done + 1)
+                yield counts(batch.slice(done, upto - done))
+                done = upto
+
+    return run
+
+
 def msa_profile(msa: DataFrame, letters: str) -> DataFrame:
-    """Per alignment column: share of each letter, share and mean of transformed deletions."""
+    """Per alignment column: share of each letter, share and mean of transformed deletions.
+
+    Tasks count the columns of the rows they hold; only these counts, not the letters, are dealt out by alignment.
+    """
     msa = msa.filter("msa_id IS NOT NULL")
-    # Every column of an alignment comes once with the number of its rows, and meets its letters and deletions in one
-    # grouping: other letters are never counted, and columns never joined, which would sort them all.
-    sizes = msa.groupBy("msa_id").agg(F.count(F.lit(1)).alias("_n"), F.max(F.length("residues")).alias("_width"))
-    no = lambda kind: F.lit(None).cast(kind)
-    columns = rebalance(sizes.filter("_width > 0")).select(  # a few small rows become many: not in few tasks
-        "msa_id", F.explode(F.sequence(F.lit(0), F.col("_width") - 1)).alias("res_idx"), "_n", no("string").alias("letter"), no("int").alias("gap")
-    )
-    residues = msa.select("msa_id", F.posexplode(F.split("residues", "")).alias("res_idx", "letter"))
-    residues = residues.filter(F.col("letter").isin(list(letters))).select("msa_id", "res_idx", no("bigint").alias("_n"), "letter", no("int").alias("gap"))
-    gone = unnest(msa, F.col("deletions"), "d", "msa_id").select(
-        "msa_id", "d.res_idx", no("bigint").alias("_n"), no("string").alias("letter"), F.col("d.deletion").alias("gap")
+    sizes = msa.groupBy("msa_id").agg(F.count(F.lit(1)).alias("_n"))
+    lists = [*[f"p{i}" for i in range(len(letters))], "gaps", "scaled"]
+    kind = T.StructType([msa.schema["msa_id"], T.StructField("start", T.IntegerType()), T.StructField("there", T.ArrayType(T.BooleanType()))])
+    for name in lists:
+        kind.add(name, T.ArrayType(T.DoubleType() if name == "scaled" else T.LongType()))
+    rows = msa.select("msa_id", "residues", F.filter("deletions", lambda d: d["deletion"].isNotNull() & (d["res_idx"] >= 0)).alias("deletions"))
+    # a small list becomes many columns: tasks by their number, not by the lists' bytes
+    partial = rebalance(rows.mapInArrow(_column_counts(letters), kind), "msa_id").join(sizes, "msa_id")
+    columns = partial.select("msa_id", "_n", "start", *lists, F.posexplode("there").alias("_at", "there")).select(
+        "msa_id", "_n", (F.col("start") + F.col("_at")).alias("res_idx"), "there", *[F.get(name, F.col("_at")).alias(name) for name in lists]
     )
-    # pi/2 * atan(d / 3), the transform of a deletion count.
-    scaled = F.lit(3.141592653589793 / 2) * F.atan(F.col("gap") / 3.0)
-    counts = columns.unionByName(residues).unionByName(gone).groupBy("msa_id", "res_idx").agg(
-        F.max("_n").alias("_n"),
-        *[F.count_if(F.col("letter") == a).alias(f"p_{a}") for a in letters],
-        F.count("gap").alias("_c"),
-        F.sum(scaled).alias("_d"),
+    counts = columns.groupBy("msa_id", "res_idx").agg(
+        F.max("_n").alias("_n"), F.max("there").alias("there"), *[F.sum(name).alias(name) for name in lists]
     )
-    return counts.filter("_n IS NOT NULL").select(
+    return counts.filter("there").select(
         "msa_id",
         "res_idx",
-        *[(F.col(f"p_{a}") / F.col("_n")).alias(f"p_{a}") for a in letters],
-        (F.col("_c") / F.col("_n")).alias("has_deletion"),
-        (F.coalesce("_d", F.lit(0.0)) / F.col("_n")).alias("deletion_mean"),
+        *[(F.col(f"p{i}") / F.col("_n")).alias(f"p_{a}") for i, a in enumerate(letters)],
+        (F.col("gaps") / F.col("_n")).alias("has_deletion"),
+        (F.col("scaled") / F.col("_n")).alias("deletion_mean"),
     )
 
 

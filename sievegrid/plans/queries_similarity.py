@@ -312,7 +312,8 @@ def a17(spark, sf):
     )
     profile = M.msa_profile(M.build_msa(rows), "AL")
     rounded = ("p_A", "p_L", "has_deletion", "deletion_mean")
-    return profile.select("msa_id", "res_idx", *[F.round(c, 8).alias(c) for c in rounded])
+    # rounding goes by way of decimals: most shares are zero and need none
+    return profile.select("msa_id", "res_idx", *[F.when(F.col(c) == 0, F.lit(0.0)).otherwise(F.round(c, 8)).alias(c) for c in rounded])
 
 
 _PAIR_SQL = """ms AS (SELECT l_suppkey AS complex_id, l_linenumber % 3 AS chain_id, row_number() OVER (PARTITION BY l_suppkey, l_linenumber % 3
