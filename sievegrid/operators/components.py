@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievegrid.session import durable
+from sievegrid.session import durable, release
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -55,24 +55,28 @@ def greedy_cover(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     A node that beats all its neighbours left is next to none that comes before it, so every round takes
     all of these at once; a node belongs to the first of its neighbours that are representatives. The
     result is that of the run one by one.
+
+    An edge is kept once, from the end that comes first to the other. So a node has won when no edge left leads to it,
+    and nodes without edges take no part in the rounds.
     """
-    ranked = durable(nodes.select("id", F.struct("priority", "id").alias("p")))
-    a, b = F.col("a"), F.col("b")
-    ways = F.array(F.struct(a.alias("a"), b.alias("b")), F.struct(b.alias("a"), a.alias("b")))
-    pairs = edges.filter("a <> b").select(F.explode(ways).alias("e")).select("e.*").distinct()
-    links = durable(pairs.join(ranked.select(F.col("id").alias("b"), F.col("p").alias("b_p")), "b").select("a", "b", "b_p"))
-    left, live, chosen = ranked, links, ranked.limit(0)
-    while not left.isEmpty():
-        rival = live.groupBy(F.col("a").alias("id")).agg(F.max("b_p").alias("_rival"))
-        state = durable(left.join(rival, "id", "left").withColumn("_wins", F.col("_rival").isNull() | (F.col("p") > F.col("_rival"))))
-        winners = state.filter("_wins").select("id", "p")
-        chosen = chosen.unionByName(winners)
-        taken = live.join(winners.select(F.col("id").alias("b")), "b", "left_semi").select(F.col("a").alias("id")).distinct()
-        left = durable(state.filter("NOT _wins").select("id", "p").join(taken, "id", "left_anti"))
-        live = live.join(left.select(F.col("id").alias("a")), "a", "left_semi")
-        live = durable(live.join(left.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b", "b_p"))
-    heads = durable(chosen.select("id"))
-    near = links.join(heads.select(F.col("id").alias("b")), "b", "left_semi")
-    first = near.groupBy(F.col("a").alias("id")).agg(F.max_by("b", "b_p").alias("representative"))
-    own = heads.withColumn("representative", F.col("id"))
-    return own.unionByName(first.join(heads, "id", "left_anti"))
+    spark = nodes.sparkSession
+    ranked = durable(nodes.select("id", "priority"))
+    p = F.struct("priority", "id")
+    a, b = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    pairs = edges.filter("a <> b").select(a, b).distinct()
+    pairs = pairs.join(ranked.select(F.col("id").alias("a"), p.alias("a_p")), "a").join(ranked.select(F.col("id").alias("b"), p.alias("b_p")), "b")
+    ahead = F.col("a_p") > F.col("b_p")
+    links = durable(pairs.select(F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("first"), F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("then")))
+    live, gone = links, ranked.select("id").limit(0)
+    while not live.isEmpty():
+        beaten = live.select(F.col("then").alias("first")).distinct()
+        taken = durable(live.join(beaten, "first", "left_anti").select(F.col("then").alias("id")).distinct())
+        gone = gone.unionByName(taken)
+        live = live.join(taken.select(F.col("id").alias("then")), "then", "left_anti")
+        live = durable(live.join(taken.select(F.col("id").alias("first")), "first", "left_anti").select("first", "then"))
+        release(spark)
+    near = links.join(gone.select(F.col("id").alias("first")), "first", "left_anti")
+    near = near.join(ranked.select(F.col("id").alias("first"), p.alias("p")), "first")
+    near = near.groupBy(F.col("then").alias("id")).agg(F.max_by("first", "p").alias("representative"))
+    own = ranked.join(gone, "id", "left_anti").select("id", F.col("id").alias("representative"))
+    return own.unionByName(near)

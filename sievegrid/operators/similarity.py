@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 from sievegrid.functions.alignment import identity
 from sievegrid.functions.sequences import bind, kmers
 from sievegrid.operators.components import greedy_cover
-from sievegrid.session import durable, rebalance, unnest
+from sievegrid.session import durable, rebalance, release, unnest
 
 BUCKETS = 1024
 FEW = 512  # archived sets of a group that a candidate meets first, if it would meet many
 SHARED = 2  # prefix tokens that a candidate pair must share
+PART, PARTS = 1 << 17, 16  # sequences that meet the centres of clusters at a time, and parts at most
 REFERENCES, SEQUENCES = 512, 1 << 15  # index rows and sequences (about) that a task of the k-mer search holds
 
 
@@ -273,20 +274,47 @@ def cluster_links(nodes: DataFrame, k: int = 5, picks: int = 10, min_identity: f
     picked k-mer are compared with the longest of them only, so a k-mer held by
     a third of all sequences costs one comparison each, and none where the lengths rule the identity out.
     Keys and lengths travel, and letters come back once per different pair. (Steinegger and Soeding 2018 describe the scheme.)
+
+    The centres are found first, over all sequences. Then the sequences meet them some at a time, all in the end: the
+    k-mers and pairs of a part are many times larger than its letters and leave the disk when it is done.
     """
+    spark = nodes.sparkSession
+    slim = nodes.select("id", "seq")
     ranked = F.array_sort(
         F.transform(kmers(F.col("seq"), k), lambda t: F.struct(F.xxhash64(t).alias("h"), t.alias("t")))
     )
-    picked = unnest(nodes, F.slice(ranked, 1, picks), "p", "id", F.length("seq").alias("n")).select("id", "n", F.col("p.t").alias("t"))
-    centers = picked.groupBy("t").agg(F.max_by(F.struct("id", "n"), F.struct("n", "id")).alias("_c"))
-    centers = centers.select("t", F.col("_c.id").alias("c"), F.col("_c.n").alias("c_n"))
+
+    def picked(some: DataFrame) -> DataFrame:
+        return unnest(some, F.slice(ranked, 1, picks), "p", "id", F.length("seq").alias("n")).select("id", "n", F.col("p.t").alias("t"))
+
+    centers = picked(slim).groupBy("t").agg(F.max_by(F.struct("id", "n"), F.struct("n", "id")).alias("_c"))
+    centers = durable(centers.select("t", F.col("_c.id").alias("c"), F.col("_c.n").alias("c_n")))
+    heads = durable(slim.join(centers.select(F.col("c").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("c"), F.col("seq").alias("c_seq")))
+    release(spark)
     # no more letters can agree than the shorter has, so most pairs with a long centre need no alignment
     fits = F.least("n", "c_n") / F.greatest("n", "c_n") >= min_identity
-    links = picked.join(centers, "t").filter((F.col("id") != F.col("c")) & fits).select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
-    left = nodes.select(F.col("id").alias("a"), F.col("seq").alias("a_seq"))
-    right = nodes.select(F.col("id").alias("b"), F.col("seq").alias("b_seq"))
-    compared = rebalance(links.join(left, "a").join(right, "b"))
-    return compared.filter(identity("a_seq", "b_seq") >= min_identity).select("a", "b")
+    parts = min(PARTS, max(1, -(-nodes.count() // PART)))
+    found = None
+    for part in range(parts):
+        some = slim.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)
+        met = picked(some).join(centers, "t").filter((F.col("id") != F.col("c")) & fits).select("id", "c").distinct()
+        full = met.join(some, "id").join(heads, "c")
+        pair = F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")
+        compared = rebalance(full.select(*pair, "seq", "c_seq"))
+        links = durable(compared.filter(identity("seq", "c_seq") >= min_identity).select("a", "b"))
+        found = links if found is None else found.unionByName(links)
+        del links, compared, full, met
+        release(spark)
+    return found.distinct()  # two centres of one another met twice
+
+
+def _numbered(sequences: DataFrame) -> DataFrame:
+    """(id, seq) of the distinct sequences, numbered in the order of their hashes."""
+    distinct = sequences.select("seq").filter("seq IS NOT NULL").distinct()
+    ranges = distinct.withColumn("_r", F.conv(F.substring(F.sha2("seq", 256), 1, 4), 16, 10).cast("bigint"))
+    ranges = ranges.repartition("_r").withColumn("_h", F.unhex(F.sha2("seq", 256)))  # made behind the shuffle
+    place = F.row_number().over(Window.partitionBy("_r").orderBy("_h"))
+    return ranges.select((F.shiftleft("_r", 40) + place).alias("id"), "seq")
 
 
 def sequence_clusters(
@@ -297,16 +325,20 @@ def sequence_clusters(
     Sequences with the most links come first, longer ones before shorter: the first one left
     becomes a representative and takes all that are linked to it. So each member reaches the
     identity to its representative, the cluster's name (a hash of its letters).
-    Missing sequences drop out.
+    Missing sequences drop out. Numbers in the order of the hashes travel instead of these.
     """
-    distinct = sequences.select("seq").filter("seq IS NOT NULL").distinct().withColumn("id", F.sha2("seq", 256))
-    nodes = durable(rebalance(distinct))
+    nodes = durable(_numbered(sequences))
+    release(nodes.sparkSession)
     links = durable(cluster_links(nodes, k, picks, min_identity))
+    release(nodes.sparkSession)
     ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
-    weighed = nodes.join(ends, "id", "left").select(
-        "id", F.struct(F.coalesce("links", F.lit(0)).alias("links"), F.length("seq").alias("n")).alias("priority")
-    )
-    return nodes.join(greedy_cover(weighed, links), "id").select("seq", F.col("representative").alias("cluster"))
+    # a length is below 2^31, so links come first and lengths next
+    priority = F.shiftleft(F.coalesce("links", F.lit(0).cast("bigint")), 31) + F.col("n")
+    weighed = nodes.select("id", F.length("seq").alias("n")).join(ends, "id", "left").select("id", priority.alias("priority"))
+    cover = greedy_cover(weighed, links)
+    names = nodes.select(F.col("id").alias("representative"), F.unhex(F.sha2("seq", 256)).alias("_name"))
+    named = nodes.join(cover, "id").join(names, "representative")
+    return named.select("seq", F.lower(F.hex("_name")).alias("cluster"))
 
 
 def mutation_minima(pairs: DataFrame, total: int = 2, in_cdr3: int = 1) -> DataFrame:

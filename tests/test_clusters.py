@@ -1,5 +1,6 @@
 """Greedy clusters by representative against a run one by one."""
 
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -76,3 +77,22 @@ def test_pairs_of_too_different_lengths_are_not_aligned(spark, monkeypatch):
     got = {(r.a, r.b) for r in Y.cluster_links(df, 5, 400, 0.6).collect()}
     assert Y.identity is plain and got == {(0, 1), (1, 4)}
     assert {(r.a, r.b) for r in seen[0]} == {(0, 1), (1, 4)}
+
+
+def test_parts_give_the_links_of_all_at_once(spark, monkeypatch):
+    """Sequences meet the centres in parts, whose shuffles leave the disk; numbers in the order of the hashes break ties."""
+    r = random.Random(11)
+    make = lambda n: "".join(r.choices("ACDEFGHIKLMNPQRSTVWY", k=n))
+    bases = [make(50) for _ in range(15)]
+    seqs = bases + [b[:i] + make(8) + b[i + 8 :] for b in bases for i in range(0, 40, 8)]
+    df = spark.createDataFrame([(s,) for s in [*seqs, "", "AC", None, seqs[0]]], "seq string")
+    numbered = sorted((x.id, x.seq) for x in Y._numbered(df).collect())
+    assert [s for _, s in numbered] == sorted({*seqs, "", "AC"}, key=lambda s: hashlib.sha256(s.encode()).hexdigest())
+    nodes = spark.createDataFrame(numbered, "id long, seq string")
+    got, used = [], []
+    monkeypatch.setattr(Y, "release", lambda s, plain=Y.release: (used.append(1), plain(s)))
+    for part in (1 << 17, 10):
+        monkeypatch.setattr(Y, "PART", part)
+        got.append(sorted((x.a, x.b) for x in Y.cluster_links(nodes, 5, 10, 0.4).collect()))
+    assert got[0] == got[1] and len(got[0]) == len(set(got[0])) > 60
+    assert len(used) == (1 + 1) + (1 + 10)
