@@ -10,19 +10,25 @@ nothing else. Candidates are tested by a banded edit distance in the JVM.
 A window that many sequences still share would make all pairs of its group. There every
 sequence is first compared with one of them, and two that are near-identical to it are
 in one class already and don't meet any more.
+
+The windows looked up are many times larger than the letters. They are made for some sequences at a
+time, for all in the end, and leave the disk with their part.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievegrid.operators.components import connected_components
-from sievegrid.session import durable, rebalance, unnest
+from sievegrid.session import durable, rebalance, release, unnest
 
 HEAVY = 1 << 14  # at most so many windows count as frequent
+PART, PARTS = 1 << 17, 8  # sequences whose windows are looked up at a time, and parts at most
+WAITING = 1 << 20  # pairs, or an eighth of the sequences, that are compared at a time (about)
 EPS = 1e-9
 
 
@@ -60,14 +66,11 @@ def _index(nodes: DataFrame, t: float, w: int) -> DataFrame:
 
 
 def _probes(nodes: DataFrame, t: float, w: int) -> DataFrame:
-    """(key, id, n, at, d): the windows of each sequence that stand near a cut of a shorter one."""
-    d = edits(F.col("n"), t)
-    places = F.filter(
-        F.sequence(F.lit(0), F.col("n") - w), lambda q: (q % w <= F.col("d")) | (q % w >= w - F.col("d"))
-    )
-    windows = F.transform(places, lambda q: F.struct(F.xxhash64(F.substring("seq", q + 1, F.lit(w))).alias("key"), q.alias("at")))
-    timely = nodes.withColumn("d", d).filter("d > 0")
-    return unnest(timely, windows, "_w", "id", "n", "d").select("_w.key", "id", "n", "_w.at", "d")
+    """(key, id, n, at): the windows of each sequence that stand near a cut of a shorter one."""
+    timely = nodes.withColumn("d", edits(F.col("n"), t)).filter("d > 0")
+    every = unnest(timely, F.sequence(F.lit(0), F.col("n") - w), "at", "id", "n", "d", "seq")
+    placed = every.filter((F.col("at") % w <= F.col("d")) | (F.col("at") % w >= w - F.col("d")))
+    return placed.select(F.xxhash64(F.substring("seq", F.col("at") + 1, F.lit(w))).alias("key"), "id", "n", "at")
 
 
 def _near(pairs: DataFrame, texts: DataFrame, t: float) -> DataFrame:
@@ -80,38 +83,79 @@ def _near(pairs: DataFrame, texts: DataFrame, t: float) -> DataFrame:
     return full.filter(F.expr("levenshtein(a_seq, b_seq, _d)") >= 0).select("a", "b")
 
 
+def _met(left: DataFrame, right: DataFrame, t: float, *by: str) -> DataFrame:
+    """(a, b): entries of the index that probes meet under the same key and near enough; a star is met by no other way."""
+    starred = "star" in left.columns
+    right = right.select("key", *by, *[F.col(c).alias(f"b_{c}") for c in right.columns if c not in ("key", *by)])
+    d = edits(F.col("b_n"), t)
+    fits = (F.col("b_n") - F.col("n")).between(0, d) & (F.abs(F.col("at") - F.col("b_at")) <= d)
+    once = (F.col("n") < F.col("b_n")) | (F.col("id") < F.col("b_id"))
+    met = left.join(right, ["key", *by]).filter(fits & once & (F.col("id") != F.col("b_id")))
+    if starred:
+        met = met.filter(F.col("star").isNull() | F.col("b_star").isNull() | (F.col("star") != F.col("b_star")))
+    return met.select(F.col("id").alias("a"), F.col("b_id").alias("b"))
+
+
 def near_links(nodes: DataFrame, t: float, crowd: int = 64) -> DataFrame:
     """(a, b): links that join all near-identical sequences of ``nodes`` (id, seq), each seq once, to classes.
 
     Every linked pair is near-identical; pairs that are linked through a third sequence may be left out.
+    ``nodes`` is read many times.
     """
     w = window_length(t)
     if w < 1:
         raise ValueError(f"identity of {t} leaves no windows")
-    nodes = durable(nodes.withColumn("n", F.length("seq")))
-    index, probes = durable(_index(nodes, t, w)), _probes(nodes, t, w)
+    spark, total = nodes.sparkSession, nodes.count()
+    nodes = nodes.select("id", "seq", F.length("seq").alias("n"))
+    parts = min(PARTS, max(1, -(-total // PART)))
+    probes = [_probes(nodes.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == part), t, w) for part in range(parts)]
+    index = durable(_index(nodes, t, w))
     sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("star"))
     crowded = durable(sizes.filter(F.col("size") > crowd))
-    members = index.select("key", "id").unionByName(probes.select("key", "id")).join(crowded, "key")
-    rays = _near(members.select(F.col("id").alias("a"), F.col("star").alias("b")).filter("a <> b").distinct(), nodes, t)
-    rays = durable(rays)
+    release(spark)
+    crowds = crowded.count()
+    few = F.broadcast(crowded) if crowds <= HEAVY else crowded
+
+    def compared(groups: Iterable[DataFrame]) -> DataFrame:
+        """The near pairs of many groups, as many groups at a time as hold few pairs."""
+        found, waiting, n = None, None, 0
+        for i, pairs in enumerate(groups, 1):
+            pairs = durable(pairs.distinct())
+            n += pairs.count()
+            waiting = pairs if waiting is None else waiting.unionByName(pairs)
+            del pairs
+            release(spark)
+            if i == parts or n > max(WAITING, total // 8):
+                near = durable(_near(waiting, nodes, t))
+                found, waiting, n = near if found is None else found.unionByName(near), None, 0
+                del near
+                release(spark)
+        return found
+
+    if not crowds:
+        return compared(_met(index, some, t) for some in probes)
+
+    def rays_of(part: int) -> DataFrame:
+        members = probes[part].select("key", "id")
+        members = members.unionByName(index.select("key", "id")) if part == 0 else members
+        return members.join(few, "key").select(F.col("id").alias("a"), F.col("star").alias("b")).filter("a <> b")
+
+    rays = durable(compared(rays_of(part) for part in range(parts)).distinct())
     # in a crowded group: the sequence next to its star (the star itself included), else null
     near_star = rays.select(F.col("a").alias("id"), F.col("b").alias("star"), F.lit(True).alias("ray"))
 
     def starred(rows: DataFrame) -> DataFrame:
-        marked = rows.join(crowded, "key", "left").join(near_star, ["id", "star"], "left")
+        marked = rows.join(few, "key").join(near_star, ["id", "star"], "left")
         return marked.withColumn("star", F.when(F.col("ray") | (F.col("id") == F.col("star")), F.col("star"))).drop("ray")
 
-    salts = F.ceil(F.coalesce("size", F.lit(0)) / 1024).cast("int")
-    left = starred(index).withColumn("salt", F.pmod(F.xxhash64("id"), F.greatest(salts, F.lit(1))).cast("int")).drop("size")
-    right = starred(probes).withColumn("salt", F.explode(F.sequence(F.lit(0), F.greatest(salts - 1, F.lit(0))))).drop("size")
-    right = right.select("key", "salt", *[F.col(c).alias(f"b_{c}") for c in ("id", "n", "at", "d", "star")])
-    fits = (F.col("b_n") - F.col("n")).between(0, F.col("b_d")) & (F.abs(F.col("at") - F.col("b_at")) <= F.col("b_d"))
-    once = (F.col("n") < F.col("b_n")) | (F.col("id") < F.col("b_id"))
-    apart = F.col("star").isNull() | F.col("b_star").isNull() | (F.col("star") != F.col("b_star"))
-    met = left.join(right, ["key", "salt"]).filter(fits & once & apart & (F.col("id") != F.col("b_id")))
-    pairs = met.select(F.col("id").alias("a"), F.col("b_id").alias("b")).distinct()
-    return rays.unionByName(_near(pairs, nodes, t))
+    def pairs_of(some: DataFrame) -> DataFrame:
+        plain = _met(index.join(few, "key", "left_anti"), some.join(few, "key", "left_anti"), t)
+        salts = F.ceil(F.col("size") / 1024).cast("int")
+        left = starred(index).withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int")).drop("size")
+        right = starred(some).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("size")
+        return plain.unionByName(_met(left, right, t, "salt"))
+
+    return rays.unionByName(compared(pairs_of(some) for some in probes))
 
 
 def near_identical(rows: DataFrame, key: str, seq: str, min_identity: float = 0.98) -> DataFrame:
@@ -121,15 +165,21 @@ def near_identical(rows: DataFrame, key: str, seq: str, min_identity: float = 0.
     Equal sequences are one class; a missing or empty sequence is near to nothing. Rows without key are
     joined by their sequence, too, and aren't kept unless no row of their class has a key.
     """
-    named = rows.withColumn("_seq", F.col(seq).cast("string"))
-    known = F.coalesce(F.length("_seq"), F.lit(0)) > 0
-    nodes = named.filter(known).groupBy(F.col("_seq").alias("seq")).agg(F.min(key).alias("_least"))
-    nodes = durable(nodes.withColumn("id", F.unhex(F.md5("seq"))))
-    links = near_links(nodes.select("id", "seq"), min_identity)
-    parts = connected_components(nodes.select("id"), links)
-    joined = nodes.join(parts, "id")
-    least = joined.groupBy("component").agg(F.min("_least").alias("cluster"))
-    classes = joined.join(least, "component").select(F.col("seq").alias("_seq"), "cluster")
-    found = named.join(classes, "_seq", "left").drop("_seq")
-    found = found.withColumn("cluster", F.when(F.coalesce(F.length(seq), F.lit(0)) > 0, F.col("cluster")).otherwise(F.col(key)))
+    text = F.col(seq).cast("string")
+    known = F.coalesce(F.length(text), F.lit(0)) > 0
+    nodes = rows.filter(known).groupBy(text.alias("seq")).agg(F.min(key).alias("_least"))
+    nodes = durable(nodes.withColumn("id", F.monotonically_increasing_id()))
+    release(rows.sparkSession)
+    links = durable(near_links(nodes.select("id", "seq"), min_identity))
+    release(rows.sparkSession)
+    # most sequences are near to none and a class of their own
+    ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    parts = durable(connected_components(ends, links))
+    least = parts.join(nodes.select("id", "_least"), "id").groupBy("component").agg(F.min("_least").alias("cluster"))
+    linked = durable(parts.join(least, "component").select("id", "cluster"))
+    release(rows.sparkSession)
+    hashed = lambda c: F.unhex(F.md5(c)).alias("_seq")
+    classes = nodes.select("id", hashed("seq"), "_least").join(linked, "id", "left").select("_seq", F.coalesce("cluster", "_least").alias("cluster"))
+    found = rows.withColumn("_seq", F.when(known, hashed(text))).join(classes, "_seq", "left")
+    found = found.withColumn("cluster", F.when(F.col("_seq").isNotNull(), F.col("cluster")).otherwise(F.col(key))).drop("_seq")
     return found.withColumn("kept", F.col(key).eqNullSafe(F.col("cluster")))

@@ -88,3 +88,30 @@ def test_a_crowd_costs_one_comparison_each(spark):
 
 def test_empty_table(spark):
     assert I.near_identical(spark.createDataFrame([], "k long, seq string"), "k", "seq").count() == 0
+
+
+@pytest.mark.parametrize("heavy", [1 << 14, 1])
+def test_parts_give_the_classes_of_all_pairs(spark, monkeypatch, heavy):
+    """Windows are looked up for some sequences at a time and released; crowded keys may be too many to send around."""
+    r = random.Random(5)
+    make = lambda n: "".join(r.choices("ACDEFGHIKLMNPQRSTVWY", k=n))
+    seqs = []
+    for n in (50, 75, 120):
+        base = make(n)
+        seqs += [base, *(edited(r, base, e) for e in (1, 1, 2, 3) for _ in range(3))]
+    frame = make(100)
+    seqs += [frame[:50] + make(3) + frame[50:] for _ in range(30)]
+    rows = list(enumerate(dict.fromkeys(seqs)))
+    nodes = spark.createDataFrame([(k, s) for k, s in rows], "id long, seq string")
+    monkeypatch.setattr(I, "PART", 16)
+    monkeypatch.setattr(I, "WAITING", 1)
+    monkeypatch.setattr(I, "HEAVY", heavy)
+    used = []
+    monkeypatch.setattr(I, "release", lambda s, plain=I.release: (used.append(1), plain(s)))
+    links = I.near_links(nodes, 0.98, 3).collect()
+    assert len(used) > 8 and all(distance(rows[x.a][1], rows[x.b][1]) <= I.edits(max(len(rows[x.a][1]), len(rows[x.b][1])), 0.98) for x in links)
+    label = {k: k for k, _ in rows}
+    for _ in rows:
+        for x in links:
+            label[x.a] = label[x.b] = min(label[x.a], label[x.b])
+    assert label == classes(rows, 0.98)
