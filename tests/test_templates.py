@@ -116,3 +116,49 @@ def test_structures_equal_all_matchings(spark):
         a, b = letters[(x.structure_id, x.chain_id)], of[(x.structure_id, x.template_id, x.template_chain)]
         assert {tuple(q) for q in x.spans} == plain_spans(a, b)
     assert M.template_match(left.limit(0), right, PAIR).count() == 0
+
+
+def plain_seeds(chains, templates, k, least):
+    """Every shared k-mer of every two rows, by its first places; rows of one key add up."""
+    lines = {}
+    for s, c, x in chains:
+        for s2, t, d, y in templates:
+            if s is not None and s == s2:
+                for w in {x[i : i + k] for i in range(len(x or "") - k + 1)} if x and y else ():
+                    if w in y:
+                        key = (s, t, c, d, x.index(w) - y.index(w))
+                        lines[key] = lines.get(key, 0) + 1
+    found = {}
+    for (*pair, _), n in lines.items():
+        if n >= least:
+            found[tuple(pair)] = max(n, found.get(tuple(pair), 0))
+    return found
+
+
+def test_seeds_are_found_where_the_letters_meet(spark):
+    """Letters travel to their structure; rows of k-mers, many times larger, aren't made at all."""
+    r = random.Random(9)
+    make = lambda n: "".join(r.choices("ACDE", k=n))
+    chains = [(s, c, make(r.randint(0, 40))) for s in range(5) for c in range(6)]
+    templates = [(s, t, c, make(r.randint(0, 40))) for s in range(1, 6) for t in range(2) for c in range(5)]
+    chains += chains[3:9] + [(2, None, make(30)), (None, 1, make(30)), (3, 2, make(25)), (3, 7, None)]
+    templates += templates[4:8] + [(None, 0, 1, make(30)), (2, 1, None, make(30)), (3, 1, 9, None)]
+    left = spark.createDataFrame(chains, "structure_id long, chain_id long, seq string")
+    right = spark.createDataFrame(templates, "structure_id long, template_id long, template_chain long, seq string")
+    for k, least in ((3, 2), (5, 1)):
+        found = M.seeded_pairs(left, right, k, least)
+        rows = [tuple(x) for x in found.collect()]
+        assert {x[:4]: x[4] for x in rows} == plain_seeds(chains, templates, k, least) and len({x[:4] for x in rows}) == len(rows)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_matchings_do_not_depend_on_the_order_of_rows(spark):
+    one, other = "ACDEFGHIKLMNPQRSTVWY", "YWVTSRQPNMLKIHGFEDCA"
+    chains = [(0, c, one if c % 2 else other) for c in range(7)]
+    templates = [(0, 1, c, one if c % 3 else other) for c in range(5)]
+    got = []
+    for turn in (1, -1):
+        left = spark.createDataFrame(chains[::turn], "structure_id long, chain_id long, seq string")
+        right = spark.createDataFrame(templates[::turn], "structure_id long, template_id long, template_chain long, seq string")
+        got.append(sorted((x.chain_id, x.template_chain, x.score) for x in M.template_match(left, right, PAIR).collect()))
+    assert got[0] == got[1] and len(got[0]) == 5
